@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftspark.llm import distinctive, leakage, mixture, mojibake, nearduplicates, rankmix, splitting
+from siftspark.llm import distinctive, leakage, mixture, mojibake, nearduplicates, provenance, rankmix, splitting
 from siftspark.session import table
 
 
@@ -26,6 +26,14 @@ def p2_ranking(spark, d):
     return ranked.select("query_id", "position", "chunk_id", F.round("fused", 9).alias("fused"), "place_bm25", "place_vector", "place_score")
 
 
+def p3_found(spark, d):
+    return provenance.not_hand_written(table(spark, d, "files"), table(spark, d, "chunks")).select("rel_path")
+
+
+def p3_kinds(spark, d):
+    return provenance.not_hand_written(table(spark, d, "files"), table(spark, d, "chunks"))
+
+
 def p4_found(spark, d):
     return mojibake.garbled_text(table(spark, d, "chunks")).select("chunk_id").distinct()
 
