@@ -304,14 +304,14 @@ def _person(r: random.Random, given: list[str], family: list[str]) -> str:
     g = r.choice(given).title() if r.random() < 0.8 else _invent(r, given).title()
     f = r.choice(family) if r.random() < 0.8 else _invent(r, family)
     f = f if any(c.isupper() for c in f[:1]) else f.title() if " " not in f else f
-    if r.random() < 0.04:
-        f = r.choice(("van der ", "de ", "von ", "da ")) + f
+    if r.random() < 0.08 and " " not in f:
+        f = r.choice(("van der ", "de ", "von ", "da ", "de la ", "del ", "van ", "di ", "O'", "Mc")) + f
     if r.random() < 0.04:
         f = f + "-" + r.choice(family)[:3].title()
     x = r.random()
     if r.random() < 0.12:
         g += f" {r.choice('ABCDEGHJKLMNPRST')}."
-    whole = f"{f}, {g}" if x < 0.14 else f"{g} {f.upper()}" if x < 0.24 else f"{g} {f}".lower() if x < 0.34 else f"{g} {f}"
+    whole = f"{f}, {g}" if x < 0.2 else f"{g} {f.upper()}" if x < 0.28 else f"{g} {f}".lower() if x < 0.38 else f"{g} {f}"
     return whole
 
 
@@ -435,7 +435,8 @@ def fit(given: list[str], family: list[str], background: list[str] = ()) -> Mode
     """Model for a list of names; deterministic. ``background``: lines without entities."""
     r = random.Random(SEED + 1)
     given, family = sorted(given) or ["Ann"], sorted(family) or ["Smith"]
-    feats = Features({g.lower() for g in given}, {f.lower() for f in family})
+    parts = lambda names: {w for n in names for w in n.lower().split() if len(w) > 2}
+    feats = Features(parts(given), parts(family))
     lines, tags, docs, ids, flags = [], [], [], [], []
     for doc in [*training_lines(given, family), *([(b, [])] for b in background)]:
         made = []

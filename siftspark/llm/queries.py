@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftspark.llm import distinctive, leakage, mixture, mojibake, nearduplicates, provenance, rankmix, splitting
+from siftspark.llm import distinctive, leakage, mixture, mojibake, nearduplicates, pii, provenance, rankmix, splitting
 from siftspark.session import table
 
 
@@ -78,6 +78,15 @@ def p9_shares(spark, d):
     return mixture.mix_sources(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
 
 
+def p10_found(spark, d):
+    shown = pii.redact(table(spark, d, "documents"), table(spark, d, "name_list"))
+    return shown.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.kind", "e.found").distinct()
+
+
+def p10_redacted(spark, d):
+    return pii.redact(table(spark, d, "documents"), table(spark, d, "name_list")).select("doc_id", "redacted")
+
+
 def queries():
     here = globals()
     return {k: v for k, v in here.items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
