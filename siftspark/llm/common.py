@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,31 @@ def shingle_set(text: str, width: int, cache: WordHashes, min_words: int = 1) ->
     return np.unique(shingle_hashes(np.fromiter(map(cache.__getitem__, found), np.uint64, len(found)), width))
 
 
+def batch_shingles(texts: list[str | None], width: int, cache: WordHashes, min_words: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Shingle hashes of many texts at once: (rows that have enough words, hashes end to end, their bounds).
+
+    Hashes of row ``rows[i]`` are ``hashes[bounds[i]:bounds[i + 1]]``, in text order and with repeats.
+    """
+    rows, found = [], []
+    for i, text in enumerate(texts):
+        if text is not None:
+            w = words(text)
+            if len(w) >= max(min_words, width):
+                rows.append(i)
+                found.append(w)
+    if not rows:
+        return [], np.empty(0, np.uint64), np.zeros(1, np.int64)
+    length = np.fromiter(map(len, found), np.int64, len(found))
+    flat = np.fromiter(map(cache.__getitem__, chain.from_iterable(found)), np.uint64, int(length.sum()))
+    h = shingle_hashes(flat, width)
+    ends = np.cumsum(length)
+    keep = np.ones(len(h), bool)
+    for back in range(1, width):  # those that run over the end of a text
+        at = ends[:-1] - back
+        keep[at[at < len(h)]] = False
+    return rows, h[keep], np.r_[0, np.cumsum(length - width + 1)]
+
+
 def frame_rows(it: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     for batch in it:
         yield from zip(*(batch.column(c).to_pylist() for c in columns))
@@ -77,11 +103,11 @@ def frame_rows(it: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
 # the executors, summed in slices. Its size depends on ``bits`` alone.
 
 SLICES = 64
-MAX_BITS = 23
+MAX_BITS = 24
 
 
 def sketch_bits(n_rows: int, per_row: int) -> int:
-    """log2 of the number of counters: follows the data up to MAX_BITS (16 MB)."""
+    """log2 of the number of counters: follows the data up to MAX_BITS (32 MB)."""
     return min(MAX_BITS, max(14, math.ceil(math.log2(max(2, n_rows * per_row)))))
 
 

@@ -15,13 +15,15 @@ share a shingle among their first ``n - ceil(t*n) + 1``.
   ``|S'&B| = |S&B| - |(S-S')&B| + |(S'-S)&B|``; only the small differences are
   looked up.
 
-The global order comes from a counting sketch over all rows. It has a fixed
-size; an inexact count only makes the prefix a little less selective.
+The global order comes from a counting sketch over all rows. It has a bounded
+size; an inexact count only makes the prefix a little less selective. A shingle is a
+48-bit hash below its 16-bit count, so one sort gives a set and its order. Candidates
+are first held against the parity bitmaps of their sets, which bound the overlap from
+above (two sets differ in at least as many elements as their bitmaps in bits).
 """
 
 from __future__ import annotations
 
-import math
 from fractions import Fraction
 
 import numpy as np
@@ -35,6 +37,8 @@ from siftspark.llm import common as C
 BLOCK = 64
 #: Longest list kept in one cell; longer ones are split into cells of group pairs.
 CELL = 4096
+#: Bits of the parity bitmap of a set.
+BITMAP = 256
 
 
 def needed_overlap(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -158,176 +162,166 @@ def near_duplicate_classes(
         (F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")).alias("grp"),
         F.col(text_col).alias("text"),
     ).where(F.col("text").isNotNull() & F.col("id").isNotNull())
-    texts = base.select("text")
-    bits = C.sketch_bits(df.count(), 64)
+    bits = C.sketch_bits(df.count(), 100)
 
     def all_hashes(it):
         cache = C.WordHashes()
-        for (text,) in C.frame_rows(it, "text"):
-            s = C.shingle_set(text, width, cache, least_words)
-            if s is not None:
-                yield s
+        for batch in it:
+            yield C.batch_shingles(batch.column("text").to_pylist(), width, cache, least_words)[1]
+
+    sketch = spark.sparkContext.broadcast(C.counting_sketch(base.select("text"), all_hashes, bits))
 
-    sketch = spark.sparkContext.broadcast(C.counting_sketch(texts, all_hashes, bits))
+    def keyed(texts, cache):
+        """(row, sorted keys) of the texts with enough words; key = count and hash of a shingle."""
+        rows, h, bounds = C.batch_shingles(texts, width, cache, least_words)
+        key = (C.lookup(sketch.value, bits, h).astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16))
+        for i, row in enumerate(rows):
+            yield row, np.unique(key[bounds[i] : bounds[i + 1]])
 
     def index(it):
-        """Class of each record and the prefix entries of each class not yet seen in this task."""
-        cache, seen, counts = C.WordHashes(), set(), sketch.value
+        """Prefix entries of each class that this task has not met yet."""
+        cache, seen = C.WordHashes(), set()
         for batch in it:
-            member = {"id": [], "grp": [], "cls": [], "chk": []}
-            toks, clss, ns, poss, cells, grps = [], [], [], [], [], []
-            for rid, grp, text in zip(*(batch.column(c).to_pylist() for c in ("id", "grp", "text"))):
-                s = C.shingle_set(text, width, cache, least_words)
-                if s is None:
-                    continue
-                digest = xxhash.xxh3_128_digest(s.tobytes())
-                cls, chk = np.frombuffer(digest, np.int64)
-                member["id"].append(rid)
-                member["grp"].append(grp)
-                member["cls"].append(cls)
-                member["chk"].append(chk)
+            toks, sizes, clss, ns, poss = [], [], [], [], []
+            for _, s in keyed(batch.column("text").to_pylist(), cache):
+                digest = xxhash.xxh3_128_digest(s)
                 if digest in seen:
                     continue
                 if len(seen) < 500_000:
                     seen.add(digest)
                 n = len(s)
                 prefix = n - -(-n * num // den) + 1
-                est = C.lookup(counts, bits, s)
-                order = np.lexsort((s, est))[:prefix]
-                order_est = est[order]
-                pos = np.flatnonzero(order_est > 1)  # others occur once: no partner
-                if not len(pos):
-                    continue
-                tok, est = s[order[pos]], order_est[pos].astype(np.int64)
-                groups = np.where(est >= 65535, 64, -(-est // CELL))
-                mine = (np.uint64(int(cls) & 0xFFFFFFFFFFFFFFFF) % groups.astype(np.uint64)).astype(np.int64)
-                reps = np.repeat(np.arange(len(pos)), groups)
-                partner = np.arange(len(reps)) - np.repeat(np.cumsum(groups) - groups, groups)
-                g = mine[reps]
-                toks.append(C.signed(tok)[reps])
-                clss.append(np.full(len(reps), cls))
-                ns.append(np.full(len(reps), n, np.int32))
-                poss.append(pos[reps].astype(np.int32))
-                cells.append((np.minimum(g, partner) * 64 + np.maximum(g, partner)).astype(np.int32))
-                grps.append(g.astype(np.int32))
-            rows = len(member["id"])
-            if not rows:
+                once = int(np.searchsorted(s[:prefix], 2 << 48))  # those that occur once have no partner
+                if once < prefix:
+                    toks.append(s[once:prefix])
+                    sizes.append(prefix - once)
+                    clss.append(int.from_bytes(digest[:8], "little", signed=True))
+                    ns.append(n)
+                    poss.append(once)
+            if not toks:
                 continue
-            k = sum(map(len, toks))
-            cat = lambda parts, t: np.concatenate([np.zeros(rows, t), *parts])
-            null = np.r_[np.zeros(rows, bool), np.ones(k, bool)]
-            text_col_ = lambda v: pa.array(v + [None] * k, pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    text_col_(member["id"]),
-                    text_col_(member["grp"]),
-                    pa.array(np.concatenate([np.array(member["cls"], np.int64), *clss])),
-                    pa.array(np.concatenate([np.array(member["chk"], np.int64), np.zeros(k, np.int64)])),
-                    pa.array(cat(toks, np.int64)),
-                    pa.array(cat(ns, np.int32)),
-                    pa.array(cat(poss, np.int32)),
-                    pa.array(cat(cells, np.int32)),
-                    pa.array(cat(grps, np.int32)),
-                    pa.array(null),
-                ],
-                ["id", "grp", "cls", "chk", "tok", "n", "pos", "cell", "part", "entry"],
-            )
-
-    indexed = base.mapInArrow(
-        index, "id string, grp string, cls long, chk long, tok long, n int, pos int, cell int, part int, entry boolean"
-    )
-    entries = indexed.where("entry").select("tok", "cell", "cls", "n", "pos", "part")
-    members = indexed.where("not entry").select("id", "grp", "cls", "chk").distinct()
+            size = np.array(sizes)
+            tok = np.concatenate(toks)
+            first = np.repeat(np.cumsum(size) - size, size)
+            pos = np.arange(len(tok)) - first + np.repeat(np.array(poss), size)
+            cls = np.repeat(np.array(clss, np.int64), size)
+            order = (np.repeat(np.array(ns, np.int64), size) << 32) | pos
+            count = (tok >> np.uint64(48)).astype(np.int64)
+            part = np.zeros(len(tok), np.int64)
+            cell = np.zeros(len(tok), np.int64)
+            if (count > CELL).any():  # a long list is cut into groups; each pair of groups is a cell
+                groups = np.where(count >= 65535, 64, -(-count // CELL))
+                part = (cls.view(np.uint64) % groups.astype(np.uint64)).astype(np.int64)
+                reps = np.repeat(np.arange(len(tok)), groups)
+                other = np.arange(len(reps)) - np.repeat(np.cumsum(groups) - groups, groups)
+                tok, cls, order, part = tok[reps], cls[reps], order[reps], part[reps]
+                cell = np.minimum(part, other) * 64 + np.maximum(part, other)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (C.signed(tok), order, cls, cell * 64 + part)], ["tok", "ord", "cls", "cell"])
+
+    entries = base.select("text").mapInArrow(index, "tok long, ord long, cls long, cell long")
 
     def probe(it):
         """Candidate pairs of the lists; a list may span batches."""
+        names = ["tok", "list", "ord", "cls", "cell"]
         held = None
-        names = ["tok", "cell", "n", "pos", "cls", "part"]
 
-        def pairs(cols):
-            tok, cell, n, pos, cls, part = cols
-            new = np.r_[True, (tok[1:] != tok[:-1]) | (cell[1:] != cell[:-1])]
-            i, j = pairs_in_lists(np.cumsum(new), n, pos, num, den)
-            cross = (cell[i] // 64 == cell[i] % 64) | (part[i] != part[j])
+        def pairs(tok, lst, order, cls, cell):
+            new = np.r_[True, (tok[1:] != tok[:-1]) | (lst[1:] != lst[:-1])]
+            i, j = pairs_in_lists(np.cumsum(new), order >> 32, order & 0xFFFFFFFF, num, den)
+            part = cell & 63
             a, b = cls[i], cls[j]
-            ok = cross & (a != b)
+            ok = ((lst[i] // 64 == lst[i] % 64) | (part[i] != part[j])) & (a != b)
             a, b = a[ok], b[ok]
             pq = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pq[:, 0])), pa.array(np.ascontiguousarray(pq[:, 1]))], ["a", "b"])
 
         for batch in it:
-            cols = [np.concatenate([h, c]) if held is not None else c for h, c in zip(held or names, (batch.column(x).to_numpy(zero_copy_only=False) for x in names))]
-            tok, cell = cols[0], cols[1]
-            last = int(np.flatnonzero((tok != tok[-1]) | (cell != cell[-1]))[-1]) + 1 if ((tok != tok[-1]) | (cell != cell[-1])).any() else 0
+            cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in names]
+            if held is not None:
+                cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
+            if not len(cols[0]):
+                continue
+            open_ = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
+            last = int(np.flatnonzero(~open_)[-1]) + 1 if not open_.all() else 0
             if last:
-                yield pairs([c[:last] for c in cols])
+                yield pairs(*(c[:last] for c in cols))
             held = [c[last:] for c in cols]
         if held is not None and len(held[0]):
-            yield pairs(held)
+            yield pairs(*held)
 
-    candidates = (
-        entries.repartition("tok", "cell").sortWithinPartitions("tok", "cell", "n", "pos").mapInArrow(probe, "a long, b long").distinct()
-    )
-    candidates = _cut(candidates)
+    lists = entries.withColumn("list", F.shiftright("cell", 6)).repartition("tok", "list").sortWithinPartitions("tok", "list", "ord")
+    candidates = _cut(lists.mapInArrow(probe, "a long, b long").distinct())
+
+    def describe(it):
+        """Class, size, relation (bottom-k sketch) and parity bitmap of every record."""
+        cache = C.WordHashes()
+        for batch in it:
+            ids, grps = batch.column("id").to_pylist(), batch.column("grp").to_pylist()
+            out = []
+            for row, s in keyed(batch.column("text").to_pylist(), cache):
+                digest = xxhash.xxh3_128_digest(s)
+                low = np.partition(s * np.uint64(0x9E3779B97F4A7C15), 3)[:4] if len(s) > 4 else s
+                parity = np.packbits((np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).astype(np.uint8))
+                out.append((ids[row], grps[row], int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), len(s), xxhash.xxh3_64_intdigest(np.sort(low)) - (1 << 63), parity.tobytes()))
+            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["id", "grp", "cls", "chk", "n", "rel", "parity"])
+
+    described = _cut(base.mapInArrow(describe, "id string, grp string, cls long, chk long, n int, rel long, parity binary"))
+    members = described.select("id", "grp", "cls", "chk").distinct()
+    touched = candidates.select(F.col("a").alias("cls")).union(candidates.select("b")).distinct()
+    facts = described.join(touched, "cls", "left_semi").groupBy("cls", "chk").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("rel").alias("rel"), F.first("parity").alias("parity"))
+    facts = _cut(facts)
+    side = lambda s: facts.select(*[F.col(c).alias(f"{c}_{s}") for c in facts.columns])
+    told = candidates.join(side("a"), F.col("a") == F.col("cls_a")).join(side("b"), F.col("b") == F.col("cls_b"))
+
+    def bounded(it):
+        for batch in it:
+            size = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
+            x = np.frombuffer(b"".join(batch.column("parity_a").to_pylist()), np.uint64).reshape(-1, BITMAP // 64)
+            y = np.frombuffer(b"".join(batch.column("parity_b").to_pylist()), np.uint64).reshape(-1, BITMAP // 64)
+            most = (size - np.bitwise_count(x ^ y).sum(1)) // 2
+            fit = pa.array(most * (num + den) >= num * size)
+            yield batch.select(["cls_a", "chk_a", "rel_a", "rep_a", "cls_b", "chk_b", "rep_b"]).filter(fit)
+
+    kept = _cut(told.mapInArrow(bounded, "cls_a long, chk_a long, rel_a long, rep_a string, cls_b long, chk_b long, rep_b string"))
 
-    # A bitmap of the candidate classes, of fixed size, tells which texts to read again.
-    def classes(it):
+    # A bitmap of the representatives, of bounded size, tells which texts to read once more.
+    def reps(it):
         for batch in it:
-            both = np.concatenate([batch.column("a").to_numpy(), batch.column("b").to_numpy()])
-            yield C.mix64(both.view(np.uint64))
+            names = batch.column("rep_a").to_pylist() + batch.column("rep_b").to_pylist()
+            yield np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
 
-    wanted_bits = bits
-    wanted = spark.sparkContext.broadcast(np.packbits(C.counting_sketch(candidates, classes, wanted_bits) > 0))
+    wanted = spark.sparkContext.broadcast(np.packbits(C.counting_sketch(kept.select("rep_a", "rep_b"), reps, bits) > 0))
 
     def sets(it):
-        cache, seen, bitmap = C.WordHashes(), set(), wanted.value
+        cache, bitmap = C.WordHashes(), wanted.value
         for batch in it:
-            cls_, chk_, rel_, set_ = [], [], [], []
-            for (text,) in zip(batch.column("text").to_pylist()):
-                s = C.shingle_set(text, width, cache, least_words)
-                if s is None:
-                    continue
-                digest = xxhash.xxh3_128_digest(s.tobytes())
-                if digest in seen:
-                    continue
-                cls, chk = np.frombuffer(digest, np.int64)
-                at = int(C.mix64(np.array([cls]).view(np.uint64))[0] >> np.uint64(64 - wanted_bits))
-                if not bitmap[at >> 3] >> (7 - (at & 7)) & 1:
-                    continue
-                if len(seen) < 500_000:
-                    seen.add(digest)
-                cls_.append(cls)
-                chk_.append(chk)
-                low = np.partition(C.mix64(s), 3)[:4] if len(s) > 4 else s
-                rel_.append(xxhash.xxh3_64_intdigest(np.sort(low).tobytes()) - (1 << 63))
-                set_.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cls_, pa.int64()), pa.array(chk_, pa.int64()), pa.array(rel_, pa.int64()), pa.array(set_, pa.binary())], ["cls", "chk", "rel", "set"]
-            )
-
-    chosen = _cut(texts.mapInArrow(sets, "cls long, chk long, rel long, set binary").dropDuplicates(["cls", "chk"]))
-    left = chosen.select(F.col("cls").alias("a"), F.col("chk").alias("chk_a"), F.col("rel"), F.col("set").alias("set_a"))
-    right = chosen.select(F.col("cls").alias("b"), F.col("chk").alias("chk_b"), F.col("set").alias("set_b"))
-    joined = candidates.join(left, "a").join(right, "b")
+            ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
+            at = (xxhash.xxh3_64_intdigest(i) >> (64 - bits) for i in ids)
+            pick = [k for k, x in enumerate(at) if bitmap[x >> 3] >> (7 - (x & 7)) & 1]
+            out = [(ids[pick[row]], s.tobytes()) for row, s in keyed([texts[k] for k in pick], cache)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.binary())], ["rep", "set"])
+
+    # Repeated rows of an id hold the same text.
+    chosen = base.select("id", "text").mapInArrow(sets, "rep string, set binary")
+    pick = kept.select(F.col("rep_a").alias("rep")).union(kept.select("rep_b")).distinct()
+    chosen = _cut(chosen.join(pick, "rep", "left_semi").groupBy("rep").agg(F.max("set").alias("set")))
+    joined = kept.join(chosen.select(F.col("rep").alias("rep_a"), F.col("set").alias("set_a")), "rep_a").join(chosen.select(F.col("rep").alias("rep_b"), F.col("set").alias("set_b")), "rep_b")
 
     def verify(it):
         check = SkippingVerifier()
         for batch in it:
-            cols = [batch.column(c).to_pylist() for c in ("a", "chk_a", "rel", "set_a", "b", "chk_b", "set_b")]
+            cols = [batch.column(c).to_pylist() for c in ("cls_a", "chk_a", "rel_a", "set_a", "cls_b", "chk_b", "set_b")]
             out = []
             for a, ka, rel, sa, b, kb, sb in zip(*cols):
                 x, y = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
                 got = check.overlap(rel, (a, ka), x, (b, kb), y)
                 if got * (num + den) >= num * (len(x) + len(y)):
                     out.append((a, ka, b, kb))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["cls_a", "chk_a", "cls_b", "chk_b"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["cls_a", "chk_a", "cls_b", "chk_b"])
 
     # Range partitions split a large family by class; within one, similar sets follow each other.
-    links = joined.repartitionByRange("rel", "a").sortWithinPartitions("rel", "a", "b").mapInArrow(
-        verify, "cls_a long, chk_a long, cls_b long, chk_b long"
-    )
+    links = joined.repartitionByRange("rel_a", "cls_a").sortWithinPartitions("rel_a", "cls_a", "cls_b").mapInArrow(verify, "cls_a long, chk_a long, cls_b long, chk_b long")
     return members, _cut(links)
 
 
@@ -343,7 +337,6 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, group_col: s
     Links between classes are expanded by their members, and classes by themselves.
     """
     members, links = near_duplicate_classes(df, id_col, text_col, group_col, **options)
-    members = _cut(members)
     a = members.select(F.col("id").alias("id_a"), F.col("grp").alias("grp_a"), F.col("cls").alias("cls_a"), F.col("chk").alias("chk_a"))
     b = members.select(F.col("id").alias("id_b"), F.col("grp").alias("grp_b"), F.col("cls").alias("cls_b"), F.col("chk").alias("chk_b"))
     across = links.join(a, ["cls_a", "chk_a"]).join(b, ["cls_b", "chk_b"])
@@ -368,7 +361,6 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, **options)
     changes.
     """
     members, links = near_duplicate_classes(df, id_col, text_col, None, **options)
-    members = _cut(members)
     classes = members.groupBy("cls", "chk").agg(F.min("id").alias("rep"), F.count("*").alias("class_size"))
     name = lambda s: classes.select(F.col("cls").alias(f"cls_{s}"), F.col("chk").alias(f"chk_{s}"), F.col("rep").alias(f"rep_{s}"))
     edges = links.join(name("a"), ["cls_a", "chk_a"]).join(name("b"), ["cls_b", "chk_b"]).select("rep_a", "rep_b")
