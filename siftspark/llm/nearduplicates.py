@@ -252,24 +252,37 @@ def near_duplicate_classes(
     lists = entries.withColumn("list", F.shiftright("cell", 6)).repartition("tok", "list").sortWithinPartitions("tok", "list", "ord")
     candidates = _cut(lists.mapInArrow(probe, "a long, b long").distinct())
 
+    # A bitmap of the candidate classes, of bounded size: only these need more than a name.
+    def classes(it):
+        for batch in it:
+            both = np.concatenate([batch.column("a").to_numpy(), batch.column("b").to_numpy()])
+            yield C.mix64(both.view(np.uint64))
+
+    hot = spark.sparkContext.broadcast(np.packbits(C.counting_sketch(candidates, classes, bits) > 0))
+
     def describe(it):
-        """Class, size, relation (bottom-k sketch) and parity bitmap of every record."""
-        cache = C.WordHashes()
+        """Class of every record; of candidates also size, relation (bottom-k sketch) and parity bitmap."""
+        cache, bitmap = C.WordHashes(), hot.value
         for batch in it:
             ids, grps = batch.column("id").to_pylist(), batch.column("grp").to_pylist()
             out = []
             for row, s in keyed(batch.column("text").to_pylist(), cache):
                 digest = xxhash.xxh3_128_digest(s)
+                names = (ids[row], grps[row], int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True))
+                at = int(C.mix64(np.frombuffer(digest[:8], np.uint64))[0]) >> (64 - bits)
+                if not bitmap[at >> 3] >> (7 - (at & 7)) & 1:
+                    out.append((*names, None, None, None))
+                    continue
                 low = np.partition(s * np.uint64(0x9E3779B97F4A7C15), 3)[:4] if len(s) > 4 else s
                 parity = np.packbits((np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).astype(np.uint8))
-                out.append((ids[row], grps[row], int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), len(s), xxhash.xxh3_64_intdigest(np.sort(low)) - (1 << 63), parity.tobytes()))
+                out.append((*names, len(s), xxhash.xxh3_64_intdigest(np.sort(low)) - (1 << 63), parity.tobytes()))
             types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["id", "grp", "cls", "chk", "n", "rel", "parity"])
 
     described = _cut(base.mapInArrow(describe, "id string, grp string, cls long, chk long, n int, rel long, parity binary"))
-    members = described.select("id", "grp", "cls", "chk").distinct()
-    touched = candidates.select(F.col("a").alias("cls")).union(candidates.select("b")).distinct()
-    facts = described.join(touched, "cls", "left_semi").groupBy("cls", "chk").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("rel").alias("rel"), F.first("parity").alias("parity"))
+    # One exchange by class serves every use of the members in a plan.
+    members = described.select("id", "grp", "cls", "chk").repartition("cls", "chk").dropDuplicates()
+    facts = described.where("parity is not null").groupBy("cls", "chk").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("rel").alias("rel"), F.max("parity").alias("parity"))
     facts = _cut(facts)
     side = lambda s: facts.select(*[F.col(c).alias(f"{c}_{s}") for c in facts.columns])
     told = candidates.join(side("a"), F.col("a") == F.col("cls_a")).join(side("b"), F.col("b") == F.col("cls_b"))
