@@ -172,40 +172,41 @@ def near_duplicate_classes(
     sketch = spark.sparkContext.broadcast(C.counting_sketch(base.select("text"), all_hashes, bits))
 
     def keyed(texts, cache):
-        """(row, sorted keys) of the texts with enough words; key = count and hash of a shingle."""
+        """(rows, sorted distinct keys end to end, bounds) of the texts with enough words; key = count and hash."""
         rows, h, bounds = C.batch_shingles(texts, width, cache, least_words)
+        if not rows:
+            return rows, h, bounds
         key = (C.lookup(sketch.value, bits, h).astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16))
-        for i, row in enumerate(rows):
-            yield row, np.unique(key[bounds[i] : bounds[i + 1]])
+        ends = bounds.tolist()
+        for a, b in zip(ends, ends[1:]):
+            key[a:b].sort()
+        keep = np.r_[True, key[1:] != key[:-1]]
+        keep[bounds[:-1]] = True
+        return rows, key[keep], np.r_[0, np.cumsum(np.add.reduceat(keep, bounds[:-1], dtype=np.int64))]
 
     def index(it):
         """Prefix entries of each class that this task has not met yet."""
         cache, seen = C.WordHashes(), set()
         for batch in it:
-            toks, sizes, clss, ns, poss = [], [], [], [], []
-            for _, s in keyed(batch.column("text").to_pylist(), cache):
-                digest = xxhash.xxh3_128_digest(s)
+            rows, key, bounds = keyed(batch.column("text").to_pylist(), cache)
+            if not rows:
+                continue
+            ends, name, fresh = bounds.tolist(), [], np.ones(len(rows), bool)
+            for i, (a, b) in enumerate(zip(ends, ends[1:])):
+                digest = xxhash.xxh3_128_digest(key[a:b])
+                name.append(digest[:8])
                 if digest in seen:
-                    continue
-                if len(seen) < 500_000:
+                    fresh[i] = False
+                elif len(seen) < 500_000:
                     seen.add(digest)
-                n = len(s)
-                prefix = n - -(-n * num // den) + 1
-                once = int(np.searchsorted(s[:prefix], 2 << 48))  # those that occur once have no partner
-                if once < prefix:
-                    toks.append(s[once:prefix])
-                    sizes.append(prefix - once)
-                    clss.append(int.from_bytes(digest[:8], "little", signed=True))
-                    ns.append(n)
-                    poss.append(once)
-            if not toks:
-                continue
-            size = np.array(sizes)
-            tok = np.concatenate(toks)
-            first = np.repeat(np.cumsum(size) - size, size)
-            pos = np.arange(len(tok)) - first + np.repeat(np.array(poss), size)
-            cls = np.repeat(np.array(clss, np.int64), size)
-            order = (np.repeat(np.array(ns, np.int64), size) << 32) | pos
+            size = np.diff(bounds)
+            at = np.repeat(np.arange(len(rows)), size)
+            pos = np.arange(len(key)) - bounds[at]
+            prefix = size - -(-size * num // den) + 1
+            pick = (pos < prefix[at]) & (key >= np.uint64(2 << 48)) & fresh[at]  # what occurs once has no partner
+            tok, at, pos = key[pick], at[pick], pos[pick]
+            cls = np.frombuffer(b"".join(name), np.int64)[at]
+            order = (size[at] << 32) | pos
             count = (tok >> np.uint64(48)).astype(np.int64)
             part = np.zeros(len(tok), np.int64)
             cell = np.zeros(len(tok), np.int64)
@@ -255,8 +256,8 @@ def near_duplicate_classes(
     # A bitmap of the candidate classes, of bounded size: only these need more than a name.
     def classes(it):
         for batch in it:
-            both = np.concatenate([batch.column("a").to_numpy(), batch.column("b").to_numpy()])
-            yield C.mix64(both.view(np.uint64))
+            both = np.unique(np.concatenate([batch.column("a").to_numpy(), batch.column("b").to_numpy()]))
+            yield np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes()) for x in both), np.uint64, len(both))
 
     hot = spark.sparkContext.broadcast(np.packbits(C.counting_sketch(candidates, classes, bits) > 0))
 
@@ -266,10 +267,13 @@ def near_duplicate_classes(
         for batch in it:
             ids, grps = batch.column("id").to_pylist(), batch.column("grp").to_pylist()
             out = []
-            for row, s in keyed(batch.column("text").to_pylist(), cache):
+            rows, key, bounds = keyed(batch.column("text").to_pylist(), cache)
+            ends = bounds.tolist()
+            for row, lo, hi in zip(rows, ends, ends[1:]):
+                s = key[lo:hi]
                 digest = xxhash.xxh3_128_digest(s)
                 names = (ids[row], grps[row], int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True))
-                at = int(C.mix64(np.frombuffer(digest[:8], np.uint64))[0]) >> (64 - bits)
+                at = xxhash.xxh3_64_intdigest(digest[:8]) >> (64 - bits)
                 if not bitmap[at >> 3] >> (7 - (at & 7)) & 1:
                     out.append((*names, None, None, None))
                     continue
@@ -312,7 +316,8 @@ def near_duplicate_classes(
             ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
             at = (xxhash.xxh3_64_intdigest(i) >> (64 - bits) for i in ids)
             pick = [k for k, x in enumerate(at) if bitmap[x >> 3] >> (7 - (x & 7)) & 1]
-            out = [(ids[pick[row]], s.tobytes()) for row, s in keyed([texts[k] for k in pick], cache)]
+            rows, key, bounds = keyed([texts[k] for k in pick], cache)
+            out = [(ids[pick[row]], key[lo:hi].tobytes()) for row, lo, hi in zip(rows, bounds.tolist(), bounds[1:].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.binary())], ["rep", "set"])
 
     # Repeated rows of an id hold the same text.
