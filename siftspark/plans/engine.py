@@ -82,13 +82,14 @@ class Engine:
         made = chunking.chunk_files(texts, self.cfg.chunk_size, self.cfg.chunk_overlap)
         made.write.parquet(str(target / "new_chunks"))
         added = self.spark.read.schema(CHUNKS).parquet(str(target / "new_chunks"))
-        # Files of equal content make equal chunk ids: the last path keeps them.
-        lifecycle.upsert(lifecycle.purge(self.chunks(), stale), added, ["chunk_id"], "rel_path").write.parquet(str(target / "chunks"))
+        # Files of equal content make equal chunk ids: both keep their rows, and a search shows the last path.
+        lifecycle.upsert(lifecycle.purge(self.chunks(), stale), added, ["chunk_id", "rel_path"]).write.parquet(str(target / "chunks"))
         chunks = self.spark.read.schema(CHUNKS).parquet(str(target / "chunks"))
         say("embed")
-        kept = self.vectors().join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-        new = vectors.embed(chunks.join(kept.select("chunk_id"), "chunk_id", "left_anti"), "text", self.embedder, self.cfg.embedding_dim)
-        kept.unionByName(new.select("chunk_id", "rel_path", "file_hash", "vector")).dropDuplicates(["chunk_id"]).write.parquet(str(target / "vectors"))
+        key = ["chunk_id", "rel_path"]
+        kept = self.vectors().join(chunks.select(*key), key, "left_semi")
+        new = vectors.embed(chunks.join(kept.select(*key), key, "left_anti"), "text", self.embedder, self.cfg.embedding_dim)
+        kept.unionByName(new.select("chunk_id", "rel_path", "file_hash", "vector")).write.parquet(str(target / "vectors"))
         say("keywords")
         bm25.KeywordIndex.build(chunks).write(str(target))
         counters = lifecycle.stats(changes, chunks, added).first().asDict()
@@ -119,7 +120,7 @@ class Engine:
         by_words = index.search(queries, pool, extra, pad_zero_scores)
         try:
             asked = vectors.embed(queries, "query_text", self.embedder, self.cfg.embedding_dim)
-            by_vector = vectors.nearest(asked, self.vectors(), pool)
+            by_vector = vectors.nearest(asked, self.vectors().dropDuplicates(["chunk_id"]), pool)
         except Exception:  # noqa: BLE001 - searching goes on without vectors
             by_vector = empty
         return fusion.hydrate(fusion.fuse_ranks(by_words, by_vector, self.cfg.rrf_k, k), self.chunks())

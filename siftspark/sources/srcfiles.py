@@ -106,5 +106,5 @@ def with_text(files: DataFrame) -> DataFrame:
 
 def project_stats(files: DataFrame) -> DataFrame:
     """One row: number of files and physical lines (counted in bytes)."""
-    text = F.decode("content", F.lit("ISO-8859-1"))
+    text = F.decode("content", "ISO-8859-1")
     return files.agg(F.count("*").alias("file_count"), F.coalesce(F.sum(T.line_count(text)), F.lit(0)).alias("total_loc"))
