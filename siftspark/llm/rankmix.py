@@ -56,9 +56,13 @@ def fuse_scores(
     deviation of a signal is 0 in a query, its scale is 1. ``place_s`` is 1 plus the
     number of rows of the query that are strictly better. ``position`` is a total order:
     fused, then item, then the other columns. Rows with a null query are left out;
-    null items keep their place.
+    null items keep their place. Extra columns stay; one named like a result gets the
+    suffix ``_given``. An empty table gives an empty result.
     """
     signals = signals or {"bm25": ("bm25_rank", -1.0), "vector": ("vector_rank", -1.0), "score": ("score", 1.0)}
+    made = {"fused", "position", *(f"{p}_{s}" for p in ("z", "u", "place", "_v", "_m", "_d", "_b", "_c") for s in [*signals, "fused"]), "_sizes"}
+    used = {query_col, item_col, *(c for c, _ in signals.values())}
+    df = df.withColumnsRenamed({c: f"{c}_given" for c in df.columns if c in made and c not in used})
     base = df.where(F.col(query_col).isNotNull()).distinct()
     for s, (c, w) in signals.items():
         v = F.col(c).cast("double") * (1.0 if w > 0 else -1.0)
