@@ -7,8 +7,7 @@ such similarity of the shorter with a window of the longer counts, less a tenth.
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,37 +67,48 @@ def similarity(a: str, b: str) -> float:
 
 
 class _Scorer:
-    """Terms prepared for many comparisons; prunes pairs that cannot reach the cut."""
+    """Terms prepared for many comparisons; prunes pairs that cannot reach the cut.
+
+    Words become counts of letters (hashed to 32 kinds, which can only raise the number of
+    common ones), and the bounds are tested for whole blocks of words and terms.
+    """
+
+    KINDS = 32
 
     def __init__(self, terms: list[str], cut: float) -> None:
-        self.cut = cut
-        self.terms = [(t, len(t), Counter(t)) for t in terms]
-        self.by_length: dict[int, list] = {}
-        for entry in self.terms:
-            self.by_length.setdefault(entry[1], []).append(entry)
-
-    def hits(self, word: str):
-        m, bag = len(word), Counter(word)
-        for n, entries in self.by_length.items():
-            long, short = max(n, m), min(n, m)
+        self.terms, self.cut = terms, cut
+        self.bags = self._bags(terms)
+        self.sizes = np.array([len(t) for t in terms], np.int64)
+
+    def _bags(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), self.KINDS), np.uint8)
+        for row, w in zip(out, words):
+            for c in w[:200]:
+                row[ord(c) % self.KINDS] += 1
+        return out
+
+    def block(self, words: list[str]) -> list[tuple[str, str, float]]:
+        """(term, word, similarity) of the pairs that reach the cut."""
+        if not words or not self.terms:
+            return []
+        bags, m = self._bags(words), np.array([len(w) for w in words], np.int64)
+        out = []
+        p = self.cut / 0.9
+        for i, (term, n) in enumerate(zip(self.terms, self.sizes.tolist())):
+            long, short = np.maximum(m, n), np.minimum(m, n)
             near = long < 1.5 * short
-            if near:
-                least = self.cut * (n + m) / 200  # common letters that the ratio needs
-                if short < least:
-                    continue
-            else:
-                if long > 8 * short:
-                    continue
-                p = self.cut / 0.9
-                if p > 100:
-                    continue
-                # a window of w letters needs p*(short+w)/200 common ones, and has at most w
-                least = p * short / (200 - p)
-            for term, _, other in entries:
-                if sum(min(c, other[x]) for x, c in bag.items() if x in other) >= least - 1e-9:
-                    s = similarity(term, word)
-                    if s >= self.cut:
-                        yield term, s
+            # common letters that the ratio needs; or a window of the longer, which has at most as many as its length
+            least = np.where(near, self.cut * (m + n) / 200, p * short / (200 - p) if p <= 100 else np.inf)
+            fit = np.flatnonzero((short >= least - 1e-9) & (near | (long <= 8 * short)) & (short > 0))
+            if not len(fit):
+                continue
+            common = np.minimum(bags[fit], self.bags[i]).sum(1, dtype=np.int64)
+            fit = fit[(common >= least[fit] - 1e-9) | (m[fit] > 200) | (n > 200)]
+            for k in fit.tolist():
+                s = similarity(term, words[k])
+                if s >= self.cut:
+                    out.append((term, words[k], s))
+        return out
 
 
 def unknown_terms(queries: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -117,6 +127,7 @@ def candidates(terms: DataFrame, vocab: DataFrame, threshold: float = 82, per_te
     wanted = terms.select("term").distinct()
     n_blocks = max(1, -(-wanted.count() // BLOCK))
     found = None
+    words = vocab.select("token").distinct().repartition(spark.sparkContext.defaultParallelism)  # few bytes, much work
     for block in range(n_blocks):
         part = [r["term"] for r in wanted.where(F.pmod(F.xxhash64("term"), F.lit(n_blocks)) == block).collect()]  # about BLOCK terms
         held = spark.sparkContext.broadcast(part)
@@ -124,10 +135,10 @@ def candidates(terms: DataFrame, vocab: DataFrame, threshold: float = 82, per_te
         def score(it, held=held):
             scorer = _Scorer(held.value, threshold)
             for batch in it:
-                rows = [(t, w, s) for w in batch.column("token").to_pylist() for t, s in scorer.hits(w) if t != w]
+                rows = [r for r in scorer.block(batch.column("token").to_pylist()) if r[0] != r[1]]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], ["term", "candidate", "similarity"])
 
-        near = vocab.select("token").distinct().mapInArrow(score, "term string, candidate string, similarity double")
+        near = words.mapInArrow(score, "term string, candidate string, similarity double")
         found = near if found is None else found.unionByName(near)
     order = W.partitionBy("term").orderBy(F.desc("similarity"), "candidate")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_term)
