@@ -27,7 +27,7 @@ L = len(LABELS)
 #: Most names taken from the list (the list is broadcast with the model).
 MAX_NAMES = 200_000
 #: Sentences the model is fitted to, steps of the fit; lines of the collection itself that show what is no entity.
-TRAIN_LINES, STEPS, SEED = 5000, 45, 5
+TRAIN_LINES, STEPS, SEED = 4200, 40, 5
 ROUNDS = 3
 BACKGROUND_LINES = 2000
 
