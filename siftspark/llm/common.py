@@ -103,11 +103,11 @@ def frame_rows(it: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
 # the executors, summed in slices. Its size depends on ``bits`` alone.
 
 SLICES = 64
-MAX_BITS = 24
+MAX_BITS = 25
 
 
 def sketch_bits(n_rows: int, per_row: int) -> int:
-    """log2 of the number of counters: follows the data up to MAX_BITS (32 MB)."""
+    """log2 of the number of counters: follows the data up to MAX_BITS (64 MB)."""
     return min(MAX_BITS, max(14, math.ceil(math.log2(max(2, n_rows * per_row)))))
 
 

@@ -217,21 +217,22 @@ def near_duplicate_classes(
                 other = np.arange(len(reps)) - np.repeat(np.cumsum(groups) - groups, groups)
                 tok, cls, order, part = tok[reps], cls[reps], order[reps], part[reps]
                 cell = np.minimum(part, other) * 64 + np.maximum(part, other)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (C.signed(tok), order, cls, cell * 64 + part)], ["tok", "ord", "cls", "cell"])
+                tok = tok + cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # one list per cell
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (C.signed(tok), order, cls, cell * 64 + part)], ["list", "ord", "cls", "cell"])
 
-    entries = base.select("text").mapInArrow(index, "tok long, ord long, cls long, cell long")
+    entries = base.select("text").mapInArrow(index, "list long, ord long, cls long, cell long")
 
     def probe(it):
         """Candidate pairs of the lists; a list may span batches."""
-        names = ["tok", "list", "ord", "cls", "cell"]
+        names = ["list", "ord", "cls", "cell"]
         held = None
 
-        def pairs(tok, lst, order, cls, cell):
-            new = np.r_[True, (tok[1:] != tok[:-1]) | (lst[1:] != lst[:-1])]
+        def pairs(lst, order, cls, cell):
+            new = np.r_[True, lst[1:] != lst[:-1]]
             i, j = pairs_in_lists(np.cumsum(new), order >> 32, order & 0xFFFFFFFF, num, den)
-            part = cell & 63
+            part, low, high = cell & 63, cell >> 6 & 63, cell >> 12
             a, b = cls[i], cls[j]
-            ok = ((lst[i] // 64 == lst[i] % 64) | (part[i] != part[j])) & (a != b)
+            ok = ((low[i] == high[i]) | (part[i] != part[j])) & (a != b)
             a, b = a[ok], b[ok]
             pq = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pq[:, 0])), pa.array(np.ascontiguousarray(pq[:, 1]))], ["a", "b"])
@@ -242,7 +243,7 @@ def near_duplicate_classes(
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
             if not len(cols[0]):
                 continue
-            open_ = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
+            open_ = cols[0] == cols[0][-1]
             last = int(np.flatnonzero(~open_)[-1]) + 1 if not open_.all() else 0
             if last:
                 yield pairs(*(c[:last] for c in cols))
@@ -250,7 +251,7 @@ def near_duplicate_classes(
         if held is not None and len(held[0]):
             yield pairs(*held)
 
-    lists = entries.withColumn("list", F.shiftright("cell", 6)).repartition("tok", "list").sortWithinPartitions("tok", "list", "ord")
+    lists = entries.repartition("list").sortWithinPartitions("list", "ord")
     candidates = _cut(lists.mapInArrow(probe, "a long, b long").distinct())
 
     # A bitmap of the candidate classes, of bounded size: only these need more than a name.
