@@ -142,26 +142,45 @@ def counting_sketch(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]],
             part = counts[s * width : (s + 1) * width]
             if part.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([s], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["slice", "counts"]
+                    [pa.array([s], pa.int32()), pa.array([_pack(part)], pa.binary())], ["slice", "counts"]
                 )
 
     def add(key, table):
         total = np.zeros(width, np.int64)
         for c in table.column("counts"):
-            total += np.frombuffer(zlib.decompress(c.as_py()), np.uint16)
-        out = zlib.compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), 1)
+            total += _unpack(c.as_py())
+        out = _pack(np.minimum(total, 65535).astype(np.uint16))
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([out], pa.binary())})
 
     schema = "slice int, counts binary"
     summed = df.mapInArrow(fill, schema).groupBy("slice").applyInArrow(add, schema)
     out = np.zeros(size, np.uint16)
     for row in summed.toLocalIterator():
-        out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(zlib.decompress(row["counts"]), np.uint16)
+        out[row["slice"] * width : (row["slice"] + 1) * width] = _unpack(row["counts"])
     return out
 
 
-def lookup(sketch: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
-    return sketch[(h >> np.uint64(64 - bits)).astype(np.int64)]
+def _pack(counts: np.ndarray) -> bytes:
+    """Low bytes, then high bytes (mostly zero), compressed."""
+    return zlib.compress(counts.view(np.uint8).reshape(-1, 2).T.tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(2, -1).T).view(np.uint16).ravel()
+
+
+#: Counts that the codes of a compact sketch stand for: exact to 32, then 16 steps to a doubling.
+CODES = np.r_[np.arange(33), np.minimum(np.ceil(32 * 2 ** (np.arange(1, 177) / 16)), 65535)].astype(np.uint16)
+
+
+def compact(sketch: np.ndarray) -> np.ndarray:
+    """Codes of one byte, half the size to broadcast."""
+    return (np.searchsorted(CODES, sketch, side="right") - 1).astype(np.uint8)
+
+
+def lookup(codes: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+    """Counts of hashes in a compact sketch (from above 32, rounded down)."""
+    return CODES[codes[(h >> np.uint64(64 - bits)).astype(np.int64)]]
 
 
 def signed(h: np.ndarray) -> np.ndarray:

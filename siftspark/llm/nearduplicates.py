@@ -169,7 +169,7 @@ def near_duplicate_classes(
         for batch in it:
             yield C.batch_shingles(batch.column("text").to_pylist(), width, cache, least_words)[1]
 
-    sketch = spark.sparkContext.broadcast(C.counting_sketch(base.select("text"), all_hashes, bits))
+    sketch = spark.sparkContext.broadcast(C.compact(C.counting_sketch(base.select("text"), all_hashes, bits)))
 
     def keyed(texts, cache):
         """(rows, sorted distinct keys end to end, bounds) of the texts with enough words; key = count and hash."""
