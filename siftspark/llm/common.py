@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
+#: ASCII text: lower-cases what belongs to words and blanks the rest.
+_ASCII_WORDS = {i: chr(i).lower() if chr(i).isalnum() or chr(i) == "_" else " " for i in range(128)}
 
 #: Odd multipliers for combining word hashes; any odd 64-bit constants serve.
 _MULTIPLIERS = (
@@ -35,6 +37,8 @@ class WordHashes(dict):
 
 def words(text: str) -> list[str]:
     """Maximal runs of letters, digits and underscores, lower-cased."""
+    if text.isascii():
+        return text.translate(_ASCII_WORDS).split()
     if "İ" in text:  # its lower case is two characters, the second no letter
         return [w.lower() for w in WORD.findall(text)]
     return WORD.findall(text.lower())
@@ -175,7 +179,7 @@ CODES = np.r_[np.arange(33), np.minimum(np.ceil(32 * 2 ** (np.arange(1, 177) / 1
 
 def compact(sketch: np.ndarray) -> np.ndarray:
     """Codes of one byte, half the size to broadcast."""
-    return (np.searchsorted(CODES, sketch, side="right") - 1).astype(np.uint8)
+    return (np.searchsorted(CODES, np.arange(65536), side="right") - 1).astype(np.uint8)[sketch]
 
 
 def lookup(codes: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
