@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from siftspark.config import Config
 from siftspark.functions import text as T
 from siftspark.operators import bm25, chunking, fusion, fuzzy, lifecycle, rag, vectors
+from siftspark.session import ship
 from siftspark.sources import srcfiles
 
 SCHEMA_VERSION = 1
@@ -30,6 +31,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str | Path, cfg: Config | None = None, embedder: Callable | None = None) -> None:
         self.spark, self.root, self.cfg, self.embedder = spark, Path(root).resolve(), cfg or Config(), embedder
         self.folder = self.root / self.cfg.index_dir_name
+        ship(spark)
 
     # ------------------------------------------------------------ state
     def state(self) -> dict:
