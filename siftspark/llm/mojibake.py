@@ -70,7 +70,7 @@ def _read_spans(run: str, codec: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _UTF8.finditer(raw):
         text = m[0].decode("utf-8")
-        if codec in _CYRILLIC_PAGES and any(c not in _CYRILLIC and not (0xA0 <= ord(c) <= 0x17F or 0x2010 <= ord(c) <= 0x2122) for c in text):
+        if codec in ("koi8_r", "cp866") and any(c not in _CYRILLIC and not (0xA0 <= ord(c) <= 0x17F or 0x2010 <= ord(c) <= 0x2122) for c in text):
             continue  # three or four Cyrillic letters in a row also make a well-formed rare character
         if all(map(_plausible, text)):
             out.append((m.start(), m.end(), text))
@@ -166,11 +166,12 @@ def _mean_rank(text: str) -> float:
     return (sum(ranks) + 12 * odd) / len(ranks) if ranks else 99.0
 
 
-def _fix_cyrillic(line: str) -> str | None:
-    """A line of one Cyrillic code page read in another."""
+def _fix_cyrillic(line: str, few: bool = False) -> str | None:
+    """A line of one Cyrillic code page read in another; ``few``: also one of a few letters."""
     letters = sum(c in _CYRILLIC for c in line)
     box = bool(_BOX_AS_LETTERS.search(line))
-    if letters < 6 and not box:
+    # frequencies of few letters say little, unless their case is upside down
+    if not few and letters < (6 if re.search("[а-яё][А-ЯЁ]", line) else 14) and not box:
         return None
     best, top = None, _mean_rank(line) - 2.5
     for wrong in ("cp1251", "koi8_r", "cp866", "mac_cyrillic", "iso8859_5"):
@@ -265,6 +266,14 @@ def repair_text(text: str) -> tuple[str, list[int], list[str]]:
             numbers.append(i + 1)
             kinds.append(kind)
             lines[i] = fixed
+    if "single" in kinds:  # beside such lines, a few capitals are the rest of a garbled sentence
+        for i, line in enumerate(lines):
+            if i + 1 not in numbers and re.search("[А-ЯЁ]{3}", line) and not re.search("[а-яё]", line) and (fixed := _fix_cyrillic(line, True)):
+                numbers.append(i + 1)
+                kinds.append("single")
+                lines[i] = fixed
+        both = sorted(zip(numbers, kinds))
+        numbers, kinds = [n for n, _ in both], [k for _, k in both]
     return "\n".join(lines), numbers, kinds
 
 

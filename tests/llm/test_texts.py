@@ -35,6 +35,9 @@ def test_other_damage():
     assert mojibake.repair_line(FINE[5].encode("cp1251").decode("latin-1")) == (FINE[5], "single")
     assert mojibake.repair_line(FINE[5].encode("koi8_r").decode("cp1251")) == (FINE[5], "single")
     assert mojibake.repair_line(FINE[5].encode().decode("cp1251", "replace"))[1] is not None
+    assert mojibake.repair_line("пустой.") == ("пустой.", None)
+    assert mojibake.repair_text((FINE[5] + "\nпустой.").encode("koi8_r").decode("cp1251")) == (FINE[5] + "\nпустой.", [1, 2], ["single", "single"])
+    assert mojibake.repair_line("├── a.py".encode().decode("cp1251", "replace"))[1] is not None
     assert mojibake.repair_line("M�glich")[1] == "lost"
     assert mojibake.repair_text("plain\ntext") == ("plain\ntext", [], [])
 
