@@ -289,10 +289,10 @@ TEMPLATES = (
     "Approved by Dr. [person] after the review.", "met [person] in the hallway, will follow up", "escalate to [person] if nobody answers [phone]", "Signed-off-by: [person] <[email]>", "author: [person] <[email]>", "TODO([person]): ask before the next release, [phone]",
     "see mail from [person], [email]", "Mail to [email] bounced twice.", "cc [email], [email]", "maintainer = \"[email]\"", "customer row: \"[person]\",\"[address]\",\"[email]\",\"[phone]\"", "test data: name=[person]; street=[address]; [idkv]", "{\"user\": \"[person]\", \"phone\": \"[phone]\"}",
     "- owner: [person]", "- desk: [phone]", "- mail: [email]", "On call this week: [person] - [phone]", "Gemeldet von [person] ([email]).", "Rückfragen bitte an [person], Tel. [phone].", "Lieferung an [person], [address], {p} {S}.", "Im Formular stand [id].",
-    "Signalé par [person] ([email]).", "Pour toute question, appelez [person] au [phone].", "Le formulaire affichait [id].", "Livrer la pièce à [person], [address], {p} {S}.", "Avisado por [person] ([email]).", "Para dudas llame a [person], tel. [phone].", "En el formulario aparece [id].",
+    "Signalé par [person] ([email]).", "Pour toute question, appelez [person] au [phone].", "Le formulaire affichait [id].", "Livrer la pièce à [person], [address], {p} {S}.", "Envoyer le module à [person], [address], {S}.", "Send the part to [person], [address], {S}, {p}.", "{\"name\": \"[person]\", \"phone\": \"[phone]\"}", "{\"user\": \"[person]\", \"mail\": \"[email]\"}", "[person] [email]", "Avisado por [person] ([email]).", "Para dudas llame a [person], tel. [phone].", "En el formulario aparece [id].",
     "Enviar la pieza a [person], [address], {S}.", "[person]", "[address]", "Tel. [phone]", "{p} {S}", "{S}", "{S}, {p}", "Thanks,", "reviewed with [person] and [person]", "{w} [person] {w}", "Regards, [person]", "Dear Mr. [person],", "(ask for [person])", "phone: [phone], fax [phone]",
 )
-WORDS = "the a when of each waits files pages rows must before after once more than only buffer cache queue value record index parse merge split restore page module class function return import error warning server client token session render update delete insert select where table column key node graph list tree branch release test build deploy config default option field schema batch stream worker thread lock timeout retry limit window counter chunk report review issue patch change version package project service method object string integer number array option state layer loader filter handler manager context pattern vector policy der die das und wird nicht eine für mit auf von bei nach datei tabelle größe länge suche le la les une des est pour avec dans période règle mémoire el los una por para con según página versión conexión May June Grace Amber Rusty Mark open silent nested primary".split()
+WORDS = "the a when of each waits files pages rows must before after once more than only buffer cache queue value record index parse merge split restore page module class function return import error warning server client token session render update delete insert select where table column key node graph list tree branch release test build deploy config default option field schema batch stream worker thread lock timeout retry limit window counter chunk report review issue patch change version package project service method object string integer number array option state layer loader filter handler manager context pattern vector policy der die das und wird nicht eine für mit auf von bei nach datei tabelle größe länge suche le la les une des est pour avec dans période règle mémoire el los una por para con según página versión conexión May Grace Mark open silent nested primary".split()
 
 
 def _invent(r: random.Random, names: list[str]) -> str:
