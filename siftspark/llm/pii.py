@@ -43,10 +43,10 @@ _NUMBER = r"\d{1,5}(?:\s?[a-zA-Z]\b|\s(?:bis|ter|quater)\b)?"
 TOKEN = re.compile(
     "|".join(
         (
-            r"(?P<email>[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)*\.[A-Za-z][\w\-]+|[\w.+\-]+\s?(?:\((?:at|AT)\)|\[(?:at|AT)\]|\{at\}|(?<=\s)AT(?=\s))\s?[\w\-]+(?:\s?(?:\((?:dot|DOT)\)|\[(?:dot|DOT)\]|\{dot\}|(?<=\s)DOT(?=\s)|\.)\s?[\w\-]+)+)",
-            rf"(?P<address>(?i:{_NUMBER},?\s(?:[nsew]\.?\s)?{_NAME}(?:\s{_NAME})?\s{_STREET_EN}(?!\w)|{_NUMBER},?\s{_STREET_FR}\s{_ART}{_NAME}(?:[\s\-](?=[A-Z]){_NAME})?|{_L}{{2,}}{_STREET_DE}\s{_NUMBER}|{_STREET_ES}\s{_ART}{_NAME},?\s(?:n[º°o]\.?\s)?{_NUMBER}))(?!\w)",
+            r"(?P<email>[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)*\.[A-Za-z][\w\-]+|[\w.+\-]+\s?(?:\((?:at|AT)\)|\[(?:at|AT)\]|\{at\}|(?<=\s)AT(?=\s))\s?[\w\-]+(?:\s?(?:\((?:dot|DOT)\)|\[(?:dot|DOT)\]|\{dot\}|(?<=\s)DOT(?=\s))\s?[\w\-]+|\.[\w\-]+)+)",
+            rf"(?P<address>(?i:{_NUMBER},?\s(?:[nsew]\.?\s)?{_NAME}(?:\s{_NAME})?\s{_STREET_EN}(?!\w)|{_NUMBER},?\s{_STREET_FR}\s{_ART}{_NAME}|{_L}{{2,}}{_STREET_DE}\s{_NUMBER}|{_STREET_ES}\s{_ART}{_NAME},?\s(?:n[º°o]\.?\s)?{_NUMBER}))(?!\w)",
             r"(?P<code>\b[A-Z]{2}\s?\d{2}(?:\s?\d{4}){2,7}(?:\s?\d{1,4})?\b|\b[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]\b|\b\d{7,8}\s?-?\s?[A-Z]\b|\b(?=[A-Z0-9]*\d[A-Z0-9]*\d)(?=[A-Z0-9]*[A-Z])[A-Z0-9]{7,12}\b)",
-            r"(?P<digits>(?<![\w.])(?:\+\s?)?\(?\d{1,5}\)?(?:[ ./\-]?\(?\d{1,5}\)?){2,8}(?!\w)|(?<![\w.])\+?\d{7,15}(?!\w))",
+            r"(?P<digits>(?<![\w.])(?:\(\+\d{1,3}\)\s?|\+\s?)?\(?\d{1,5}\)?(?:[ ./\-]?\(?\d{1,5}\)?){2,8}(?!\w)|(?<![\w.])\+?\d{7,15}(?!\w))",
             r"(?P<escape>\\[nrtbf\"/\\])",
             rf"(?P<initial>\b[A-ZÀ-Ž]\.(?=\s))",
             rf"(?P<word>{_WORD})",
@@ -129,6 +129,9 @@ class Features:
         elif kind == "email":
             local = re.split(r"@|\s?[(\[{]?(?:at|AT)[)\]}]?\s", text)[0].lower()
             names += [f"l={local}" if local in ("git", "deploy", "root", "admin", "ssh", "svn", "hg") else "l=", f"c={follows in ':/'}" if follows else "c="]
+        elif kind == "address":  # several features of its own, as the neighbours have several
+            low = text.lower()
+            names += ["a=any", f"a={re.sub(r'[0-9]+', '9', re.sub(r'[^0-9 .,]+', 'w', low))}", f"e={low[-3:]}", f"b={low.split()[0][:4]}"]
         elif kind == "number":
             names += [f"k={len(text)}"]
         elif kind == "sign":
@@ -534,12 +537,12 @@ def fit(given: list[str], family: list[str], background: list[str] = ()) -> Mode
             for c in range(3):
                 grads[4][c] = (kind[ya, yb] == c).sum() - (j * (kind == c)).sum()
         for p, g, a, b in zip(params, grads, m1, m2):
-            g -= 0.3 * p  # Gaussian prior
+            g -= 0.15 * p  # Gaussian prior
             a *= 0.9
             a += 0.1 * g
             b *= 0.99
             b += 0.01 * g * g
-            p += 0.12 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
+            p += 0.2 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
     model.compile()
     return model
 
