@@ -105,7 +105,7 @@ def bm25_topk(spark, d):
 
 
 def fuzzy_expand(spark, d):
-    vocab = bm25.vocabulary(bm25.postings(bm25.one_text(table(spark, d, "chunks"))))
+    vocab = bm25.KeywordIndex.build(table(spark, d, "chunks")).vocab
     found = fuzzy.expand(_queries(spark, d), vocab)
     return found.withColumn("similarity", F.round("similarity", 6))
 
