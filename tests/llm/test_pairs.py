@@ -169,3 +169,38 @@ def test_provenance(spark):
     got = {x.rel_path: x.kind for x in provenance.not_hand_written(fdf, cdf).collect()}
     assert got == {"one/pkg/x.pb.go": "generated", "one/pkg/head.py": "generated", "one/pkg/rep.py": "generated", "one/www/app.js": "minified", "one/core/blob.py": "data", "one/third_party/lib.py": "vendored", "two/lib/lib.py": "vendored"}
     assert provenance.not_hand_written(fdf.limit(0), cdf.limit(0)).count() == 0
+
+
+def _whole_families(sets):
+    """Connected components of all pairs of similar sets."""
+    names, root = sorted(sets), {}
+    find = lambda x: x if root.get(x, x) == x else find(root[x])
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            if len(sets[a] & sets[b]) >= provenance.SIMILAR * len(sets[a] | sets[b]) and find(a) != find(b):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {x: find(x) for x in names}
+
+
+@pytest.mark.parametrize("cell", [1024, 3])
+def test_families_are_whole_components(spark, monkeypatch, cell):
+    monkeypatch.setattr(provenance, "CELL", cell)
+    rng = np.random.default_rng(3)
+    sets = {}
+    for f in range(6):  # chains: each file is like the next, the ends are not alike
+        words = rng.integers(0, 2**32, 400, dtype=np.uint32)
+        order = rng.permutation(12)
+        for k in range(12):
+            sets[f"r{k % 2}/{order[k]:02d}_{f}.py"] = {int(x) for x in words[k * 12 : k * 12 + 200]}
+    sets["r0/same.py"] = sets["r0/" + next(x for x in sorted(sets) if x.startswith("r0"))[3:]]
+    df = spark.createDataFrame([(p, np.array(sorted(s), np.uint32).tobytes()) for p, s in sets.items()], "rel_path string, masked binary").repartition(3)
+    assert {x.rel_path: x.family for x in provenance._families(df).collect()} == _whole_families(sets)
+
+
+def test_family_sizes_do_not_hang_on_the_head(spark):
+    line = lambda k: f"x{k} = " + " ".join("+-*/%&|^<>"[int(c)] + " y" for c in f"{k * 7919 % 100000:05d}")
+    text = lambda a, b: "\n".join(line(k) for k in range(a, b))
+    files = {"one/a.py": text(0, 40), "one/b.py": text(4, 44), "one/c.py": text(8, 48), "one/d.pb.py": text(12, 52)}
+    fdf = spark.createDataFrame([(p, len(t), None) for p, t in files.items()], "rel_path string, size long, language string")
+    cdf = spark.createDataFrame([(p, 1, t) for p, t in files.items()], "rel_path string, start_line int, text string").withColumn("language", F.lit(None).cast("string"))
+    assert [x.family_size for x in provenance.not_hand_written(fdf, cdf).collect()] == [4]
