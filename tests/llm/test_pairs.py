@@ -204,3 +204,27 @@ def test_family_sizes_do_not_hang_on_the_head(spark):
     fdf = spark.createDataFrame([(p, len(t), None) for p, t in files.items()], "rel_path string, size long, language string")
     cdf = spark.createDataFrame([(p, 1, t) for p, t in files.items()], "rel_path string, start_line int, text string").withColumn("language", F.lit(None).cast("string"))
     assert [x.family_size for x in provenance.not_hand_written(fdf, cdf).collect()] == [4]
+
+
+def test_copies_of_any_seed_and_small_parts(spark):
+    rng = np.random.default_rng(5)
+    draw = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
+    big, other = draw(3000), draw(3000)
+    seeds = {"a/vendor/v1.js": np.r_[big[:1500], draw(1500)], "b/vendor/v2.js": big, "c/vendor/o.js": other}
+    rest = {
+        "d/part.js": big[2000:2050], "d/edited.js": np.r_[big[2500:2580], draw(20)], "d/own.js": draw(300),
+        "d/half.js": np.r_[big[:40], draw(60)], "d/two.js": np.r_[big[1600:1650], other[:50]], "d/below.js": np.r_[big[2500:2579], draw(21)],
+    }
+    frame = lambda d: spark.createDataFrame([(p, np.unique(s).tobytes()) for p, s in d.items()], "rel_path string, plain binary")
+    assert {x.rel_path for x in provenance._copies(frame(rest), frame(seeds)).collect()} == {"d/part.js", "d/edited.js"}
+    assert provenance._copies(frame(rest), frame(seeds).limit(0)).count() == 0
+
+
+def test_a_small_copy_of_a_large_library_is_vendored(spark):
+    r = random.Random(8)
+    forms = ["if {a} > {n}:", "    {a} = {b}({n})", "    return {a}.{b}", "for {a} in {b}:", "    {a}[{n}] += {b}", "    raise {a}({b})", "    with {a}({b}) as {a}:", "    {a} = [{b} for {b} in {a} if {b}]"]
+    lib = [r.choice(forms).format(a=f"p{r.randrange(999)}", b=f"q{r.randrange(999)}", n=r.randrange(99)) for _ in range(900)]
+    files = {"one/third_party/lib.py": "\n".join(lib), "two/src/part.py": "\n".join(lib[500:530])}
+    fdf = spark.createDataFrame([(p, len(t), None) for p, t in files.items()], "rel_path string, size long, language string")
+    cdf = spark.createDataFrame([(p, 1, t, None) for p, t in files.items()], "rel_path string, start_line int, text string, language string")
+    assert {x.rel_path: x.kind for x in provenance.not_hand_written(fdf, cdf).collect()} == dict.fromkeys(files, "vendored")
