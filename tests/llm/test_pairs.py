@@ -228,3 +228,14 @@ def test_a_small_copy_of_a_large_library_is_vendored(spark):
     fdf = spark.createDataFrame([(p, len(t), None) for p, t in files.items()], "rel_path string, size long, language string")
     cdf = spark.createDataFrame([(p, 1, t, None) for p, t in files.items()], "rel_path string, start_line int, text string, language string")
     assert {x.rel_path: x.kind for x in provenance.not_hand_written(fdf, cdf).collect()} == dict.fromkeys(files, "vendored")
+
+
+def test_files_of_few_shingles(spark):
+    few = lambda *v: np.array(v, np.uint32).tobytes()
+    rows = [("a/1.py", few(1, 2, 3)), ("a/2.py", few(1, 2, 3)), ("a/3.py", few(1, 2)), ("a/4.py", b""), ("a/5.py", b"")]
+    df = spark.createDataFrame(rows, "rel_path string, masked binary")
+    got = {x.rel_path: x.family for x in provenance._families(df).collect()}
+    assert got == {"a/1.py": "a/1.py", "a/2.py": "a/1.py", "a/3.py": "a/3.py"}
+    plain = df.withColumnRenamed("masked", "plain")
+    seeds = plain.where("rel_path in ('a/1.py', 'a/4.py')")
+    assert [x.rel_path for x in provenance._copies(plain.where("rel_path in ('a/2.py', 'a/3.py', 'a/5.py')"), seeds).collect()] == ["a/2.py"]
