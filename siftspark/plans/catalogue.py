@@ -150,8 +150,8 @@ def hybrid_text_search(spark, d):
     """Words and hashed embeddings of the texts themselves, fused."""
     chunks, asked = table(spark, d, "chunks"), _queries(spark, d).where("query_text is not null")
     by_words = bm25.KeywordIndex.build(chunks).search(asked, 32)
-    rows = vectors.embed(bm25.one_text(chunks), "text", dim=64)
-    by_vector = vectors.nearest(vectors.embed(asked, "query_text", dim=64), rows, 32)
+    rows = vectors.embed(bm25.one_text(chunks), "text")
+    by_vector = vectors.nearest(vectors.embed(asked, "query_text"), rows, 32)
     return fusion.hydrate(fusion.fuse_ranks(by_words, by_vector, top_n=8), chunks).drop("text").withColumn("score", F.round("score", 9))
 
 

@@ -40,3 +40,14 @@ def test_equals_sql(spark, data, duck, name):
 
 def test_entry(spark, data):
     assert entry.entry(spark).count() > 0
+
+
+def test_text_search_embeds_at_the_engines_dimension(spark, data, monkeypatch):
+    from siftspark.config import Config
+    from siftspark.operators import vectors
+    from siftspark.plans import catalogue
+
+    seen, nearest = [], vectors.nearest
+    monkeypatch.setattr(vectors, "nearest", lambda asked, rows, *a: seen.extend(len(x.first()["vector"]) for x in (asked, rows)) or nearest(asked, rows, *a))
+    assert catalogue.hybrid_text_search(spark, data).count()
+    assert seen == [Config().embedding_dim] * 2
