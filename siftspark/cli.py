@@ -7,7 +7,7 @@ import sys
 from collections.abc import Callable
 
 from siftspark import __version__, models
-from siftspark.config import load_config, update_user_config, user_config_path
+from siftspark.config import Config, default_file
 from siftspark.operators import rag
 
 
@@ -41,8 +41,10 @@ def _parser() -> argparse.ArgumentParser:
     p = command("setup", model=True)
     p.add_argument("--tier")
     p.add_argument("-y", "--yes", action="store_true")
+    p.add_argument("--pull", action=argparse.BooleanOptionalAction, default=None)
     p = command("doctor")
     p.add_argument("--write-config", action="store_true")
+    p.add_argument("--pull", action="store_true")
     p = command("reset")
     p.add_argument("-y", "--yes", action="store_true")
     return top
@@ -99,12 +101,7 @@ def main(argv: list[str] | None = None, *, spark=None, generator: Callable | Non
     """Exit codes: 0 fine (also without matches), 1 no index or refused, 2 model not ready, 3 generation failed."""
     args = _parser().parse_args(argv)
     out = out or sys.stdout
-    cfg = load_config()
-    if args.command == "setup" and (args.tier or args.model):
-        name = args.model or models.tier_info(args.tier).name
-        update_user_config(model=name)
-        print(f"model = {name}", file=out)
-        return 0
+    cfg = Config.from_file()
     from siftspark.plans.engine import Engine
     from siftspark.session import build_session
 
@@ -116,18 +113,9 @@ def main(argv: list[str] | None = None, *, spark=None, generator: Callable | Non
             print(f"{name}: {n}", file=out)
         return 0
     if args.command == "setup":
-        size = engine.project_stats()
-        spec = models.recommend_for_project(size["file_count"], size["total_loc"])
-        update_user_config(model=spec.name)
-        print(f"{size['file_count']} files, {size['total_loc']} lines: {spec.display}", file=out)
-        return 0
+        return _setup(engine, args, cfg, out)
     if args.command == "doctor":
-        have = rag.server_models(cfg.llm_base_url)
-        for name, value in (("config", user_config_path()), ("index", engine.exists()), ("model server", have is not None), ("model", rag.model_available(have, cfg.model))):
-            print(f"{name}: {value}", file=out)
-        if args.write_config:
-            update_user_config(**cfg.to_dict())
-        return 0
+        return _doctor(engine, args, cfg, out)
     if args.command == "reset":
         if not args.yes and (not sys.stdin.isatty() or input("Delete the index? [y/N] ").strip().lower() not in ("y", "yes")):
             return 1
@@ -160,6 +148,63 @@ def main(argv: list[str] | None = None, *, spark=None, generator: Callable | Non
     return _answer(engine, rag.Conversation(generate), args.query, hits, rows, out)
 
 
+def _setup(engine, args, cfg, out) -> int:
+    """Keep a model's name, download it if wanted. 1: unknown tier, 2: a download asked for by --pull or begun did not end well."""
+    ask = sys.stdin.isatty() and not args.yes
+    name = args.model
+    if not name:
+        try:
+            tier = models.resolve(args.tier) if args.tier else None
+        except ValueError as problem:
+            print(problem, file=out)
+            return 1
+        if tier is None:
+            size = engine.project_stats()
+            tier = size["tier"]
+            print(f"{size['file_count']} files, {size['total_loc']} lines\n{models.table(tier)}", file=out)
+            if ask and (typed := input(f"Which one? [{tier}] ").strip()):
+                try:
+                    tier = models.resolve(typed)
+                except ValueError as problem:
+                    print(problem, file=out)
+                    return 1
+        name = models.CHOICES[tier].model
+    print(f"model = {name}, kept in {Config.save(model=name)}", file=out)
+    pull = args.pull
+    if pull is None:
+        pull = args.yes or ask and input(f"Download {name} now? [Y/n] ").strip().lower() not in ("n", "no")
+    if not pull:
+        return 0
+    have = rag.server_models(cfg.llm_base_url)
+    if have is None:
+        print(f"No model server answers at {cfg.llm_base_url}; start one and run setup --pull.", file=out)
+        return 2 if args.pull else 0
+    return 0 if rag.model_available(have, name) or _fetched(cfg, name, out) else 2
+
+
+def _fetched(cfg, name: str, out) -> bool:
+    try:
+        rag.fetch_model(cfg.llm_base_url, name)
+    except (OSError, ValueError) as problem:
+        print(f"{name} was not downloaded: {problem}", file=out)
+        return False
+    print(f"{name} is there.", file=out)
+    return True
+
+
+def _doctor(engine, args, cfg, out) -> int:
+    """Four lines: settings, model server, model, index. Always 0: it reports."""
+    if args.write_config and not default_file().exists():
+        Config.save(**cfg.all())
+    have = rag.server_models(cfg.llm_base_url)
+    there = rag.model_available(have, cfg.model) or bool(args.pull and have is not None and _fetched(cfg, cfg.model, out))
+    print(f"settings: {default_file()}{'' if default_file().exists() else ' (defaults)'}", file=out)
+    print(f"model server: {cfg.llm_base_url} {'answers' if have is not None else 'does not answer'}", file=out)
+    print(f"model: {cfg.model} {'is there' if there else 'is missing'}", file=out)
+    print(f"index: {engine.chunks().count()} chunks" if engine.exists() else "index: none", file=out)
+    return 0
+
+
 def _answer(engine, talk, query: str, hits, rows, out) -> int:
     context = engine.context(hits).first()
     print("Answer", file=out)

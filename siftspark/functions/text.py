@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,9 +49,9 @@ def is_indexed_path(path: Column) -> Column:
     parts = F.split(path, "/")
     dirs = F.slice(parts, 1, F.size(parts) - 1)
     name = file_name(path)
-    dir_ok = ~F.exists(dirs, lambda d: d.isin(*IGNORED_DIRS) | d.startswith("."))
-    name_ok = ~name.startswith(".") & ~name.isin(*IGNORED_FILES) & ~name.rlike(ignored_name_pattern())
-    return dir_ok & name_ok & (suffix(name).isin(*SUPPORTED_SUFFIXES) | F.lower(name).isin(*SPECIAL_NAMES))
+    dir_ok = ~F.exists(dirs, lambda d: d.isin(*sorted(IGNORED_DIRS)) | d.startswith("."))
+    name_ok = ~name.startswith(".") & ~name.isin(*sorted(IGNORED_FILES)) & ~name.rlike(ignored_name_pattern())
+    return dir_ok & name_ok & (suffix(name).isin(*sorted(SUPPORTED_SUFFIXES)) | F.lower(name).isin(*sorted(SPECIAL_NAMES)))
 
 
 def line_count(c: Column) -> Column:
@@ -105,12 +107,12 @@ def decode_bytes(raw: bytes | None, compat: bool = True) -> str | None:
 
 
 def pdf_text(raw: bytes) -> str:
-    """Page texts joined by blank lines; empty without a reader or on any failure."""
+    """Page texts joined by blank lines; empty if unreadable, or without a reader (of which a build warns)."""
     try:
-        import io
-
         from pypdf import PdfReader
-
+    except ImportError:
+        return ""
+    try:
         return "\n\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(raw)).pages)
     except Exception:  # noqa: BLE001 - an unreadable document has no text
         return ""

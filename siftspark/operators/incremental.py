@@ -1,7 +1,7 @@
 """Incremental processing: listings, manifests, idempotent batches.
 
-A *listing* is what one run saw: path, checksum, size. The *manifest* is the
-listing of the last run that succeeded. What a run has to process is the
+A *listing* is what one run saw: path, checksum, size. The *manifest* holds the files
+that are processed, as the last run that succeeded saw them. What a run has to process is the
 anti-join of its listing against the manifest on (path, checksum); times are no
 proof of a change and are not used.
 """
@@ -9,11 +9,16 @@ proof of a change and are not used.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
+from itertools import takewhile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql import types as T
+
+from siftspark.session import checkpoint_dir, cut_lineage, delete_at_end
+from siftspark.storage import CommitLog, Folder
 
 
 def settled_listing(scans: DataFrame, keys: list[str], path: str = "rel_path", checksum: str = "file_hash", recorded: str = "recorded_at", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -37,80 +42,112 @@ def unprocessed(listing: DataFrame, manifest: DataFrame, keys: list[str], checks
     return listing.join(manifest.select(*keys, checksum).distinct(), [*keys, checksum], "left_anti")
 
 
-def changed_per_run(scans: DataFrame, runs: DataFrame, run: str = "run_id", path: str = "rel_path", checksum: str = "file_hash", recorded: str = "recorded_at", ok: str = "ok") -> DataFrame:
-    """``run, path, checksum`` to process for each successful run of a history.
-
-    The listing of each successful run is held against that of the successful run
-    before it, which is its manifest; failed and aborted runs commit none.
-    Late rows belong to the run they name.
-    """
-    done = runs.where(F.col("status") == ok).select(run).where(F.col(run).isNotNull()).distinct()
-    after = done.withColumn("_next", F.lead(run).over(W.orderBy(run)))  # one row per run: small by nature
-    listing = settled_listing(scans.join(done, run, "left_semi"), [run], path, checksum, recorded)
-    manifest = listing.join(after.where("_next is not null"), run).select(F.col("_next").alias(run), path, checksum)
-    return unprocessed(listing, manifest, [run, path], checksum)
-
-
 class Manifest:
     """Manifest of processed files in a folder that all executors share.
 
-    Layout: ``data/batch=N`` holds a batch's output, ``files/batch=N`` the listing it
-    settled, ``commits/N.json`` says that N succeeded. A batch is written by
-    overwriting its own folders, so running it again after a failure repeats
-    nothing; it counts from the moment its commit file exists. Whatever a run
-    without a commit left behind is never read.
+    Layout: ``data/batch=N`` holds a batch's output, ``files/batch=N`` the path, checksum
+    and size of the files it settled, ``commits/N.json`` says that N succeeded. A batch is
+    written by overwriting its own folders, so running it again after a failure repeats
+    nothing; it counts from the moment its commit file is there. Whatever a run without
+    a commit left behind is never read.
+
+    A batch settles either a whole listing, which replaces the manifest, or a part
+    (``whole=False``), which is laid over it. Every COMPACT parts the manifest is written
+    whole, so what has to be read stays bounded.
     """
 
-    def __init__(self, spark: SparkSession, root: str, path: str = "rel_path", checksum: str = "file_hash") -> None:
-        self.spark, self.root, self.path, self.checksum = spark, root.rstrip("/"), path, checksum
-        jvm = spark.sparkContext._jvm
-        self._fs_path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._fs_path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    COMPACT = 20
+
+    def __init__(self, spark: SparkSession, root: str, path: str = "rel_path", checksum: str = "file_hash", size: str = "size") -> None:
+        self.spark, self.root, self.path, self.checksum, self.size = spark, root.rstrip("/"), path, checksum, size
+        self.folder = Folder(spark, self.root)
+        self.log = CommitLog(self.folder)
 
     def batches(self) -> list[int]:
-        folder = self._fs_path(f"{self.root}/commits")
-        if not self._fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json"))
+        return list(self.log.entries())
+
+    def _schema(self) -> T.StructType:
+        return T.StructType().add(self.path, "string").add(self.checksum, "string").add(self.size, "long")
 
     def current(self) -> DataFrame | None:
-        """Listing of the last committed batch, or None before the first."""
-        done = self.batches()
-        return self.spark.read.parquet(f"{self.root}/files/batch={done[-1]}") if done else None
+        """``path, checksum, size`` of the files that are processed, or None before the first batch."""
+        done = self.log.entries()
+        if not done:
+            return None
+        base = max((n for n, said in done.items() if said["whole"]), default=None)
+        used = [n for n in done if base is None or n >= base]
+        read = self.spark.read.schema(self._schema().add("batch", "long")).parquet(f"{self.root}/files").where(F.col("batch").isin(used))
+        if len(used) == 1:
+            return read.drop("batch")
+        last = F.max_by(F.struct(self.checksum, self.size), F.struct("batch", self.checksum))
+        return read.groupBy(self.path).agg(last.alias("_l")).select(self.path, "_l.*")
+
+    def _seen(self, listing: DataFrame) -> DataFrame:
+        return listing.where(F.col(self.checksum).isNotNull() & F.col(self.path).isNotNull())
 
     def pending(self, listing: DataFrame) -> DataFrame:
         """Rows of the listing that are new or changed since the last commit."""
-        seen = listing.where(F.col(self.checksum).isNotNull() & F.col(self.path).isNotNull())
         now = self.current()
-        return seen if now is None else unprocessed(seen, now, [self.path], self.checksum)
+        return self._seen(listing) if now is None else unprocessed(self._seen(listing), now, [self.path], self.checksum)
 
     def removed(self, listing: DataFrame) -> DataFrame:
-        """Paths of the last commit that the listing lacks."""
+        """Paths of the manifest that the listing lacks."""
         now = self.current()
         gone = now if now is not None else listing.limit(0)
         return gone.select(self.path).distinct().join(listing.select(self.path).distinct(), self.path, "left_anti")
 
-    def commit(self, batch: int, listing: DataFrame, output: DataFrame | None = None) -> None:
-        """Write a batch's output and listing, then its commit file (the commit point)."""
-        if batch in self.batches():
+    def commit(self, batch: int, listing: DataFrame, output: DataFrame | None = None, whole: bool = True) -> None:
+        """Write a batch's output and what it settled, then its commit file (the commit point)."""
+        done = self.log.entries()
+        if batch in done:
             return  # this batch has been taken up: running it again changes nothing
         if output is not None:
             output.write.mode("overwrite").parquet(f"{self.root}/data/batch={batch}")
-        listing.where(F.col(self.checksum).isNotNull()).dropDuplicates([self.path, self.checksum]).write.mode("overwrite").parquet(f"{self.root}/files/batch={batch}")
-        out = self._fs.create(self._fs_path(f"{self.root}/commits/{batch}.json"), False)
-        out.write(bytearray(json.dumps({"batch": batch}), "utf-8"))
-        out.close()
+        size = F.col(self.size).cast("long") if self.size in listing.columns else F.lit(None).cast("long")
+        settled = self._seen(listing).select(F.col(self.path).cast("string"), F.col(self.checksum).cast("string"), size.alias(self.size)).groupBy(self.path, self.checksum).agg(F.max(self.size).alias(self.size))
+        if not whole and done and sum(1 for _ in takewhile(lambda said: not said["whole"], reversed(done.values()))) + 1 >= self.COMPACT:
+            settled, whole = settled.unionByName(self.current().join(settled.select(self.path), self.path, "left_anti")), True
+        settled.write.mode("overwrite").parquet(f"{self.root}/files/batch={batch}")
+        self.log.add(batch, {"whole": whole, "output": None if output is None else json.loads(output.schema.json())})
 
     def run(self, batch: int, listing: DataFrame, process: Callable[[DataFrame], DataFrame]) -> None:
-        """Process what is pending and commit it."""
+        """Process what is pending of a whole listing and commit it."""
         if batch not in self.batches():
             self.commit(batch, listing, process(self.pending(listing)))
 
     def output(self) -> DataFrame | None:
-        """Output of all committed batches with their batch number."""
-        parts = [self.spark.read.parquet(f"{self.root}/data/batch={b}").withColumn("batch", F.lit(b)) for b in self.batches() if self._fs.exists(self._fs_path(f"{self.root}/data/batch={b}"))]
-        out = None
-        for p in parts:
-            out = p if out is None else out.unionByName(p, allowMissingColumns=True)
-        return out
+        """Output of all committed batches with ``batch``, in one read; columns that a batch lacks are null."""
+        made = {n: T.StructType.fromJson(said["output"]) for n, said in self.log.entries().items() if said["output"]}
+        if not made:
+            return None
+        columns = {f.name: f.dataType for schema in made.values() for f in schema}
+        schema = T.StructType([T.StructField(n, t) for n, t in columns.items()]).add("batch", "long")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/data").where(F.col("batch").isin(list(made)))
+
+
+def changed_per_run(
+    scans: DataFrame, runs: DataFrame, run: str = "run_id", path: str = "rel_path", checksum: str = "file_hash", recorded: str = "recorded_at", size: str = "size", ok: str = "ok", root: str | None = None
+) -> DataFrame:
+    """``run, path, checksum, size`` to process for each successful run of a history.
+
+    The history is taken up as it happened: run by run, in order of their numbers, the
+    run's settled listing is held against the manifest, what is pending is the run's
+    output, and the commit makes the listing the new manifest. Failed and aborted runs
+    never commit. Late rows belong to the run they name. ``root`` is the manifest's
+    folder (default: a new one in the shared folder); with a kept one, runs already committed
+    are not repeated, and their output is part of the result. Extra columns are not read.
+    """
+    spark = scans.sparkSession
+    done = runs.where(F.col("status") == ok).select(F.col(run).cast("long").alias(run)).where(F.col(run).isNotNull()).distinct()
+    numbers = sorted(r[0] for r in done.collect())  # one number per run of the history
+    manifest = Manifest(spark, root or f"{checkpoint_dir(spark).rstrip('/')}/manifest-{uuid.uuid4().hex}", path, checksum, size)
+    if root is None:
+        delete_at_end(spark, manifest.root)
+    wanted = scans.select(F.col(run).cast("long").alias(run), path, checksum, recorded, size).join(F.broadcast(done), run, "left_semi")  # a number per run
+    listing = cut_lineage(settled_listing(wanted, [run], path, checksum, recorded, (size,)), run)
+    for number in numbers:
+        manifest.run(number, listing.where(F.col(run) == number).drop(run), lambda pending: pending)
+    found = manifest.output()
+    if found is None:
+        return listing.limit(0).select(run, path, checksum, size)
+    return found.select(F.col("batch").alias(run), path, checksum, size)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -10,13 +11,13 @@ from pyspark.sql import Window as W
 
 from siftspark.functions import text as T
 
+#: What the model is told once, and how a question reaches it: excerpts first, the question last.
 SYSTEM_PROMPT = (
-    "You answer questions about a collection of code and documents.\n"
-    "Use nothing but the context below. Name the file and lines that each statement rests on.\n"
-    "If the context does not hold the answer, say what is missing and where to look for it.\n"
-    "Keep answers short, and do not make up names that the context lacks."
+    "Someone searches their own files and wants a short answer out of what was found. "
+    "The excerpts are all you know about these files; each begins with its place as path:first-last. "
+    "Give the place after every claim. Where the excerpts are silent, answer that they are, and propose other search words."
 )
-USER_PROMPT = "Question:\n{query}\n\nContext, best first:\n\n{context}\n\nAnswer from this context alone and cite files as `path:from-to`."
+USER_PROMPT = "EXCERPTS\n\n{context}\n\nASKED\n\n{query}"
 
 #: A model: messages in, pieces of text out.
 Generator = Callable[[list[dict]], Iterator[str]]
@@ -37,16 +38,17 @@ def bounded_context(hits: DataFrame, max_chars: int = 8000) -> DataFrame:
 
 
 def prompt_messages(query: Column, context: Column) -> Column:
-    """array<struct<role, content>> of a grounded question."""
-    head, rest = USER_PROMPT.split("{query}")
-    middle, tail = rest.split("{context}")
-    user = F.concat(F.lit(head), F.coalesce(query, F.lit("")), F.lit(middle), F.coalesce(context, F.lit("")), F.lit(tail))
-    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    return F.array(message("system", F.lit(SYSTEM_PROMPT)), message("user", user))
+    """array<struct<role, content>> of a grounded question; nulls count as empty."""
+    said = {"query": F.coalesce(query, F.lit("")), "context": F.coalesce(context, F.lit(""))}
+    parts = [said[p[1:-1]] if p[:1] == "{" else F.lit(p) for p in re.split(r"(\{\w+\})", USER_PROMPT) if p]
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.array(turn("system", F.lit(SYSTEM_PROMPT)), turn("user", F.concat(*parts)))
 
 
-def build_messages(query: str, context: str) -> list[dict]:
-    return [{"role": "system", "content": SYSTEM_PROMPT}, {"role": "user", "content": USER_PROMPT.format(query=query, context=context)}]
+def messages(query: str, context: str) -> list[dict]:
+    """The same for one question."""
+    said = {"system": SYSTEM_PROMPT, "user": USER_PROMPT.format(query=query, context=context)}
+    return [{"role": role, "content": content} for role, content in said.items()]
 
 
 def recent_turns(turns: DataFrame, keep: int = 8, conversation: str = "conv_id", turn: str = "turn") -> DataFrame:
@@ -60,6 +62,11 @@ def sources_line(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", ref.alias("ref")))), lambda x: x["ref"]), ", ").alias("sources"))
 
 
+def whole_answer(generate: Generator, query: str, context: str) -> str:
+    """One answer without a memory, as a string."""
+    return "".join(generate(messages(query, context)))
+
+
 class Conversation:
     """Questions and answers with a memory of the last messages."""
 
@@ -68,7 +75,7 @@ class Conversation:
 
     def ask(self, query: str, context: str) -> Iterator[str]:
         said = []
-        for piece in self.generate([*self.history, *build_messages(query, context)]):
+        for piece in self.generate([*self.history, *messages(query, context)]):
             if piece:
                 said.append(piece)
                 yield piece
@@ -105,6 +112,18 @@ def server_models(base_url: str, timeout: float = 2) -> list[str] | None:
         return None
 
 
+def fetch_model(base_url: str, model: str, timeout: float = 3600) -> None:
+    """Have a server download a model; OSError or ValueError tells why it did not."""
+    import json
+    from urllib.request import Request, urlopen
+
+    request = Request(f"{base_url}/api/pull", json.dumps({"model": model, "stream": True}).encode(), {"Content-Type": "application/json"})
+    with urlopen(request, timeout=timeout) as reply:
+        for line in reply:
+            if problem := json.loads(line).get("error"):
+                raise ValueError(problem)
+
+
 def model_available(have: list[str] | None, model: str) -> bool:
     """Another tag of the same family counts."""
     return bool(have) and any(h.split(":")[0] == model.split(":")[0] for h in have)

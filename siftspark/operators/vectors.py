@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import re
 from collections.abc import Callable, Iterator
 
@@ -43,9 +45,50 @@ def hash_embedder(dim: int = 384) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
-def embed(df: DataFrame, text_col: str, embedder: Callable[[list[str]], np.ndarray] | None = None, dim: int = 384, batch: int = 64) -> DataFrame:
-    """Adds ``vector``; empty and null texts are embedded as a blank."""
+class ModelEmbedder:
+    """A local ONNX encoder and its tokenizer file, loaded once per Python worker.
+
+    The hidden states of the last layer are averaged over the tokens (``pool="mean"``) or
+    taken at the first one (``"first"``). ``query_prefix`` goes before query texts, for
+    models that tell questions and passages apart. Paths are on storage that executors see.
+    """
+
+    _loaded: dict = {}
+
+    def __init__(self, model: str, tokenizer: str, pool: str = "mean", query_prefix: str = "", max_tokens: int = 512) -> None:
+        self.model, self.tokenizer, self.pool, self.query_prefix, self.max_tokens = model, tokenizer, pool, query_prefix, max_tokens
+
+    def _load(self):
+        key = (self.model, self.tokenizer)
+        if key not in self._loaded:
+            import onnxruntime
+            from tokenizers import Tokenizer
+
+            tok = Tokenizer.from_file(self.tokenizer)
+            tok.enable_truncation(self.max_tokens)
+            tok.enable_padding()
+            self._loaded[key] = onnxruntime.InferenceSession(self.model, providers=["CPUExecutionProvider"]), tok
+        return self._loaded[key]
+
+    def __call__(self, texts: list[str], mode: str = "passage") -> np.ndarray:
+        session, tok = self._load()
+        said = tok.encode_batch([self.query_prefix + t for t in texts] if mode == "query" else texts)
+        ids, mask = (np.array([getattr(e, k) for e in said], np.int64) for k in ("ids", "attention_mask"))
+        known = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
+        hidden = session.run(None, {i.name: known[i.name] for i in session.get_inputs()})[0]
+        out = hidden[:, 0] if self.pool == "first" else (hidden * mask[..., None]).sum(1) / np.maximum(1, mask.sum(1, keepdims=True))
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return out / np.where(norm == 0, 1, norm)
+
+
+def embed(df: DataFrame, text_col: str, embedder: Callable[..., np.ndarray] | None = None, dim: int = 384, batch: int = 64, mode: str = "passage") -> DataFrame:
+    """Adds ``vector``; empty and null texts are embedded as a blank.
+
+    ``mode`` is ``passage`` or ``query``; an embedder that takes a ``mode`` is told.
+    """
     make = embedder or hash_embedder(dim)
+    if "mode" in inspect.signature(make).parameters:
+        make = functools.partial(make, mode=mode)
 
     @F.pandas_udf("array<float>")
     def vector(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -90,7 +133,11 @@ def _scan(held, k: int):
             if not batch.num_rows or not len(ids):
                 continue
             rid = batch.column("rid").to_pylist()
-            x = np.array(batch.column("vector").to_pylist(), np.float64)
+            column = batch.column("vector")
+            width = np.diff(column.offsets.to_numpy())
+            if (width != q.shape[1]).any():
+                raise ValueError(f"vectors of {q.shape[1]} numbers are held against others")
+            x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
             square = (x * x).sum(1)[None] + (q * q).sum(1)[:, None] - 2 * q @ x.T
             few = min(len(rid), k + 16)
             near = np.argpartition(square, few - 1, axis=1)[:, :few]

@@ -39,7 +39,7 @@ def loc_count(spark, d):
 
 
 def tier_recommendation(spark, d):
-    return loc_count(spark, d).withColumn("tier", models.tier_column(F.col("file_count"), F.col("total_loc")))
+    return loc_count(spark, d).withColumn("tier", models.advise(F.col("file_count"), F.col("total_loc")))
 
 
 def _documents_as_files(spark, d):
@@ -182,8 +182,11 @@ def chat_memory(spark, d):
 
 
 def prompt_messages(spark, d):
-    said = rag.prompt_messages(F.col("query_text"), F.lit("(no context)"))
-    return _queries(spark, d).select("query_id", said.alias("m")).select("query_id", F.size("m").alias("n_messages"), F.element_at("m", 2)["role"].alias("role"), F.element_at("m", 2)["content"].alias("content"))
+    """System and user message of each query with the context its hits make."""
+    fused = fusion.fuse_ranks(*_two_rankings(spark, d), top_n=8)
+    made = rag.bounded_context(fusion.hydrate(fused, table(spark, d, "chunks"))).select("query_id", "context")
+    said = _queries(spark, d).join(made, "query_id", "left").select("query_id", F.explode(rag.prompt_messages(F.col("query_text"), F.col("context"))).alias("m"))
+    return said.select("query_id", "m.role", F.length("m.content").alias("n_chars"), F.sha1("m.content").alias("content_hash"))
 
 
 QUERIES = {
@@ -197,7 +200,7 @@ QUERIES = {
 
 
 def _in(values) -> str:
-    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in sorted(values))
 
 
 def _quote(text: str) -> str:
@@ -228,8 +231,16 @@ RRF = """
 ONE_CHUNK = "SELECT chunk_id, any_value(rel_path) AS rel_path, any_value(language) AS language, any_value(start_line) AS start_line, any_value(end_line) AS end_line, any_value(text) AS text FROM (SELECT DISTINCT * FROM chunks) GROUP BY chunk_id"
 REF = "rel_path || ':' || start_line || '-' || coalesce(end_line::VARCHAR, '?')"
 END = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+\z"
-_HEAD, _REST = rag.USER_PROMPT.split("{query}")
-_MIDDLE, _TAIL = _REST.split("{context}")
+
+def _context(name, most):
+    return f"""
+    bl{name} AS (SELECT query_id, position, '### ' || {REF} || ' (' || coalesce(language, 'text') || ')' || chr(10) || '```' || CASE WHEN coalesce(language, 'text') = 'text' THEN '' ELSE language END || chr(10) || coalesce(text, '') || chr(10) || '```' AS block
+           FROM po JOIN one USING (chunk_id) WHERE position <= {most}),
+    us{name} AS (SELECT *, coalesce(sum(length(block) + 1) OVER (PARTITION BY query_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM bl{name}),
+    {name} AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY position) AS context, count(*) AS n_blocks FROM us{name} WHERE used + length(block) <= 8000 GROUP BY query_id)"""
+
+
+CONTEXT = f"{RRF}, one AS ({ONE_CHUNK}), {_context('cx', 8)}, {_context('cx20', 20)}"
 
 ORACLE = {
     "p7_found": """
@@ -290,14 +301,12 @@ ORACLE = {
     "snippet": f"""SELECT DISTINCT chunk_id, CASE WHEN length(w) <= 320 THEN w ELSE regexp_replace(left(w, 320), '{END}', '') || chr(10) || '...' END AS snippet
         FROM (SELECT chunk_id, regexp_replace(text, '{END}', '') AS w FROM chunks)""",
     "hit_labels": f"WITH {RRF} SELECT query_id, position, coalesce('bm25#' || bm25_rank, '--') || ' ' || coalesce('vec#' || vector_rank, '--') || ' ' || format('rrf={{:.4f}}', score) AS label FROM po WHERE position <= 8",
-    "context_budget": f"""
-        WITH {RRF}, one AS ({ONE_CHUNK}),
-        bl AS (SELECT query_id, position, '### ' || {REF} || ' (' || coalesce(language, 'text') || ')' || chr(10) || '```' || CASE WHEN coalesce(language, 'text') = 'text' THEN '' ELSE language END || chr(10) || coalesce(text, '') || chr(10) || '```' AS block
-               FROM po JOIN one USING (chunk_id) WHERE position <= 20),
-        us AS (SELECT *, coalesce(sum(length(block) + 1) OVER (PARTITION BY query_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM bl)
-        SELECT query_id, sha1(string_agg(block, chr(10) || chr(10) ORDER BY position)) AS context_hash, length(string_agg(block, chr(10) || chr(10) ORDER BY position))::INT AS n_chars, count(*) AS n_blocks
-        FROM us WHERE used + length(block) <= 8000 GROUP BY query_id""",
+    "context_budget": f"WITH {CONTEXT} SELECT query_id, sha1(context) AS context_hash, length(context)::INT AS n_chars, n_blocks FROM cx20",
     "sources_line": f"WITH {RRF}, one AS ({ONE_CHUNK}) SELECT query_id, string_agg({REF}, ', ' ORDER BY position) AS sources FROM po JOIN one USING (chunk_id) WHERE position <= 8 GROUP BY query_id",
     "chat_memory": "SELECT * FROM (SELECT user_id AS conv_id, event_id AS turn, event_type AS role, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS age FROM events) WHERE age <= 8",
-    "prompt_messages": f"SELECT query_id, 2 AS n_messages, 'user' AS role, {_quote(_HEAD)} || coalesce(max(query_text), '') || {_quote(_MIDDLE)} || '(no context)' || {_quote(_TAIL)} AS content FROM queries WHERE query_id IS NOT NULL GROUP BY query_id",
+    "prompt_messages": f"""
+        WITH {CONTEXT}, q AS (SELECT query_id, max(query_text) AS query_text FROM queries WHERE query_id IS NOT NULL GROUP BY query_id),
+        m AS (SELECT query_id, 'system' AS role, {_quote(rag.SYSTEM_PROMPT)} AS content FROM q
+              UNION ALL SELECT query_id, 'user', replace(replace({_quote(rag.USER_PROMPT)}, '{{context}}', coalesce(context, '')), '{{query}}', coalesce(query_text, '')) FROM q LEFT JOIN cx USING (query_id))
+        SELECT query_id, role, length(content)::INT AS n_chars, sha1(content) AS content_hash FROM m""",
 }

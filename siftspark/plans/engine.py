@@ -1,16 +1,16 @@
 """The engine: build and update an index of a source tree, search it, make contexts.
 
-Every build writes a new generation of the tables and then its manifest, which is the
-commit point: a build that fails leaves the generation before it in force.
+Every build writes a new generation of the tables and then its commit file, which is the
+commit point: a build that fails leaves the generation before it in force. Tables and
+commit files lie in one folder, by default inside the tree, on any file system that
+driver and executors share.
 """
 
 from __future__ import annotations
 
-import json
-import os
-import shutil
+import importlib.util
+import warnings
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,36 +20,36 @@ from siftspark.functions import text as T
 from siftspark.operators import bm25, chunking, fusion, fuzzy, lifecycle, rag, vectors
 from siftspark.session import ship
 from siftspark.sources import srcfiles
+from siftspark.storage import CommitLog, Folder
 
-SCHEMA_VERSION = 1
 FILES = "rel_path string, file_hash string, mtime double, size long, language string"
 CHUNKS = "chunk_id string, rel_path string, file_hash string, language string, start_line int, end_line int, text string"
 VECTORS = "chunk_id string, rel_path string, file_hash string, vector array<float>"
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str | Path, cfg: Config | None = None, embedder: Callable | None = None) -> None:
-        self.spark, self.root, self.cfg, self.embedder = spark, Path(root).resolve(), cfg or Config(), embedder
-        self.folder = self.root / self.cfg.index_dir_name
+    def __init__(self, spark: SparkSession, root: str, cfg: Config | None = None, embedder: Callable | None = None, folder: str | None = None) -> None:
+        self.spark, self.cfg, self.embedder = spark, cfg or Config(), embedder
+        self.root = srcfiles.absolute(str(root))
+        self.folder = Folder(spark, folder or f"{self.root}/{self.cfg.index_dir_name}")
+        self.log = CommitLog(self.folder)
         ship(spark)
 
     # ------------------------------------------------------------ state
     def state(self) -> dict:
-        try:
-            return json.loads((self.folder / "state.json").read_text("utf-8"))
-        except (OSError, ValueError):
-            return {}
+        """What the last commit says, with its ``generation``; empty without one."""
+        said = self.log.entries()
+        return {**said[max(said)], "generation": max(said)} if said else {}
 
     def exists(self) -> bool:
-        return "generation" in self.state()
+        return bool(self.state())
 
     def destroy(self) -> None:
-        shutil.rmtree(self.folder, ignore_errors=True)
+        self.folder.remove()
 
     def _table(self, name: str, schema: str) -> DataFrame:
-        if not self.exists():
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(str(self.folder / f"gen={self.state()['generation']}" / name))
+        at = f"gen={self.state().get('generation', 0)}/{name}"
+        return self.spark.read.schema(schema).parquet(self.folder.path(at)) if self.folder.exists(at) else self.spark.createDataFrame([], schema)
 
     def files(self) -> DataFrame:
         return self._table("files", FILES)
@@ -57,50 +57,63 @@ class Engine:
     def chunks(self) -> DataFrame:
         return self._table("chunks", CHUNKS)
 
+    def all_chunks(self) -> DataFrame:
+        """Chunks in reading order: by path, then by line."""
+        return self.chunks().orderBy("rel_path", "start_line", "chunk_id")
+
     def vectors(self) -> DataFrame:
         return self._table("vectors", VECTORS)
 
     def keywords(self) -> bm25.KeywordIndex | None:
-        return bm25.KeywordIndex.read(self.spark, str(self.folder / f"gen={self.state()['generation']}")) if self.exists() else None
+        state = self.state()
+        return bm25.KeywordIndex.read(self.spark, self.folder.path(f"gen={state['generation']}")) if state else None
 
     # ------------------------------------------------------------ build
     def index(self, rebuild: bool = False, progress: Callable[[str], None] | None = None) -> dict:
-        """Take up new and changed files, drop removed ones; the seven counters of the build."""
+        """Take up new and changed files, drop removed ones; the seven counters of the build.
+
+        The tree is hashed once; only new and changed files are read again for their text.
+        """
         say = progress or (lambda phase: None)
         if rebuild:
             self.destroy()
         generation = self.state().get("generation", 0) + 1
-        target = self.folder / f"gen={generation}"
-        shutil.rmtree(target, ignore_errors=True)  # left by a build that did not commit
+        self.folder.remove(f"gen={generation}")  # left by a build that did not commit
+        at = lambda name: self.folder.path(f"gen={generation}/{name}")
+
+        def kept(df: DataFrame, name: str, schema: str) -> DataFrame:
+            df.write.parquet(at(name))
+            return self.spark.read.schema(schema).parquet(at(name))
+
         say("scan")
-        scanned = srcfiles.scan(self.spark, str(self.root), self.cfg.max_file_bytes)
-        scanned.select("rel_path", "file_hash", "mtime", "size", "language").write.parquet(str(target / "files"))
-        current = self.spark.read.schema(FILES).parquet(str(target / "files"))
+        scanned = srcfiles.scan(self.spark, self.root, self.cfg.max_file_bytes)
+        current = kept(scanned.select("rel_path", "file_hash", "mtime", "size", "language"), "files", FILES)
         changes = lifecycle.diff(self.files(), current)
         stale = lifecycle.to_purge(changes)
-        fresh = changes.where("change in ('new', 'changed')").select("rel_path")
+        fresh = current.join(changes.where("change in ('new', 'changed')").select("rel_path"), "rel_path", "left_semi")
+        if importlib.util.find_spec("pypdf") is None and (n := fresh.where("language = 'pdf'").count()):
+            warnings.warn(f"pypdf is not installed: {n} PDF files are indexed without text", stacklevel=2)
         say("chunk")
-        texts = srcfiles.with_text(scanned.join(fresh, "rel_path", "left_semi"))
-        made = chunking.chunk_files(texts, self.cfg.chunk_size, self.cfg.chunk_overlap)
-        made.write.parquet(str(target / "new_chunks"))
-        added = self.spark.read.schema(CHUNKS).parquet(str(target / "new_chunks"))
+        made = chunking.chunk_files(srcfiles.with_text(srcfiles.contents(fresh, self.root)), self.cfg.chunk_size, self.cfg.chunk_overlap)
+        added = kept(made, "new_chunks", CHUNKS)
         # Files of equal content make equal chunk ids: both keep their rows, and a search shows the last path.
-        lifecycle.upsert(lifecycle.purge(self.chunks(), stale), added, ["chunk_id", "rel_path"]).write.parquet(str(target / "chunks"))
-        chunks = self.spark.read.schema(CHUNKS).parquet(str(target / "chunks"))
+        chunks = kept(lifecycle.upsert(lifecycle.purge(self.chunks(), stale), added, ["chunk_id", "rel_path"]), "chunks", CHUNKS)
         say("embed")
         key = ["chunk_id", "rel_path"]
-        kept = self.vectors().join(chunks.select(*key), key, "left_semi")
-        new = vectors.embed(chunks.join(kept.select(*key), key, "left_anti"), "text", self.embedder, self.cfg.embedding_dim)
-        kept.unionByName(new.select("chunk_id", "rel_path", "file_hash", "vector")).write.parquet(str(target / "vectors"))
+        known = self.vectors().join(chunks.select(*key), key, "left_semi")
+        new = vectors.embed(chunks.join(known.select(*key), key, "left_anti"), "text", self.embedder, self.cfg.embedding_dim)
+        known.unionByName(new.select("chunk_id", "rel_path", "file_hash", "vector")).write.parquet(at("vectors"))
         say("keywords")
-        bm25.KeywordIndex.build(chunks).write(str(target))
+        bm25.KeywordIndex.build(chunks).write(self.folder.path(f"gen={generation}"))
         counters = lifecycle.stats(changes, chunks, added).first().asDict()
-        shutil.rmtree(target / "new_chunks", ignore_errors=True)
-        state = {"schema_version": SCHEMA_VERSION, "generation": generation, "embedding_model": self.cfg.embedding_model, "embedding_dim": self.cfg.embedding_dim, "project_root": str(self.root)}
-        draft = self.folder / "state.json.tmp"
-        draft.write_text(json.dumps(state, indent=1), "utf-8")
-        os.replace(draft, self.folder / "state.json")  # commit
-        shutil.rmtree(self.folder / f"gen={generation - 1}", ignore_errors=True)
+        self.log.add(generation, {"embedding": [self.cfg.embedding_model, self.cfg.embedding_dim], "tree": self.root, "counters": counters})
+        self.folder.remove(f"gen={generation}/new_chunks")
+        for name in self.folder.names():
+            if name.startswith("gen=") and name != f"gen={generation}":
+                self.folder.remove(name)
+        for n in self.log.entries():
+            if n < generation:
+                self.folder.remove(f"commits/{n}.json")
         return counters
 
     # ------------------------------------------------------------ search
@@ -110,21 +123,18 @@ class Engine:
     def search(self, query: str | DataFrame, k: int | None = None, pad_zero_scores: bool = True) -> DataFrame:
         """Hits of one query or a frame of queries (``query_id, query_text``).
 
-        A source that fails or is missing leaves the ranking to the other one.
+        Without a table of vectors the keyword ranking stands alone; a vector search that
+        fails is an error, not half a result.
         """
         k, pool = self.cfg.k(k), self.cfg.pool(k)
         queries = self._queries(query).where("query_text is not null")
-        empty = self.spark.createDataFrame([], "query_id long, chunk_id string, rank int")
         index = self.keywords()
         if index is None:
-            raise FileNotFoundError(f"no index under {self.folder}")
+            raise FileNotFoundError(f"no index under {self.folder.root}")
         extra = fuzzy.expand(queries, index.vocab, self.cfg.fuzzy_threshold, self.cfg.fuzzy_expand_per_term)
         by_words = index.search(queries, pool, extra, pad_zero_scores)
-        try:
-            asked = vectors.embed(queries, "query_text", self.embedder, self.cfg.embedding_dim)
-            by_vector = vectors.nearest(asked, self.vectors().dropDuplicates(["chunk_id"]), pool)
-        except Exception:  # noqa: BLE001 - searching goes on without vectors
-            by_vector = empty
+        asked = vectors.embed(queries, "query_text", self.embedder, self.cfg.embedding_dim, mode="query")
+        by_vector = vectors.nearest(asked, self.vectors().dropDuplicates(["chunk_id"]), pool)
         return fusion.hydrate(fusion.fuse_ranks(by_words, by_vector, self.cfg.rrf_k, k), self.chunks())
 
     def context(self, hits: DataFrame) -> DataFrame:

@@ -68,7 +68,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the application ends."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
+def cut_lineage(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write a frame as a table into the shared folder and read it from there.
 
     Columnar and compressed, it takes a fraction of a raw checkpoint, and it survives lost
@@ -76,7 +82,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -13,12 +13,15 @@ import os
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from siftspark.config import IGNORED_DIRS, IGNORED_FILES, IGNORED_GLOBS, SPECIAL_NAMES, SUPPORTED_SUFFIXES
 from siftspark.functions import text as T
+from siftspark.models import advise
 
 SCHEMA = "path string, rel_path string, size long, mtime double, content binary"
 _DIRS, _FILES, _SUFFIXES = set(IGNORED_DIRS), set(IGNORED_FILES), set(SUPPORTED_SUFFIXES)
@@ -99,12 +102,39 @@ def scan(spark: SparkSession, root: str, max_file_bytes: int = 2_000_000) -> Dat
     return raw.withColumn("file_hash", F.sha1("content")).withColumn("language", T.language(F.col("rel_path")))
 
 
+def absolute(root: str) -> str:
+    return root.rstrip("/") if "://" in root else os.path.abspath(root)
+
+
+def contents(files: DataFrame, root: str, per_task: int = 64 << 20) -> DataFrame:
+    """Adds ``content`` to rows with ``rel_path`` and ``size``, read by tasks of about ``per_task`` bytes.
+
+    Files that are gone or unreadable by now are left out; they are new again in the next scan.
+    """
+    total = files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    names = files.columns
+
+    def read(it):
+        for batch in it:
+            for i, rel in enumerate(batch.column("rel_path").to_pylist()):
+                try:
+                    with open(os.path.join(root, rel), "rb") as f:
+                        row = batch.slice(i, 1)
+                        yield pa.RecordBatch.from_arrays([*row.columns, pa.array([f.read()], pa.binary())], [*names, "content"])
+                except OSError:
+                    continue
+
+    schema = T_.StructType([*files.schema.fields, T_.StructField("content", T_.BinaryType())])
+    return files.repartition(max(1, -(-int(total) // per_task))).mapInArrow(read, schema)
+
+
 def with_text(files: DataFrame) -> DataFrame:
     """Adds the decoded text of ``content``."""
     return files.withColumn("text", T.decode_text(F.col("content"), F.col("language")))
 
 
 def project_stats(files: DataFrame) -> DataFrame:
-    """One row: number of files and physical lines (counted in bytes)."""
+    """One row: number of files, physical lines (counted in bytes) and the tier of model they call for."""
     text = F.decode("content", "ISO-8859-1")
-    return files.agg(F.count("*").alias("file_count"), F.coalesce(F.sum(T.line_count(text)), F.lit(0)).alias("total_loc"))
+    sums = files.agg(F.count("*").alias("file_count"), F.coalesce(F.sum(T.line_count(text)), F.lit(0)).alias("total_loc"))
+    return sums.withColumn("tier", advise(F.col("file_count"), F.col("total_loc")))

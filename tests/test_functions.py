@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftspark import models
-from siftspark.config import Config, load_config, update_user_config
+from siftspark.config import Config
 from siftspark.functions import text as T
 from siftspark.operators import rag
 from siftspark.operators.chunking import chunk_lines
@@ -109,13 +109,14 @@ def test_lines_and_snippets(spark):
 
 def test_config(tmp_path):
     path = tmp_path / "c.toml"
-    assert load_config(path) == Config()
+    assert Config.from_file(path) == Config()
     path.write_text("top_k = 3\nnonsense = 1\n")
-    assert load_config(path, rrf_k=9, model=None) == Config(top_k=3, rrf_k=9)
+    assert Config.from_file(path, rrf_k=9, model=None) == Config(top_k=3, rrf_k=9)
     path.write_text("top_k = = 3")
-    assert load_config(path) == Config()
-    update_user_config(path, model='a"b', show_line_ranges=False, other=1)
-    assert load_config(path) == Config(model='a"b', show_line_ranges=False)
+    assert Config.from_file(path) == Config()
+    Config.save(path, model='a"b\\é', show_line_ranges=False, other=1)
+    Config.save(path, llm_temperature=0.5)
+    assert Config.from_file(path) == Config(model='a"b\\é', show_line_ranges=False, llm_temperature=0.5)
     assert Config().k(0) == 8 and Config().pool() == 32 and Config().pool(2) == 20
     with pytest.raises(ValueError):
         Config().k(-1)
@@ -125,12 +126,11 @@ TIERS = [(0, 0, "tiny"), (10, 500, "tiny"), (200, 50_000, "tiny"), (201, 50_001,
 
 
 def test_tiers(spark):
-    assert [models.recommend_tier(f, n) for f, n, _ in TIERS] == [t for *_, t in TIERS]
     df = spark.createDataFrame(TIERS, "f long, n long, t string")
-    assert df.where(models.tier_column(F.col("f"), F.col("n")) != F.col("t")).count() == 0
-    assert models.tier_info(" Medium ").tier == "deep" and models.default_model() == models.TIERS[0].name
+    assert df.where(models.advise(F.col("f"), F.col("n")) != F.col("t")).count() == 0
+    assert models.resolve(" Medium ") == "deep" and "* small" in models.table("small")
     with pytest.raises(ValueError):
-        models.tier_info("huge")
+        models.resolve("huge")
 
 
 def test_conversation_keeps_the_last_messages():

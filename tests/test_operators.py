@@ -28,7 +28,7 @@ def test_changed_per_run(spark):
     scans = spark.createDataFrame(
         [(1, "a", "x", 1), (1, "a", "x", 1), (1, "b", "y", 1), (2, "a", "z", 2), (3, "a", "x", 3), (3, "a", "w", 4), (3, "b", None, 3), (3, "c", "q", None), (5, "a", "w", 1), (5, "b", "y", 9), (None, "a", "x", 1)],
         "run_id long, rel_path string, file_hash string, t int",
-    ).withColumn("recorded_at", F.timestamp_seconds("t"))
+    ).withColumns({"recorded_at": F.timestamp_seconds("t"), "size": F.length("rel_path"), "batch": F.lit("clash")})
     runs = spark.createDataFrame([(1, "ok"), (2, "failed"), (3, "ok"), (4, "aborted"), (5, "ok"), (5, "ok")], "run_id long, status string")
     got = incremental.changed_per_run(scans, runs)
     assert rows(got, "run_id", "rel_path") == [(1, "a"), (1, "b"), (3, "a"), (3, "c"), (5, "b")]
@@ -66,6 +66,31 @@ def test_stream_of_listings(spark, tmp_path):
     assert rows(m.output(), "rel_path", "file_hash", "batch") == [("a", "1", 0), ("b", "2", 0), ("b", "3", 1)]
 
 
+def test_a_file_unreadable_once_is_not_processed_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental.Manifest, "COMPACT", 3)  # the manifest is compacted on the way
+    s = "rel_path string, file_hash string, at int"
+    folder, m = str(tmp_path / "in"), incremental.Manifest(spark, str(tmp_path / "m"))
+    parts = [[("a", "1", 1), ("b", "2", 1)], [("a", None, 2), (None, "9", 2)], [("a", "1", 3), ("b", "2", 3)], [("a", "7", 5), ("a", "8", 4), ("a", "7", 5)], [("a", "7", 6), ("b", "3", 6)]]
+    for part in parts:
+        spark.createDataFrame(part, s).coalesce(1).write.mode("append").json(folder)
+        q = ingest_stream(spark.readStream.schema(s).json(folder), m, lambda df: df.select("rel_path", "file_hash"), str(tmp_path / "cp"), "at")
+        assert q.awaitTermination(120)
+    assert rows(m.output(), "rel_path", "file_hash", "batch") == [("a", "1", 0), ("a", "7", 3), ("b", "2", 0), ("b", "3", 4)]
+    assert rows(m.current(), "rel_path", "file_hash") == [("a", "7"), ("b", "3")]
+
+
+def test_outputs_of_batches_may_differ_in_columns(spark, tmp_path):
+    m = incremental.Manifest(spark, str(tmp_path / "m"))
+    m.commit(1, spark.createDataFrame([("a", "1", 5)], "rel_path string, file_hash string, size int"), spark.createDataFrame([("a", 1)], "rel_path string, x int"))
+    m.commit(2, spark.createDataFrame([("b", "1")], "rel_path string, file_hash string"), spark.createDataFrame([("b",)], "rel_path string"))
+    m.commit(3, spark.createDataFrame([("b", "1")], "rel_path string, file_hash string"))
+    (tmp_path / "m/commits/4.json").write_text('{"who')  # cut off: does not count
+    assert m.batches() == [1, 2, 3]
+    assert sorted(map(tuple, m.output().collect())) == [("a", 1, 1), ("b", None, 2)]
+    m.commit(4, spark.createDataFrame([("c", "1")], "rel_path string, file_hash string"))
+    assert m.batches() == [1, 2, 3, 4] and rows(m.current(), "rel_path", "size") == [("c", None)]
+
+
 def test_keyword_search_and_padding(spark):
     chunks = spark.createDataFrame([("c1", "alpha beta beta"), ("c2", "alpha"), ("c3", None), ("c4", "the of"), ("c1", "alpha beta beta")], "chunk_id string, text string")
     asked = spark.createDataFrame([(1, "the Beta alpha"), (2, ""), (3, None)], "query_id long, query_text string")
