@@ -3,24 +3,32 @@
 Lines become tokens; strings that look like addresses of mail, numbers in groups,
 alphanumeric identifiers and street addresses are single tokens, so that a label
 decides about an exact stretch. A chain joins neighbouring tokens; skip edges join
-repeated tokens of a document, also on distant lines, and carry shared potentials, so
-that a name or number gets one label throughout. Inference is loopy belief
+repeated and similar tokens of a document, also on distant lines, and carry shared
+potentials, so that a name or number gets one label throughout. Inference is loopy belief
 propagation: exact forward-backward passes on the chains alternate with messages over
-the skip edges. Weights are fitted here, by gradient ascent on the likelihood under
+the skip edges, then the best labels are read off. Chains are laid end to end and taken in
+batches of like length. Which lines are labelled at all is said at ``Tagger.wanted``.
+
+Weights are fitted here, by gradient ascent on the likelihood under
 the same propagation, to sentences that a generator labels while it writes them;
 names come from the given list, some altered so that unlisted names are learned too.
 """
 
 from __future__ import annotations
 
+import functools
 import random
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftspark.operators import fuzzy
+
 LABELS = ("O", "email", "phone", "id_number", "address", "B-person", "I-person")
 KIND = {1: "email", 2: "phone", 3: "id_number", 4: "address", 5: "person", 6: "person"}
 L = len(LABELS)
@@ -40,26 +48,54 @@ _STREET_FR = r"(?:rue|avenue|av\.|boulevard|bd\.?|place|chemin|all(?:é|\\u00e9|
 _STREET_ES = r"(?:calle|c/|avda\.?|avenida|av\.|plaza|pza\.?|paseo|camino|ronda|carrera)"
 _ART = r"(?:(?:de la|de los|de las|de l['’]|des|del|de|du|d['’]|la|le|les)\s?)?"
 _NUMBER = r"\d{1,5}(?:\s?[a-zA-Z]\b|\s(?:bis|ter|quater)\b)?"
-TOKEN = re.compile(
-    "|".join(
-        (
-            r"(?P<email>[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)*\.[A-Za-z][\w\-]+|[\w.+\-]+\s?(?:\((?:at|AT)\)|\[(?:at|AT)\]|\{at\}|(?<=\s)AT(?=\s))\s?[\w\-]+(?:\s?(?:\((?:dot|DOT)\)|\[(?:dot|DOT)\]|\{dot\}|(?<=\s)DOT(?=\s))\s?[\w\-]+|\.[\w\-]+)+)",
-            rf"(?P<address>(?i:{_NUMBER},?\s(?:[nsew]\.?\s)?{_NAME}(?:\s{_NAME})?\s{_STREET_EN}(?!\w)|{_NUMBER},?\s{_STREET_FR}\s{_ART}{_NAME}|{_L}{{2,}}{_STREET_DE}\s{_NUMBER}|{_STREET_ES}\s{_ART}{_NAME},?\s(?:n[º°o]\.?\s)?{_NUMBER}))(?!\w)",
-            r"(?P<code>\b[A-Z]{2}\s?\d{2}(?:\s?\d{4}){2,7}(?:\s?\d{1,4})?\b|\b[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]\b|\b\d{7,8}\s?-?\s?[A-Z]\b|\b(?=[A-Z0-9]*\d[A-Z0-9]*\d)(?=[A-Z0-9]*[A-Z])[A-Z0-9]{7,12}\b)",
-            r"(?P<digits>(?<![\w.])(?:\(\+\d{1,3}\)\s?|\+\s?)?\(?\d{1,5}\)?(?:[ ./\-]?\(?\d{1,5}\)?){2,8}(?!\w)|(?<![\w.])\+?\d{7,15}(?!\w))",
-            r"(?P<escape>\\[nrtbf\"/\\])",
-            rf"(?P<initial>\b[A-ZÀ-Ž]\.(?=\s))",
-            rf"(?P<word>{_WORD})",
-            r"(?P<number>\d+)",
-            r"(?P<sign>[^\w\s]|_)",
-        )
-    )
-)
+#: The kinds of tokens, tried in this order at each place.
+TOKENS = {
+    "email": r"(?P<email>[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)*\.[A-Za-z][\w\-]+|[\w.+\-]+\s?(?:\((?:at|AT)\)|\[(?:at|AT)\]|\{at\}|(?<=\s)AT(?=\s))\s?[\w\-]+(?:\s?(?:\((?:dot|DOT)\)|\[(?:dot|DOT)\]|\{dot\}|(?<=\s)DOT(?=\s))\s?[\w\-]+|\.[\w\-]+)+)",
+    "address": rf"(?P<address>(?i:{_NUMBER},?\s(?:[nsew]\.?\s)?{_NAME}(?:\s{_NAME})?\s{_STREET_EN}(?!\w)|{_NUMBER},?\s{_STREET_FR}\s{_ART}{_NAME}|{_L}{{2,}}{_STREET_DE}\s{_NUMBER}|{_STREET_ES}\s{_ART}{_NAME},?\s(?:n[º°o]\.?\s)?{_NUMBER}))(?!\w)",
+    "code": r"(?P<code>\b[A-Z]{2}\s?\d{2}(?:\s?\d{4}){2,7}(?:\s?\d{1,4})?\b|\b[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]\b|\b\d{7,8}\s?-?\s?[A-Z]\b|\b(?=[A-Z0-9]*\d[A-Z0-9]*\d)(?=[A-Z0-9]*[A-Z])[A-Z0-9]{7,12}\b)",
+    "digits": r"(?P<digits>(?<![\w.])(?:\(\+\d{1,3}\)\s?|\+\s?)?\(?\d{1,5}\)?(?:[ ./\-]?\(?\d{1,5}\)?){2,8}(?!\w)|(?<![\w.])\+?\d{7,15}(?!\w))",
+    "escape": r"(?P<escape>\\[nrtbf\"/\\])",
+    "initial": rf"(?P<initial>\b[A-ZÀ-Ž]\.(?=\s))",
+    "word": rf"(?P<word>{_WORD})",
+    "number": r"(?P<number>\d+)",
+    "sign": r"(?P<sign>[^\w\s]|_)",
+}
+
+
+@functools.cache
+def _tokens(mail: bool, street: bool, digit: bool) -> re.Pattern:
+    """The pattern of all tokens without those that a line cannot hold, which are the slow ones."""
+    left = ({"email"} if not mail else set()) | ({"address"} if not street else set()) | ({"code", "digits", "number"} if not digit else set())
+    return re.compile("|".join(p for k, p in TOKENS.items() if k not in left))
+
+
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
-_TRIGGER = re.compile(
-    rf"@|[\[({{]at[\])}}]|\sAT\s|\d(?:[ ./()\-]*\d){{6}}|[A-Z]{{2}}\s?\d\d\s?\d\d|[A-Z0-9]{{8}}|\d[^\d\n]{{1,40}}(?i:{_STREET_EN}|{_STREET_FR}\s)|(?i:{_STREET_DE}\s\d|{_STREET_ES}\s)"
-    r"|[A-ZÀ-Ž]\w*,?\s(?:[A-ZÀ-Ž]\.\s)?(?:\w+\s)?[A-ZÀ-Ž\\]\w+"
-)
+_DIGITS = re.compile(r"\d(?:[ ./()\-]*\d){6}")
+_PLAIN_NUMBER = re.compile(r"\+?\d+")
+_ANY_DIGIT = re.compile(r"\d")
+_CODE = re.compile(r"[A-Z]{2}\s?\d\d\s?\d\d|[A-Z0-9]{8}")
+#: Words of the street patterns above; German ones are endings before a number.
+_STREET_WORDS = frozenset("street st avenue ave road rd lane ln terrace drive dr way court ct place square sq boulevard blvd close crescent rue av bd chemin allée allee impasse quai cours route calle avda avenida plaza pza paseo camino ronda carrera".split())
+_STREET_END = re.compile(r"(?<=[a-zß.])\s\d", re.I)
+_GERMAN_ENDS = ("straße", "strasse", "stra\\u00dfe", "str.", "weg", "gasse", "allee", "platz", "ring", "damm", "ufer", "steig")
+_SPELT = re.compile(r"[\[({](?:at|AT)[\])}]|\sAT\s")
+_CAPITALS = re.compile(r"[A-ZÀ-Ž](?:\w|['’\-])*,?\s(?:[A-ZÀ-Ž]\.\s)?(?:\w+\s){0,3}[A-ZÀ-Ž\\](?:\w|['’])")
+_LETTERS = re.compile(r"[^\W\d_]{2,}")
+
+
+def _words_of(line: str) -> list[str]:
+    """Runs of letters in lower case; escapes are not part of them."""
+    if "\\" in line:
+        line = re.sub(r"\\[nrtbf]", " ", _plain(line))
+    return _LETTERS.findall(line.lower())
+
+
+def _may_be_street(line: str, words: list[str]) -> bool:
+    """For lines with a digit: no address pattern matches without this."""
+    if not _STREET_WORDS.isdisjoint(words):
+        return True
+    low = line.lower()
+    return "c/" in low or any(low.endswith(_GERMAN_ENDS, 0, m.start()) for m in _STREET_END.finditer(line))
 
 
 def _plain(text: str) -> str:
@@ -74,13 +110,15 @@ def tokenise(line: str) -> list[tuple[str, int, int, str]]:
     """(type, start, end, text) of the tokens; digit groups lose trailing signs."""
     out = []
     at = 0
-    while m := TOKEN.search(line, at):
+    digit = bool(_ANY_DIGIT.search(line))
+    find = _tokens("@" in line or bool(_SPELT.search(line)), digit and _may_be_street(line, _words_of(line)), digit).search
+    while m := find(line, at):
         kind, a, b = m.lastgroup, m.start(), m.end()
         text = m[0]
         if kind == "digits":
             n = sum(c.isdigit() for c in text)
             if n < 7:  # short numbers stand alone
-                first = re.compile(r"\+?\d+").search(line, a, b)
+                first = _PLAIN_NUMBER.search(line, a, b)
                 if line[a] in "(+" and not line[a].isdigit() and first.start() > a:
                     kind, b = "sign", a + 1
                 else:
@@ -159,24 +197,24 @@ class Model:
         self.trans = np.zeros((L, L))
         self.start = np.zeros(L)
         self.skip = np.array([0.5, 0.5, 0.0])  # same kind, both O, otherwise
-        self.cache: dict = {}
-        self.table = np.zeros((0, 6, L))
 
     def compile(self) -> None:
+        """Freeze the features and empty the table of sums per token."""
         self.features.frozen = True
-        self.cache, self.rows, self.flag_rows = {}, [np.zeros((6, L))], [0]
+        self.cache: dict = {}
+        self.table, self.flags = np.zeros((1024, 6, L), np.float32), np.zeros(1024, np.int64)
 
     def row(self, kind: str, text: str, follows: str) -> int:
+        """Place of a token's sums in the table; 0 is no token."""
         key = (kind, text, follows if kind == "email" else "")
         at = self.cache.get(key)
         if at is None:
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-                self.rows, self.flag_rows = [np.zeros((6, L))], [0]
             ids, flags = self.features.of(kind, text, follows)
-            at = self.cache[key] = len(self.rows)
-            self.rows.append(self.w[:, ids].sum(1) if ids else np.zeros((6, L)))
-            self.flag_rows.append(flags)
+            at = self.cache[key] = len(self.cache) + 1
+            if at == len(self.table):
+                self.table, self.flags = np.concatenate([self.table, np.zeros_like(self.table)]), np.concatenate([self.flags, np.zeros_like(self.flags)])
+            self.table[at] = self.w[:, ids].sum(1) if ids else 0
+            self.flags[at] = flags
         return at
 
     def skip_matrix(self) -> np.ndarray:
@@ -195,69 +233,118 @@ ALLOWED[5, 6] = ALLOWED[6, 6] = 0.0
 
 
 def _norm(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(x.sum(-1, keepdims=True), 1e-300)
+    return x / np.maximum(x.sum(-1, keepdims=True), 1e-30)
+
+
+class Layout:
+    """Chains laid end to end, and batches of chains of like length: (chains, lengths, places (B, T))."""
+
+    def __init__(self, length: np.ndarray, chosen: np.ndarray | None = None) -> None:
+        self.length = length
+        self.start = np.cumsum(length) - length
+        chosen = np.arange(len(length)) if chosen is None else chosen
+        order = chosen[np.argsort(length[chosen], kind="stable")]
+        self.batches = []
+        at = 0
+        while at < len(order):
+            least = length[order[at]]
+            end = int(np.searchsorted(length[order], 1.3 * least + 3, side="right"))
+            end = min(max(end, at + 1), at + max(1, int(200_000 // max(1, length[order[min(end, len(order)) - 1]]))))
+            chains = order[at:end]
+            n = length[chains]
+            places = self.start[chains][:, None] + np.minimum(np.arange(n.max()), n[:, None] - 1)
+            self.batches.append((chains, n, places))
+            at = end
 
 
 def _chains(node: np.ndarray, length: np.ndarray, trans: np.ndarray, start: np.ndarray):
     """Scaled forward and backward sums of a batch of chains, and the scaled node factors (B, T, L)."""
-    B, T, _ = node.shape
+    T = node.shape[1]
     factor = np.exp(node - node.max(-1, keepdims=True))
-    step, back = np.exp(trans), np.exp(trans).T
+    step = np.exp(trans).astype(node.dtype)
+    back = np.ascontiguousarray(step.T)
     alpha, beta = np.empty_like(node), np.ones_like(node)
-    first = np.exp(start)
+    first = np.exp(start).astype(node.dtype)
     first[6] = 0.0
     alpha[:, 0] = _norm(factor[:, 0] * first)
     for t in range(1, T):
         alpha[:, t] = _norm((alpha[:, t - 1] @ step) * factor[:, t])
     for t in range(T - 2, -1, -1):
-        beta[:, t] = np.where((t + 1 < length)[:, None], _norm((factor[:, t + 1] * beta[:, t + 1]) @ back), 1.0)
+        beta[:, t] = _norm((factor[:, t + 1] * beta[:, t + 1]) @ back)
+        ended = t + 1 >= length
+        if ended.any():
+            beta[ended, t] = 1.0
     return alpha, beta, factor
 
 
-def propagate(emit: np.ndarray, length: np.ndarray, edges: np.ndarray, model: Model, rounds: int = ROUNDS):
+def _sums(node: np.ndarray, layout: Layout, model: Model):
+    """Forward, backward and factor of flat nodes (N, L); places of chains that are not in the layout stay 0."""
+    alpha, beta, factor = np.zeros_like(node), np.zeros_like(node), np.zeros_like(node)
+    trans = model.trans + ALLOWED
+    for _, n, places in layout.batches:
+        own = np.arange(places.shape[1]) < n[:, None]
+        for out, got in zip((alpha, beta, factor), _chains(node[places], n, trans, model.start)):
+            out[places[own]] = got[own]
+    return alpha, beta, factor
+
+
+def propagate(emit: np.ndarray, layout: Layout, edges: np.ndarray, model: Model, rounds: int = ROUNDS, last: bool = True):
     """(node potentials with skip messages, alpha, beta, factors, messages to a, to b).
 
-    ``emit`` (B, T, L); ``edges`` (E, 2) of flat positions b * T + t. Messages are
-    probabilities; each leaves out what came over the same edge.
+    ``emit`` (N, L); ``edges`` (E, 2) of places. Messages are probabilities; each leaves
+    out what came over the same edge. Without ``last`` the sums of the last round are
+    left out, where only the nodes are wanted.
     """
-    trans, (B, T, _) = model.trans + ALLOWED, emit.shape
-    flat = emit.reshape(B * T, L)
-    psi = np.exp(model.skip_matrix())
-    to_b = np.full((len(edges), L), 1.0 / L)
+    psi = np.exp(model.skip_matrix()).astype(emit.dtype)
+    to_b = np.full((len(edges), L), 1.0 / L, emit.dtype)
     to_a = to_b.copy()
-    node = flat
+    node, sums = emit, (None, None, None)
     for r in range(rounds if len(edges) else 1):
         if r:
-            node = flat.copy()
-            np.add.at(node, edges[:, 1], np.log(to_b))
-            np.add.at(node, edges[:, 0], np.log(to_a))
-        alpha, beta, factor = _chains(node.reshape(B, T, L), length, trans, model.start)
-        if r == rounds - 1 or not len(edges):
+            node = emit.copy()
+            np.add.at(node, edges[:, 1], np.log(np.maximum(to_b, 1e-30)))
+            np.add.at(node, edges[:, 0], np.log(np.maximum(to_a, 1e-30)))
+        end = r == rounds - 1 or not len(edges)
+        if end and not last:
+            break
+        alpha, beta, factor = sums = _sums(node, layout, model)
+        if end:
             break
-        belief = _norm(alpha * beta).reshape(B * T, L)
-        new_b = _norm((belief[edges[:, 0]] / to_a) @ psi)
-        to_a = _norm((belief[edges[:, 1]] / to_b) @ psi.T)
+        a, b = (_norm(alpha[e] * beta[e]) for e in edges.T)
+        new_b = _norm((a / np.maximum(to_a, 1e-30)) @ psi)
+        to_a = _norm((b / np.maximum(to_b, 1e-30)) @ psi.T)
         to_b = new_b
-    return node.reshape(B, T, L), alpha, beta, factor, to_a, to_b
-
-
-def viterbi(node: np.ndarray, length: np.ndarray, model: Model) -> np.ndarray:
-    B, T, _ = node.shape
-    trans = model.trans + ALLOWED
-    best = node[:, 0] + model.start
-    best[:, 6] = -1e4
-    back = np.zeros((B, T, L), np.int8)
-    scores = [best]
-    for t in range(1, T):
-        s = scores[-1][:, :, None] + trans
-        back[:, t] = s.argmax(1)
-        scores.append(s.max(1) + node[:, t])
-    last = np.stack(scores, 1)[np.arange(B), length - 1].argmax(1)
-    out = np.zeros((B, T), np.int8)
-    out[np.arange(B), length - 1] = last
-    for t in range(T - 1, 0, -1):
-        prev = back[np.arange(B), t, out[:, t]]
-        out[:, t - 1] = np.where(t < length, prev, out[:, t - 1])
+    return node, *sums, to_a, to_b
+
+
+def viterbi(node: np.ndarray, layout: Layout, model: Model) -> np.ndarray:
+    """Best label of each place."""
+    out = np.zeros(len(node), np.int8)
+    trans = (model.trans + ALLOWED).astype(node.dtype)
+    for _, n, places in layout.batches:
+        B, T = places.shape
+        x = node[places]
+        best = x[:, 0] + model.start.astype(node.dtype)
+        best[:, 6] = -1e4
+        back = np.zeros((B, T, L), np.int8)
+        last = best.argmax(1)
+        for t in range(1, T):
+            s = best[:, :, None] + trans
+            back[:, t] = s.argmax(1)
+            best = s.max(1) + x[:, t]
+            ends = n == t + 1
+            if ends.any():
+                last[ends] = best[ends].argmax(1)
+        y = np.zeros((B, T), np.int8)
+        now = last.astype(np.int8)
+        rows = np.arange(B)
+        for t in range(T - 1, -1, -1):
+            inside = t < n
+            y[:, t] = now
+            if t:
+                now = np.where(inside, back[rows, t, now], now)
+        own = np.arange(T) < n[:, None]
+        out[places[own]] = y[own]
     return out
 
 
@@ -405,33 +492,57 @@ def training_lines(given: list[str], family: list[str], n: int = TRAIN_LINES, se
     return docs
 
 
-def _lay_out(docs: list[list[list[tuple]]]):
-    """Positions of the skip edges: successive occurrences of a token in a document.
+def _similar(a: str, b: str) -> bool:
+    """Words that differ by an ending, a hyphened part or a letter or two."""
+    if a.startswith(b) or b.startswith(a):
+        return True
+    return fuzzy.ratio(a, b) >= 80
+
+
+def skip_edges(docs: list[list[list[tuple]]], start: np.ndarray, listed: set[str]) -> np.ndarray:
+    """(E, 2) places of the skip edges, of successive equal and successive similar tokens of a document.
 
-    ``docs``: per document its lines of tokens. Returns flat (line, token) indices.
+    ``docs``: per document its lines of tokens; ``start``: place of each line. Equal are
+    words without regard to case, and numbers without regard to separators; similar are
+    words of five letters and more that begin alike (``_similar``), and numbers of the same
+    last seven digits. Words that are nowhere in the document written like a name or listed as one
+    have no edges.
     """
-    edges = []
-    base = 0
+    edges: list[tuple[int, int]] = []
+    line = 0
     for lines in docs:
-        last: dict[str, tuple[int, int]] = {}
-        for i, tokens in enumerate(lines):
+        groups: dict[str, list] = {}
+        for tokens in lines:
+            base = int(start[line])
+            line += 1
             for t, (kind, _, _, text) in enumerate(tokens):
-                if kind in ("sign", "number", "initial"):
-                    continue
                 if kind == "word":
                     if len(text) < 3:
                         continue
-                    key = _plain(text).lower()
+                    word = _plain(text)
+                    key = word.lower()
+                    group = groups.get(key)
+                    if group is None:
+                        group = groups[key] = [key in listed, kind, []]
+                    group[0] = group[0] or word[0].isupper()
                 elif kind in ("digits", "code"):
-                    key = re.sub(r"\W", "", text)
+                    group = groups.setdefault("#" + re.sub(r"\W", "", text), [True, kind, []])
+                elif kind in ("email", "address"):
+                    group = groups.setdefault("@" + text.lower(), [True, kind, []])
                 else:
-                    key = text.lower()
-                here = (base + i, t)
-                if key in last and last[key] != here:
-                    edges.append((*last[key], *here))
-                last[key] = here
-        base += len(lines)
-    return edges
+                    continue
+                group[2].append(base + t)
+        heads: dict[str, tuple[str, int]] = {}
+        for key, (named, kind, places) in groups.items():
+            if not named:
+                continue
+            edges += zip(places, places[1:])
+            near = key[:5] if kind == "word" and len(key) >= 5 else key[-7:] if key[0] == "#" and len(key) > 8 else None
+            if near is not None:
+                if near in heads and (kind != "word" or _similar(heads[near][0], key)):
+                    edges.append((heads[near][1], places[0]))
+                heads[near] = (key, places[-1])
+    return np.array(edges, np.int64).reshape(-1, 2)
 
 
 def fit(given: list[str], family: list[str], background: list[str] = ()) -> Model:
@@ -469,73 +580,66 @@ def fit(given: list[str], family: list[str], background: list[str] = ()) -> Mode
             flags.append(fl)
         docs.append(made)
     model = Model(feats)
-    B, T = len(lines), max(map(len, lines))
     K = 8
-    length = np.array([len(x) for x in lines])
-    X = np.zeros((B, T, K), np.int32)
-    Y = np.zeros((B, T), np.int64)
-    FL = np.zeros((B, T + 2), np.int64)
-    for b, (row, y, fl) in enumerate(zip(ids, tags, flags)):
-        for t, i in enumerate(row):
-            X[b, t, : len(i)] = i[:K]
-        Y[b, : len(y)] = y
-        FL[b, 1 : len(fl) + 1] = fl
-    inside = np.arange(T)[None] < length[:, None]
-    ctx = FL[:, :-2] * 16 + FL[:, 1:-1] * 4 + FL[:, 2:]
-    edges = np.array([(i * T + a, j * T + b) for i, a, j, b in _lay_out(docs)], np.int64).reshape(-1, 2)
-    shifted = {}
-    for o in ROLES:
-        S = np.zeros_like(X)
-        if o == 0:
-            S = X
-        elif o < 0:
-            S[:, -o:] = X[:, :o]
-        else:
-            S[:, :-o] = X[:, o:]
-        shifted[o] = S[inside]
-    flat_ctx, want = ctx[inside], np.eye(L)[Y[inside]]
+    layout = Layout(np.array([len(x) for x in lines]))
+    N = int(layout.length.sum())
+    X = np.zeros((N, K), np.int32)
+    for t, i in enumerate(i for row in ids for i in row):
+        X[t, : len(i)] = i[:K]
+    Y = np.fromiter((y for row in tags for y in row), np.int64, N)
+    FL = np.fromiter((f for row in flags for f in row), np.int64, N)
+    first = np.zeros(N, bool)
+    first[layout.start] = True
+    pos = np.arange(N) - np.repeat(layout.start, layout.length)
+    left = np.repeat(layout.length, layout.length) - 1 - pos
+
+    def shift(a: np.ndarray, o: int) -> np.ndarray:
+        """Of each place the row ``o`` places on in its chain, 0 beyond."""
+        inside = (pos + o >= 0) & (o <= left)
+        out = np.zeros_like(a)
+        out[inside] = a[np.flatnonzero(inside) + o]
+        return out
+
+    flat_ctx = shift(FL, -1) * 16 + FL * 4 + shift(FL, 1)
+    edges = skip_edges(docs, layout.start, feats.given | feats.family)
+    shifted = {o: shift(X, o) for o in ROLES}
+    # per role the places and features that are there, for sums over places
+    used = {o: (np.repeat(np.arange(N), (x > 0).sum(1)), x[x > 0]) for o, x in shifted.items()}
+    want = np.eye(L)[Y]
     F_ = len(feats.ids)
     params = [model.w, model.context, model.trans, model.start, model.skip]
     m1 = [np.zeros_like(p) for p in params]
     m2 = [np.zeros_like(p) for p in params]
-    pair_in = inside[:, 1:]
+    second = np.flatnonzero(~first)
+    kinds = np.array([[(0 if a else 1) if KIND.get(a) == KIND.get(b) else 2 for b in range(L)] for a in range(L)])
     for step in range(1, STEPS + 1):
-        e = model.context[flat_ctx]
+        emit = model.context[flat_ctx]
         for o, idx in shifted.items():
-            e = e + model.w[_role(o)][idx].sum(1)
-        emit = np.zeros((B, T, L))
-        emit[inside] = e
-        node, alpha, beta, factor, to_a, to_b = propagate(emit, length, edges, model)
+            emit += model.w[_role(o)][idx].sum(1)
+        node, alpha, beta, factor, to_a, to_b = propagate(emit, layout, edges, model)
         prob = _norm(alpha * beta)
-        diff = want - prob[inside]
+        diff = want - prob
         grads = [np.zeros_like(p) for p in params]
-        for o, idx in shifted.items():
+        for o, (at, idx) in used.items():
             for lab in range(L):
-                grads[0][_role(o), :, lab] += np.bincount(idx.ravel(), weights=np.repeat(diff[:, lab], K), minlength=F_)
-        grads[0][:, 0] = 0
+                grads[0][_role(o), :, lab] += np.bincount(idx, weights=diff[at, lab], minlength=F_)
         for lab in range(L):
             grads[1][:, lab] = np.bincount(flat_ctx, weights=diff[:, lab], minlength=64)
         step_ = np.exp(model.trans + ALLOWED)
-        right = factor[:, 1:] * beta[:, 1:]
-        mass = np.einsum("btl,btl->bt", alpha[:, :-1] @ step_, right)
-        share = np.where(pair_in, 1.0 / np.maximum(mass, 1e-300), 0.0)
-        pairs = step_ * np.einsum("bti,btj->ij", alpha[:, :-1] * share[..., None], right)
+        right = factor[second] * beta[second]
+        before = alpha[second - 1]
+        share = 1.0 / np.maximum(((before @ step_) * right).sum(1), 1e-300)
+        pairs = step_ * ((before * share[:, None]).T @ right)
         seen = np.zeros((L, L))
-        np.add.at(seen, (Y[:, :-1][pair_in], Y[:, 1:][pair_in]), 1)
+        np.add.at(seen, (Y[second - 1], Y[second]), 1)
         grads[2] = seen - pairs
-        grads[3] = np.eye(L)[Y[:, 0]].sum(0) - prob[:, 0].sum(0)
+        grads[3] = want[layout.start].sum(0) - prob[layout.start].sum(0)
         if len(edges):
-            fb = prob.reshape(-1, L)
-            j = (fb[edges[:, 0]] / to_a)[:, :, None] * (fb[edges[:, 1]] / to_b)[:, None, :] * np.exp(model.skip_matrix())
+            j = (prob[edges[:, 0]] / to_a)[:, :, None] * (prob[edges[:, 1]] / to_b)[:, None, :] * np.exp(model.skip_matrix())
             j /= np.maximum(j.sum((1, 2), keepdims=True), 1e-300)
-            kind = np.full((L, L), 2)
-            for a in range(L):
-                for b in range(L):
-                    if KIND.get(a) == KIND.get(b):
-                        kind[a, b] = 0 if a else 1
-            ya, yb = Y.reshape(-1)[edges[:, 0]], Y.reshape(-1)[edges[:, 1]]
+            told = kinds[Y[edges[:, 0]], Y[edges[:, 1]]]
             for c in range(3):
-                grads[4][c] = (kind[ya, yb] == c).sum() - (j * (kind == c)).sum()
+                grads[4][c] = (told == c).sum() - j[:, kinds == c].sum()
         for p, g, a, b in zip(params, grads, m1, m2):
             g -= 0.15 * p  # Gaussian prior
             a *= 0.9
@@ -551,82 +655,136 @@ def fit(given: list[str], family: list[str], background: list[str] = ()) -> Mode
 
 
 class Tagger:
-    """Labels the lines of documents in groups, long lines in overlapping stretches."""
+    """Labels the lines of documents in groups, long lines in overlapping stretches.
+
+    Of the tokens two stretches share, the first half is the former's and the second half
+    the latter's: a span is taken from the stretch that owns its first token, which sees
+    it whole.
+    """
 
-    WIDTH, OVERLAP, GROUP = 160, 20, 1500
+    WIDTH, OVERLAP, GROUP, CACHE = 240, 40, 4000, 200_000
 
     def __init__(self, model: Model) -> None:
         self.m = model
         self.listed = model.features.given | model.features.family
 
     def wanted(self, line: str) -> bool:
-        if _TRIGGER.search(line):
+        """Lines that can hold an entity: a mail sign, a long number or code, a number with a street word, two
+        capitalised words up to three words apart, or a listed name.
+
+        Lines that repeat a word of a name found elsewhere in the document are labelled too (``tag``).
+        A line without any of this is left alone.
+        """
+        if "@" in line or _CAPITALS.search(line) or _SPELT.search(line):
             return True
-        low = _plain(line).lower()
-        return any(w in self.listed for w in re.findall(r"[^\W\d_]{3,}", low))
+        words = _words_of(line)
+        if not self.listed.isdisjoint(words):
+            return True
+        return bool(_ANY_DIGIT.search(line)) and bool(_DIGITS.search(line) or _CODE.search(line) or _may_be_street(line, words))
 
     def tag(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-        """Per text the (start, end, kind) found in it."""
+        """Per text the (start, end, kind) found in it, sorted, none inside another."""
         found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        docs, owners, chains = [], [], 0
+        held, chains = [], 0
         for d, text in enumerate(texts):
             lines, at = [], 0
             for line in text.split("\n"):
                 if line and self.wanted(line):
-                    tokens = tokenise(line)
-                    for lo in range(0, max(1, len(tokens)), self.WIDTH - self.OVERLAP):
-                        part = tokens[lo : lo + self.WIDTH]
-                        if part and (lo == 0 or len(part) > self.OVERLAP):
-                            lines.append((part, line, at))
+                    lines.append((line, at))
                 at += len(line) + 1
             if lines:
-                docs.append([p for p, _, _ in lines])
-                owners += [(d, line, at) for _, line, at in lines]
+                held.append((d, lines))
                 chains += len(lines)
             if chains >= self.GROUP:
-                self._run(docs, owners, found)
-                docs, owners, chains = [], [], 0
-        if docs:
-            self._run(docs, owners, found)
-        return [sorted(set(f)) for f in found]
+                self._group(texts, held, found)
+                held, chains = [], 0
+        if held:
+            self._group(texts, held, found)
+        return [apart(f) for f in found]
+
+    def _group(self, texts, held, found) -> None:
+        self._run(held, found)
+        again = []
+        for d, lines in held:  # other lines with words of the names found
+            names = {w for a, b, k in found[d] if k == "person" for w in _words_of(texts[d][a:b]) if len(w) > 3}
+            if not names:
+                continue
+            have, more, at = {at for _, at in lines}, [], 0
+            for line in texts[d].split("\n"):
+                if line and at not in have and not names.isdisjoint(_words_of(line)):
+                    more.append((line, at))
+                at += len(line) + 1
+            if more:
+                found[d] = []
+                again.append((d, sorted([*lines, *more], key=lambda x: x[1])))
+        if again:
+            self._run(again, found)
 
-    def _run(self, docs, owners, found) -> None:
+    def _run(self, held, found) -> None:
         m = self.m
-        chains = [line for doc in docs for line in doc]
-        length = np.array([len(c) for c in chains])
-        B, T = len(chains), int(length.max())
-        rows = np.zeros((B, T + 6), np.int64)  # four before, two after
-        if len(m.cache) > 150_000:
+        if len(m.cache) > self.CACHE:
             m.compile()
-        for b, (tokens, (_, line, _)) in enumerate(zip(chains, owners)):
-            rows[b, 4 : 4 + len(tokens)] = [m.row(k, t, line[e : e + 1]) for k, _, e, t in tokens]
-        table, flag = np.array(m.rows), np.array(m.flag_rows)
-        emit = np.zeros((B, T, L))
+        docs, owners = [], []
+        for d, lines in held:
+            parts = []
+            for line, at in lines:
+                tokens = tokenise(line)
+                for lo in range(0, max(1, len(tokens) - self.OVERLAP), self.WIDTH - self.OVERLAP):
+                    part = tokens[lo : lo + self.WIDTH]
+                    if part:
+                        parts.append(part)
+                        own = (0 if lo == 0 else self.OVERLAP // 2, len(part) if lo + self.WIDTH >= len(tokens) else self.WIDTH - self.OVERLAP // 2)
+                        owners.append((d, line, at, own))
+            if parts:
+                docs.append(parts)
+        chains = [part for doc in docs for part in doc]
+        if not chains:
+            return
+        length = np.array([len(c) for c in chains])
+        start = np.cumsum(length) - length
+        # rows with four empty ones before and after each chain, so that neighbours are found by shifting
+        rows = np.zeros(int(length.sum()) + 4 * (len(chains) + 1), np.int64)
+        place = np.arange(length.sum()) + 4 * (np.repeat(np.arange(len(chains)), length) + 1)
+        rows[place] = [m.row(k, t, line[e : e + 1]) for tokens, (_, line, _, _) in zip(chains, owners) for k, _, e, t in tokens]
+        flag = m.flags[rows]
+        emit = m.context.astype(np.float32)[flag[place - 1] * 16 + flag[place] * 4 + flag[place + 1]]
         for o in ROLES:
-            emit += table[rows[:, 4 + o : 4 + o + T], _role(o)]
-        fl = flag[rows]
-        emit += m.context[fl[:, 3 : 3 + T] * 16 + fl[:, 4 : 4 + T] * 4 + fl[:, 5 : 5 + T]]
-        edges = np.array([(i * T + a, j * T + b) for i, a, j, b in _lay_out(docs)], np.int64).reshape(-1, 2)
-        node, *_ = propagate(emit, length, edges, m)
-        best = viterbi(node, length, m)
-        for b, (tokens, (d, line, at)) in enumerate(zip(chains, owners)):
-            y = best[b, : len(tokens)]
+            emit += m.table[rows[place + o], _role(o)]
+        edges = skip_edges(docs, start, self.listed)
+        node = emit
+        if len(edges):  # only documents with edges need rounds
+            doc = np.repeat(np.arange(len(docs)), [len(x) for x in docs])
+            at = np.searchsorted(start, edges[:, 0], side="right") - 1
+            chosen = np.flatnonzero(np.isin(doc, np.unique(doc[at])))
+            node = propagate(emit, Layout(length, chosen), edges, m, last=False)[0]
+        best = viterbi(node, Layout(length), m)
+        for c in np.unique(np.searchsorted(start, np.flatnonzero(best), side="right") - 1).tolist():
+            tokens, (d, _, at, own) = chains[c], owners[c]
+            y = best[start[c] : start[c] + len(tokens)].tolist()
             t = 0
             while t < len(tokens):
-                lab = int(y[t])
+                lab = y[t]
                 if not lab:
                     t += 1
                     continue
                 e = t + 1
                 while lab == 5 and e < len(tokens) and y[e] == 6:
                     e += 1
-                a, z = tokens[t][1], tokens[e - 1][2]
-                kind = KIND[lab]
-                if _sound(kind, tokens[t:e]):
-                    found[d].append((at + a, at + z, kind))
+                if own[0] <= t < own[1] and _sound(KIND[lab], tokens[t:e]):
+                    found[d].append((at + tokens[t][1], at + tokens[e - 1][2], KIND[lab]))
                 t = e
 
 
+def apart(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans in order; of overlapping ones the longest stays, then the first."""
+    kept: list[tuple[int, int, str]] = []
+    for s in sorted(set(spans), key=lambda x: (x[0] - x[1], x)):
+        at = bisect_left(kept, s)
+        if (at == 0 or kept[at - 1][1] <= s[0]) and (at == len(kept) or s[1] <= kept[at][0]):
+            kept.insert(at, s)
+    return kept
+
+
 def _sound(kind: str, tokens: list[tuple]) -> bool:
     """Whole stretches only: a person has two names, other kinds their token type."""
     if kind == "person":
@@ -651,41 +809,52 @@ def background_lines(df: DataFrame, text_col: str, listed: set[str]) -> list[str
     """BACKGROUND_LINES lines that show no entity, those of least hash in the whole table."""
 
     def pick(it):
-        import xxhash
-
         best: dict[str, int] = {}
+        most = 1 << 63  # hashes from here on are not among the least
         for batch in it:
             for text in batch.column("text").to_pylist():
                 for line in text.split("\n"):
-                    if 20 <= len(line) <= 200 and (h := xxhash.xxh3_64_intdigest(line) >> 1) < limit(best) and shows_nothing(line, listed):
+                    if 20 <= len(line) <= 200 and (h := xxhash.xxh3_64_intdigest(line) >> 1) < most and line not in best and shows_nothing(line, listed):
                         best[line] = h
-            if len(best) > 4 * BACKGROUND_LINES:
-                best = dict(sorted(best.items(), key=lambda x: x[1])[:BACKGROUND_LINES])
+                        if len(best) >= 2 * BACKGROUND_LINES:
+                            best = dict(sorted(best.items(), key=lambda x: x[1])[:BACKGROUND_LINES])
+                            most = max(best.values())
         rows = sorted(best.items(), key=lambda x: x[1])[:BACKGROUND_LINES]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["line", "h"])
 
-    def limit(best: dict) -> int:
-        return 1 << 63 if len(best) < BACKGROUND_LINES else max(best.values()) + 1 if len(best) == BACKGROUND_LINES else 1 << 62
-
     least = df.select(F.col(text_col).alias("text")).where("text is not null").mapInArrow(pick, "line string, h long").distinct().orderBy("h", "line").limit(BACKGROUND_LINES)
     return [r["line"] for r in least.collect()]
 
 
-def redact(df: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``<id>, redacted, entities array<struct<kind, start_char, end_char, found>>`` per row with a text.
+#: Models of this process by their names and background lines: queries over the same tables share a fit.
+_FITTED: dict[tuple, Model] = {}
 
-    Placeholders are ``<EMAIL>``, ``<PHONE>``, ``<ID_NUMBER>``, ``<ADDRESS>`` and
-    ``<PERSON>``; everything else stays as it is. Rows with a null id or text give
-    nothing, empty texts come out empty; repeated rows are repeated. Of ``names``, the
-    columns ``name`` and ``kind`` (``given`` or ``family``) are read.
-    """
+
+def fitted(df: DataFrame, names: DataFrame, text_col: str = "text") -> Model:
+    """The model for a collection and a list of names (columns ``name`` and ``kind``, ``given`` or ``family``)."""
     listed = names.where("name is not null and kind in ('given', 'family')").select(F.trim("name").alias("name"), "kind").where("name <> ''").distinct()
     rows = listed.orderBy("kind", "name").limit(MAX_NAMES + 1).collect()
     if len(rows) > MAX_NAMES:
         raise ValueError(f"more than {MAX_NAMES} names; raise MAX_NAMES if the executors have room for them")
     by_kind = {k: sorted({r["name"] for r in rows if r["kind"] == k}) for k in ("given", "family")}
     lines = background_lines(df, text_col, {w.lower() for v in by_kind.values() for w in v})
-    shared = df.sparkSession.sparkContext.broadcast(fit(by_kind["given"], by_kind["family"], lines))
+    key = (tuple(by_kind["given"]), tuple(by_kind["family"]), tuple(lines), TRAIN_LINES, STEPS)
+    if key not in _FITTED:
+        if len(_FITTED) >= 4:
+            _FITTED.clear()
+        _FITTED[key] = fit(by_kind["given"], by_kind["family"], lines)
+    return _FITTED[key]
+
+
+def redact(df: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
+    """``<id>, redacted, entities array<struct<kind, start_char, end_char, found>>`` per row with a text.
+
+    Placeholders are ``<EMAIL>``, ``<PHONE>``, ``<ID_NUMBER>``, ``<ADDRESS>`` and
+    ``<PERSON>``; everything else stays as it is. Rows with a null id or text give
+    nothing, empty texts come out empty; repeated rows are repeated. ``model``: one that
+    ``fitted`` gave, else it is fitted to ``df`` and ``names``.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model or fitted(df, names, text_col))
     base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     id_type = base.schema["id"].dataType.simpleString()
 

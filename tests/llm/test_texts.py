@@ -180,19 +180,78 @@ def test_skip_edges_agree_with_exact_marginals(model):
     import numpy as np
 
     r = np.random.default_rng(1)
-    emit = r.normal(size=(1, 4, pii.L))
-    node, alpha, beta, *_ = pii.propagate(emit, np.array([4]), np.array([[0, 3]]), model, rounds=12)
-    got = pii._norm(alpha * beta)[0]
+    emit = r.normal(size=(4, pii.L))
+    node, alpha, beta, *_ = pii.propagate(emit, pii.Layout(np.array([4])), np.array([[0, 3]]), model, rounds=12)
+    got = pii._norm(alpha * beta)
     exact = np.zeros((4, pii.L))
     trans, skip = model.trans + pii.ALLOWED, model.skip_matrix()
     for y in itertools.product(range(pii.L), repeat=4):
-        s = model.start[y[0]] + (-1e4 if y[0] == 6 else 0) + sum(emit[0, t, y[t]] for t in range(4)) + sum(trans[a, b] for a, b in zip(y, y[1:])) + skip[y[0], y[3]]
+        s = model.start[y[0]] + (-1e4 if y[0] == 6 else 0) + sum(emit[t, y[t]] for t in range(4)) + sum(trans[a, b] for a, b in zip(y, y[1:])) + skip[y[0], y[3]]
         for t in range(4):
             exact[t, y[t]] += math.exp(s)
     exact /= exact.sum(1, keepdims=True)
     assert abs(got - exact).max() < 0.15
 
 
+def test_batches_of_chains_equal_single_ones(model):
+    """Laid out together, chains of all lengths get the sums and labels they get alone."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    length = r.integers(1, 60, 80)
+    emit = r.normal(size=(int(length.sum()), pii.L))
+    layout = pii.Layout(length)
+    node, alpha, beta, *_ = pii.propagate(emit, layout, np.empty((0, 2), np.int64), model)
+    best = pii.viterbi(emit, layout, model)
+    for a, n in zip(layout.start, length):
+        one = pii.Layout(np.array([n]))
+        _, x, y, *_ = pii.propagate(emit[a : a + n], one, np.empty((0, 2), np.int64), model)
+        assert np.allclose(alpha[a : a + n], x) and np.allclose(beta[a : a + n], y)
+        assert best[a : a + n].tolist() == pii.viterbi(emit[a : a + n], one, model).tolist()
+
+
+@pytest.mark.parametrize("before", range(140, 240, 3))
+def test_names_at_the_edges_of_stretches_are_found_whole(model, before):
+    tagger = pii.Tagger(model)
+    for name in ("Anna van der Lindqvist", "Clara de la Marenko", "Bruno Tavares"):
+        text = "buffer " * before + f'Reported by {name} (anna@example.org), ' + "queue " * 200
+        spans = [text[a:b] for a, b, k in tagger.tag([text])[0] if k == "person"]
+        assert spans == [name]
+
+
+def test_overlapping_spans_give_way_to_the_longest():
+    spans = [(0, 5, "person"), (0, 12, "person"), (11, 13, "phone"), (13, 20, "email"), (30, 31, "email"), (0, 12, "person")]
+    assert pii.apart(spans) == [(0, 12, "person"), (13, 20, "email"), (30, 31, "email")]
+
+
+def test_skip_edges_join_equal_and_similar_tokens():
+    import numpy as np
+
+    doc = [pii.tokenise(t) for t in ("Anna Vossler met the clerk", "mail of vossler and Vosslers, the clerk", "Tel. +1 555 555 0142 or 555-555-0142")]
+    start = np.cumsum([len(t) for t in doc]) - [len(t) for t in doc]
+    flat = [t for line in doc for t in line]
+    pairs = {tuple(sorted((flat[a][3], flat[b][3]))) for a, b in pii.skip_edges([doc], start, {"anna"}).tolist()}
+    assert pairs == {("Vossler", "vossler"), ("Vosslers", "vossler"), ("+1 555 555 0142", "555-555-0142")}
+
+
+def test_the_gate_lets_no_address_by():
+    """What the address pattern finds is in a line that is labelled, and is a token there."""
+    import re as re_
+
+    whole = re_.compile(pii.TOKENS["address"])
+    for doc in pii.training_lines(NAMES["given"], NAMES["family"], 1500, seed=3):
+        for line, spans in doc:
+            for m in whole.finditer(line):
+                assert pii._may_be_street(line, pii._words_of(line)), line
+    assert pii._may_be_street(r"x\nAvda. de Kiln, 172", pii._words_of(r"x\nAvda. de Kiln, 172"))
+
+
+def test_lines_that_repeat_a_found_name_are_labelled_too(model):
+    text = "Contact: zorvald.kemmling@example.org (ask for Zorvald Kemmling)\nno entity here at all\nsee mail from zorvald kemmling, about it"
+    assert [text[a:b] for a, b, k in pii.Tagger(model).tag([text])[0] if k == "person"][:1] == ["Zorvald Kemmling"]
+    assert not pii.Tagger(model).wanted(text.split("\n")[1])
+
+
 def test_redaction(spark, monkeypatch, model):
     monkeypatch.setattr(pii, "fit", lambda *a: model)
     text = "Questions go to Anna Vossler, phone +1 555 555 0142.\nPinned tool@1.2.3 for now.\nMail to anna.vossler@example.org bounced twice.\nchecksum 00 413 225 064 belongs to role"
