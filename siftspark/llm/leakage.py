@@ -1,12 +1,21 @@
 """Evaluation passages inside training documents.
 
-Items and documents are cut into windows of the passage length, one per word
-position. A window's SimHash is the weighted vote of its five-word shingles
-(weight: letters of the words). The fingerprints of all item windows are indexed by
-``radius + 1`` blocks of their bits: two fingerprints within the radius agree in at
-least one block, so looking a document window up in every block finds all item
-windows within the radius. Candidates are verified by the exact weighted shingle
-similarity, and equal windows are joined to runs of common words.
+Items and documents are cut into windows, one per word position, at two scales: of the
+size of the item, for items taken over as a whole with edits, and of the passage length
+(12 words), for parts of them. Sizes are rounded down to steps of STEP; an item is stood
+for by its middle window of that size. A window's SimHash is the weighted vote of its five-word
+shingles (weight: letters of the words). Fingerprints are indexed by four blocks of
+16 bits: two fingerprints within ``radius`` bits differ in at most ``radius // 4`` bits of
+at least one block, so a table per block of all values that near finds every item window
+within the radius. Candidates are verified by the exact weighted shingle similarity.
+
+The radius of item-sized windows follows from the similarity: vectors of weighted Jaccard
+similarity s and equal weight have the angle acos(2s / (1 + s)), and each bit differs
+with that share of pi; two standard deviations are added. At 0.8 that is 15 of 64 bits.
+An edited word costs five shingles, so at 0.8 an item may have about one edit in 45 words.
+Windows of 12 words have 8 shingles, of which none may differ (but one of small weight at an end):
+they find equal stretches, and PASSAGE_RADIUS only leaves room for those. Successive
+equal windows are joined to runs of common words, so edited passages are found by their unedited stretches.
 
 The index of an item block has a checked size; more items are taken in several
 blocks, each held against all documents. Documents are never moved.
@@ -14,100 +23,144 @@ blocks, each held against all documents. Documents are never moved.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.llm import common as C
 
 SHINGLE = 5
-#: Most item words indexed (and broadcast) at once: under 200 MB with its block tables.
-INDEX_WORDS = 2_000_000
-#: Windows fingerprinted at once.
+#: Most item words indexed (and broadcast) at once: about 100 MB with the block tables.
+INDEX_WORDS = 400_000
+#: Words fingerprinted at once.
 STRIDE = 60_000
+#: Ratio of one window size to the next.
+STEP = 1.2
+PASSAGE_RADIUS = 3
+BLOCKS, BLOCK_BITS = 4, 16
+
+
+def radius_for(similarity: float) -> int:
+    """Bits of 64 by which fingerprints of windows of that similarity differ, with two standard deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(64 * share + 2 * math.sqrt(64 * share * (1 - share)))
+
+
+def size_class(words: int, window: int) -> int:
+    """Size of the windows that stand for an item: exact below the passage length, then in steps."""
+    if words <= window:
+        return words
+    return math.floor(window * STEP ** math.floor(math.log(words / window, STEP) + 1e-9))
 
 
-def _simhashes(h: np.ndarray, length: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprint per window, hash per shingle, weight per shingle) of one word sequence."""
+def _votes(h: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(running sums of the votes, hash per shingle, weight per shingle) of one word sequence."""
     s = C.shingle_hashes(h, SHINGLE)
     sums = np.r_[0, np.cumsum(length)]
     w = (sums[SHINGLE:] - sums[:-SHINGLE]).astype(np.int32)
-    k = window - SHINGLE + 1  # shingles of a window
     bits = np.unpackbits(s.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     votes = np.empty((len(s) + 1, 64), np.int32)
     votes[0] = 0
     np.cumsum(np.where(bits, w[:, None], -w[:, None]), axis=0, out=votes[1:])
-    won = votes[k:] - votes[:-k] > 0
-    return np.packbits(won, axis=1, bitorder="little").view(np.uint64).ravel(), s, w
+    return votes, s, w
 
 
-class ItemIndex:
-    """Windows of a block of items with their fingerprints by bit blocks."""
+def _fingerprints(votes: np.ndarray, size: int) -> np.ndarray:
+    """SimHash of each window of ``size`` words."""
+    k = size - SHINGLE + 1
+    return np.packbits(votes[k:] > votes[:-k], axis=1, bitorder="little").view(np.uint64).ravel() if len(votes) > k else np.empty(0, np.uint64)
 
-    def __init__(self, items: list[tuple[int, str]], window: int, radius: int) -> None:
-        self.window, self.radius = window, radius
-        cache = C.WordHashes()
-        fps, shs, ws, owner, at = [], [], [], [], []
-        base = 0
-        for item, text in items:
-            found = C.words(text)
-            if len(found) < window:
-                continue
-            h = np.fromiter(map(cache.__getitem__, found), np.uint64, len(found))
-            fp, s, w = _simhashes(h, np.fromiter(map(len, found), np.int64, len(found)), window)
-            fps.append(fp)
-            shs.append(s)
-            ws.append(w)
-            owner.append(np.full(len(fp), item, np.int64))
-            at.append(np.arange(len(fp)) + base)
-            base += len(s)
-        cat = lambda p, t: np.concatenate(p) if p else np.empty(0, t)
-        self.fp, self.shingles, self.weights = cat(fps, np.uint64), cat(shs, np.uint64), cat(ws, np.int32)
-        self.owner, self.at = cat(owner, np.int64), cat(at, np.int64)
-        blocks = radius + 1
-        edges = [64 * i // blocks for i in range(blocks + 1)]
-        self.blocks = []
-        for lo, hi in zip(edges, edges[1:]):
-            v = self._part(self.fp, lo, hi)
-            order = np.argsort(v, kind="stable")
-            values, first, count = np.unique(v[order], return_index=True, return_counts=True)
-            self.blocks.append((lo, hi, order, values, first, count))
-        # which 16-bit values occur at the low end of each block: a cheap first test
-        self.present = []
-        for lo, hi, _, values, _, _ in self.blocks:
-            seen = np.zeros(1 << 16, bool)
-            seen[(values & np.uint64(0xFFFF)).astype(np.int64)] = True
-            self.present.append(seen)
+
+def _near_values(values: np.ndarray, bits: int) -> np.ndarray:
+    """(len(values), variants) all block values within that many bits."""
+    masks = [sum(1 << i for i in c) for n in range(bits + 1) for c in itertools.combinations(range(BLOCK_BITS), n)]
+    return values[:, None] ^ np.array(masks, np.uint16)
+
+
+class Windows:
+    """Distinct item windows of one size with their fingerprints by blocks."""
+
+    def __init__(self, size: int, radius: int) -> None:
+        self.size, self.radius, self.shingles_per = size, radius, size - SHINGLE + 1
+        self.held: dict[bytes, list[tuple[int, int]]] = {}
+        self.parts: list[tuple] = []
+
+    def add(self, item: int, at: int, fp: int, s: np.ndarray, w: np.ndarray) -> None:
+        """A window of an item; equal ones are kept once, with all their owners."""
+        key = xxhash.xxh3_128_digest(s)
+        if key not in self.held:
+            self.held[key] = []
+            self.parts.append((fp, s, w))
+        self.held[key].append((item, at))
+
+    def close(self) -> None:
+        self.fp = np.array([p[0] for p in self.parts], np.uint64)
+        self.shingles, self.weights = np.stack([p[1] for p in self.parts]), np.stack([p[2] for p in self.parts])
+        owners = list(self.held.values())
+        self.owners = np.array([o for x in owners for o in x], np.int64).reshape(-1, 2)
+        self.owner_count = np.array([len(x) for x in owners])
+        self.owner_start = np.cumsum(self.owner_count) - self.owner_count
+        del self.held, self.parts
+        self.tables = []
+        for b in range(BLOCKS):
+            near = _near_values(self.block(self.fp, b), self.radius // BLOCKS)
+            order = np.argsort(near.ravel(), kind="stable")
+            count = np.bincount(near.ravel(), minlength=1 << BLOCK_BITS)
+            self.tables.append(((order // near.shape[1]).astype(np.int32), np.r_[0, np.cumsum(count)[:-1]], count))
 
     @staticmethod
-    def _part(fp: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        return (fp >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)
+    def block(fp: np.ndarray, b: int) -> np.ndarray:
+        return (fp >> np.uint64(BLOCK_BITS * b)).astype(np.uint16)
 
     def near(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (i, j): document window i and item window j within the radius."""
         out = []
-        for (lo, hi, order, values, first, count), seen in zip(self.blocks, self.present):
-            v = self._part(fp, lo, hi)
-            i = np.flatnonzero(seen[(v & np.uint64(0xFFFF)).astype(np.int64)])
-            if not len(i):
+        for b, (order, first, count) in enumerate(self.tables):
+            v = self.block(fp, b)
+            c = count[v]
+            i = np.flatnonzero(c)
+            for part in np.array_split(i, max(1, int(c.sum()) // 2_000_000)):
+                n = c[part]
+                rows = np.repeat(part, n)
+                k = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+                j = order[np.repeat(first[v[part]], n) + k]
+                close = np.bitwise_count(fp[rows] ^ self.fp[j]) <= self.radius
+                out.append(rows[close] * len(self.fp) + j[close])
+        both = np.unique(np.concatenate(out))
+        return both // len(self.fp), both % len(self.fp)
+
+
+class ItemIndex:
+    """Windows of a block of items: of the passage length at every position, and one of each item's size."""
+
+    def __init__(self, items: list[tuple[int, str]], window: int, similarity: float) -> None:
+        self.window = window
+        cache = C.WordHashes()
+        self.passages = Windows(window, PASSAGE_RADIUS)
+        whole: dict[int, Windows] = {}
+        for item, text in items:
+            found = C.words(text)
+            if len(found) < SHINGLE:
                 continue
-            p = np.searchsorted(values, v[i])
-            p[p == len(values)] = 0
-            hit = values[p] == v[i]
-            i, p = i[hit], p[hit]
-            c = count[p]
-            rows = np.repeat(i, c)
-            k = np.arange(len(rows)) - np.repeat(np.cumsum(c) - c, c)
-            j = order[np.repeat(first[p], c) + k]
-            close = np.bitwise_count(fp[rows] ^ self.fp[j]) <= self.radius
-            out.append(np.stack([rows[close], j[close]], 1))
-        if not out:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        both = np.unique(np.concatenate(out), axis=0)
-        return both[:, 0], both[:, 1]
+            h = np.fromiter(map(cache.__getitem__, found), np.uint64, len(found))
+            votes, s, w = _votes(h, np.fromiter(map(len, found), np.int64, len(found)))
+            size = size_class(len(found), window)
+            of = whole.setdefault(size, Windows(size, radius_for(similarity)))
+            middle = (len(found) - size) // 2
+            for windows, places in ((self.passages, range(len(found) - window + 1)), (of, [middle])):
+                fp, k = _fingerprints(votes, windows.size), windows.shingles_per
+                for at in places:
+                    windows.add(item, at, fp[at], s[at : at + k], w[at : at + k])
+        self.whole = list(whole.values())
+        for windows in [self.passages, *self.whole]:
+            if windows.parts:
+                windows.close()
+        self.empty = not whole
 
 
 def _shared_weight(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> np.ndarray:
@@ -118,15 +171,17 @@ def _shared_weight(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray)
 
 
 def leaked_items(
-    docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", *, window: int = 12, radius: int = 3, similarity: float = 0.8
+    docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", *, window: int = 12, similarity: float = 0.8
 ) -> DataFrame:
-    """``<doc>, <item>, n_windows, best_similarity, run_words`` of each affected document and item.
+    """``<doc>, <item>, n_windows, best_similarity, run_words, item_similarity`` of each affected document and item.
 
-    ``n_windows`` windows of the document have a window of the item within ``radius``
-    bits and at weighted shingle similarity ``similarity`` or more; ``run_words`` is
-    the longest run of equal successive words (0 if below ``window``). Null, empty and
-    short texts leak nothing; repeated rows count once; columns other than the named
-    ones are not read.
+    ``n_windows`` passage windows of the document have one of the item within the radius
+    and at weighted shingle similarity ``similarity`` or more, at best ``best_similarity``;
+    ``run_words`` is the longest run of equal successive words (0 if below ``window``).
+    ``item_similarity`` is the best similarity of a stretch of the document with the item
+    as a whole, if it reaches ``similarity``, else null. Null, empty and texts
+    of fewer than five words leak nothing; items shorter than ``window`` can leak as a whole only; repeated
+    rows count once; columns other than the named ones are not read.
     """
     if window < SHINGLE:
         raise ValueError(f"window must be at least {SHINGLE} words")
@@ -134,80 +189,122 @@ def leaked_items(
     known = items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null").distinct()
     size = known.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"] / 4
     blocks = max(1, math.ceil(size / INDEX_WORDS))
-    schema = "doc long, item long, n_windows long, best_similarity double, run_words long"
+    schema = "doc long, item long, n_windows long, best_similarity double, run_words long, item_similarity double"
     found = None
     for b in range(blocks):
-        part = known.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).orderBy("item").collect()  # bounded by INDEX_WORDS
-        shared = spark.sparkContext.broadcast(ItemIndex([(r["item"], r["text"]) for r in part], window, radius))
+        part = known.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).orderBy("item", "text").collect()  # bounded by INDEX_WORDS
+        shared = spark.sparkContext.broadcast(ItemIndex([(r["item"], r["text"]) for r in part], window, similarity))
         hits = docs.select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null").mapInArrow(_matcher(shared, similarity), schema)
         found = hits if found is None else found.unionByName(hits)
-    return found.groupBy(F.col("doc").alias(doc_col), F.col("item").alias(item_col)).agg(
-        F.max("n_windows").alias("n_windows"), F.max("best_similarity").alias("best_similarity"), F.max("run_words").alias("run_words")
-    )
+    return found.groupBy(F.col("doc").alias(doc_col), F.col("item").alias(item_col)).agg(*[F.max(c).alias(c) for c in ("n_windows", "best_similarity", "run_words", "item_similarity")])
+
+
+def _similar_windows(windows: Windows, fp: np.ndarray, inside: np.ndarray, s: np.ndarray, w: np.ndarray, similarity: float):
+    """(document window, item window, similarity, equal) of the verified candidates of a stretch."""
+    i, j = windows.near(fp[inside])
+    i = inside[i]
+    k = windows.shingles_per
+    offsets = np.arange(k)
+    out = []
+    step = max(1, 8_000_000 // (k * k))
+    for x in range(0, len(i), step):
+        a, c = i[x : x + step], j[x : x + step]
+        at = a[:, None] + offsets
+        sa, sb = s[at], windows.shingles[c]
+        sim = _shared_weight(sa, w[at], sb, windows.weights[c])
+        ok = sim >= similarity
+        out.append((a[ok], c[ok], sim[ok], (sa == sb).all(1)[ok]))
+    return [np.concatenate(x) for x in zip(*out)] if any(len(x[0]) for x in out) else None
+
+
+class _Found:
+    """What documents share with items: (document, item) -> [windows, best, run, item similarity]."""
+
+    def __init__(self, window: int) -> None:
+        self.window, self.rows = window, {}
+
+    def _row(self, d: int, item: int) -> list:
+        return self.rows.setdefault((d, item), [0, None, 0, None])
+
+    def passages(self, windows: Windows, d: np.ndarray, at: np.ndarray, j: np.ndarray, sim: np.ndarray, equal: np.ndarray) -> None:
+        """Rows of one or more documents, whole; each window goes to all its owners."""
+        n = windows.owner_count[j]
+        rows = np.repeat(np.arange(len(j)), n)
+        k = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(windows.owner_start[j], n)
+        item, place = windows.owners[k].T
+        d, at, sim, equal = d[rows], at[rows], sim[rows], equal[rows]
+        order = np.lexsort((at, at - place, item, d))
+        d, item, at, place, sim, equal = (x[order] for x in (d, item, at, place, sim, equal))
+        first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (item[1:] != item[:-1])])
+        for a, b in zip(first.tolist(), np.r_[first[1:], len(d)].tolist()):
+            row = self._row(int(d[a]), int(item[a]))
+            row[0], row[1] = len(np.unique(at[a:b])), float(sim[a:b].max())
+            same = np.flatnonzero(equal[a:b]) + a
+            if len(same):  # equal windows at successive places on one diagonal form a run
+                diagonal = at[same] - place[same]
+                cut = np.flatnonzero(np.r_[True, (diagonal[1:] != diagonal[:-1]) | (at[same][1:] != at[same][:-1] + 1)])
+                row[2] = int(np.diff(np.r_[cut, len(same)]).max()) + self.window - 1
+
+    def whole(self, windows: Windows, d: np.ndarray, j: np.ndarray, sim: np.ndarray) -> None:
+        order = np.lexsort((sim, j, d))
+        d, j, sim = d[order], j[order], sim[order]
+        for x in np.flatnonzero(np.r_[(d[1:] != d[:-1]) | (j[1:] != j[:-1]), True]).tolist():
+            a = windows.owner_start[j[x]]
+            for item in windows.owners[a : a + windows.owner_count[j[x]], 0].tolist():
+                row = self._row(int(d[x]), item)
+                row[3] = max(row[3] or 0.0, float(sim[x]))
 
 
 def _matcher(shared, similarity: float):
     def match(it):
         index: ItemIndex = shared.value
-        window, k = index.window, index.window - SHINGLE + 1
         cache = C.WordHashes()
-        offsets = np.arange(k)
 
         def scan(docs: list[int], lengths: list[int], h: np.ndarray, size: np.ndarray):
             """Hits of a group of documents laid end to end."""
-            ends = np.cumsum(lengths)
-            starts = ends - lengths
             which = np.repeat(np.arange(len(docs)), lengths)
-            parts = []
-            for lo in range(0, len(h) - window + 1, STRIDE):
-                hi = min(len(h), lo + STRIDE + window - 1)
-                fp, s, w = _simhashes(h[lo:hi], size[lo:hi], window)
-                at = np.arange(lo, lo + len(fp))
-                inside = np.flatnonzero(which[at] == which[at + window - 1])
-                i, j = index.near(fp[inside])
-                if not len(i):
+            held: dict[int, list] = {}
+            most = max(x.size for x in [index.passages, *index.whole])
+            for lo in range(0, max(1, len(h) - SHINGLE + 1), STRIDE):
+                hi = min(len(h), lo + STRIDE + most - 1)
+                if hi - lo < SHINGLE:
+                    continue
+                votes, s, w = _votes(h[lo:hi], size[lo:hi])
+                for n, windows in enumerate([index.passages, *index.whole]):
+                    if not hasattr(windows, "fp"):
+                        continue
+                    fp = _fingerprints(votes, windows.size)[:STRIDE]
+                    at = np.arange(lo, lo + len(fp))
+                    inside = np.flatnonzero(which[at] == which[at + windows.size - 1])
+                    if len(inside) and (got := _similar_windows(windows, fp, inside, s, w, similarity)):
+                        held.setdefault(n, []).append((got[0] + lo, *got[1:]))
+            out = _Found(index.window)
+            for n, parts in held.items():
+                at, j, sim, equal = (np.concatenate(x) for x in zip(*parts))
+                d = which[at]
+                if n:
+                    out.whole(index.whole[n - 1], d, j, sim)
                     continue
-                i = inside[i]
-                for x in range(0, len(i), 20_000):
-                    a, c = i[x : x + 20_000], index.at[j[x : x + 20_000]]
-                    ai, ci = a[:, None] + offsets, c[:, None] + offsets
-                    sa, sb = s[ai], index.shingles[ci]
-                    sim = _shared_weight(sa, w[ai], sb, index.weights[ci])
-                    ok = sim >= similarity
-                    parts.append(np.stack([a[ok] + lo, c[ok], index.owner[j[x : x + 20_000]][ok], (sa == sb).all(1)[ok]], 1))
-                    parts[-1] = (parts[-1], sim[ok])
-            if not parts:
-                return []
-            rows = np.concatenate([p for p, _ in parts])
-            sims = np.concatenate([q for _, q in parts])
-            d = which[rows[:, 0]]
-            order = np.lexsort((rows[:, 0], rows[:, 0] - rows[:, 1], rows[:, 2], d))
-            rows, sims, d = rows[order], sims[order], d[order]
-            new = np.r_[True, (d[1:] != d[:-1]) | (rows[1:, 2] != rows[:-1, 2])]
-            first = np.flatnonzero(new)
-            out = []
-            for a, b in zip(first, np.r_[first[1:], len(rows)]):
-                r = rows[a:b]
-                exact = r[r[:, 3] == 1]
-                run = 0
-                if len(exact):  # equal windows at successive places on one diagonal form a run
-                    diagonal = exact[:, 0] - exact[:, 1]
-                    cut = np.flatnonzero(np.r_[True, (diagonal[1:] != diagonal[:-1]) | (exact[1:, 0] != exact[:-1, 0] + 1)])
-                    run = int(np.diff(np.r_[cut, len(exact)]).max()) + window - 1
-                out.append((docs[d[a]], int(r[0, 2]), len(np.unique(r[:, 0])), float(sims[a:b].max()), run))
-            _ = starts
-            return out
+                order = np.argsort(d, kind="stable")
+                ends = np.r_[np.flatnonzero(np.diff(d[order])) + 1, len(d)]
+                weight = np.cumsum(index.passages.owner_count[j[order]])
+                a = 0
+                while a < len(d):  # whole documents, about a million owners' windows at once
+                    b = ends[np.searchsorted(ends, a, side="right") :]
+                    b = int(b[max(0, int(np.searchsorted(weight[b - 1], weight[a] + 1_000_000, side="right")) - 1)])
+                    x = order[a:b]
+                    out.passages(index.passages, d[x], at[x], j[x], sim[x], equal[x])
+                    a = b
+            return [(docs[d], item, *row) for (d, item), row in out.rows.items()]
 
         def batch(rows):
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.float64()), pa.array([r[4] for r in rows], pa.int64())],
-                ["doc", "item", "n_windows", "best_similarity", "run_words"],
-            )
+            types = [pa.int64()] * 3 + [pa.float64(), pa.int64(), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc", "item", "n_windows", "best_similarity", "run_words", "item_similarity"])
 
         docs, lengths, hs, sizes, held = [], [], [], [], 0
         for doc, text in C.frame_rows(it, "doc", "text"):
             found = C.words(text)
-            if len(found) < window or not len(index.fp):
+            if len(found) < SHINGLE or index.empty:
                 continue
             docs.append(doc)
             lengths.append(len(found))

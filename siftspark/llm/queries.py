@@ -67,7 +67,7 @@ def p8_found(spark, d):
 
 def p8_report(spark, d):
     hits = leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
-    return hits.withColumn("best_similarity", F.round("best_similarity", 6))
+    return hits.withColumns({c: F.round(c, 6) for c in ("best_similarity", "item_similarity")})
 
 
 def p9_mixture(spark, d):
@@ -117,5 +117,11 @@ def oracle_sql():
             SELECT chunk_id, term, tf, df, doc_len,
               round(ln(1e0 + (n_docs - df + 5e-1) / (df + 5e-1)) * tf / (tf + 15e-1 * (25e-2 + 75e-2 * doc_len * n_docs / n_words)), 6) AS weight
             FROM tf JOIN df USING (term), c""",
+        "p8_found": f"""
+            WITH d AS (SELECT doc_id AS id, {WORDS} AS ws FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+            i AS (SELECT item_id AS id, {WORDS} AS ws FROM eval_items WHERE text IS NOT NULL AND item_id IS NOT NULL),
+            dg AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(ws) - 10), lambda k: array_to_string(ws[k : k + 11], ' '))) AS gram FROM d),
+            ig AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(ws) - 10), lambda k: array_to_string(ws[k : k + 11], ' '))) AS gram FROM i)
+            SELECT DISTINCT dg.id AS doc_id, ig.id AS item_id FROM dg JOIN ig USING (gram)""",
         "p6_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 800",
     }

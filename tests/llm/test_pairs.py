@@ -143,13 +143,58 @@ def test_leaks_equal_brute_force(spark):
         assert got[900, 0] == len(items[0][1].split())
 
 
-def test_hamming_blocks_find_all_within_the_radius():
+@pytest.mark.parametrize("radius", [3, 9, 15])
+def test_hamming_blocks_find_all_within_the_radius(radius):
     r = np.random.default_rng(8)
-    index = leakage.ItemIndex([(i, " ".join(f"t{x}" for x in r.integers(0, 900, 60))) for i in range(20)], 12, 3)
-    probe = np.concatenate([index.fp ^ (np.uint64(1) << r.integers(0, 64, len(index.fp)).astype(np.uint64)) for _ in range(2)] + [r.integers(0, 2**63, 500).astype(np.uint64)])
-    i, j = index.near(probe)
-    want = {(a, b) for a in range(len(probe)) for b in np.flatnonzero(np.bitwise_count(index.fp ^ probe[a]) <= 3)}
-    assert set(zip(i.tolist(), j.tolist())) == want
+    windows = leakage.Windows(12, radius)
+    for k, fp in enumerate(r.integers(0, 2**63, 300).astype(np.uint64)):
+        windows.add(k, 0, fp, np.array([k] * 8, np.uint64), np.ones(8, np.int32))
+    windows.close()
+    flips = [np.bitwise_or.reduce(np.uint64(1) << r.permutation(64)[:n].astype(np.uint64)) for n in r.integers(0, 20, 900)]
+    probe = np.concatenate([np.tile(windows.fp, 3) ^ np.array(flips, np.uint64), r.integers(0, 2**63, 500).astype(np.uint64)])
+    i, j = windows.near(probe)
+    want = {(a, b) for a in range(len(probe)) for b in np.flatnonzero(np.bitwise_count(windows.fp ^ probe[a]) <= radius)}
+    assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want) > 100
+
+
+def test_edited_passages_are_found(spark):
+    r = random.Random(13)
+    vocab = [f"{a}{b}" for a in "river stone cloud paper light garden window market".split() for b in range(60)]
+    items = [(i, " ".join(r.choice(vocab) for _ in range(r.randrange(40, 112)))) for i in range(60)]
+    docs, planted = [], {}
+    for d in range(900):
+        i, t = r.choice(items)
+        w, edits = t.split(), r.randrange(1, 4)
+        for _ in range(edits):
+            k, x = r.randrange(len(w)), r.random()
+            if x < 0.6:
+                w[k] = r.choice(vocab)
+            elif x < 0.8:
+                w.insert(k, r.choice(vocab))
+            else:
+                del w[k]
+        noise = lambda: [r.choice(vocab) for _ in range(r.randrange(0, 120))]
+        docs.append((d, " ".join([*noise(), *w, *noise()])))
+        planted[d, i] = (edits, len(t.split()))
+    docs.append((5000, items[0][1]))
+    got = {(x.doc_id, x.item_id): x for x in leakage.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for edits in (1, 2, 3):
+        these = [k for k, v in planted.items() if v[0] == edits]
+        assert sum(k in got for k in these) >= 0.95 * len(these)
+    # as a whole: one edit in sixty words or more leaves a similarity of at least 0.8
+    clear = [k for k, v in planted.items() if v[0] == 1 and v[1] >= 60]
+    assert sum(got[k].item_similarity is not None for k in clear if k in got) >= 0.9 * len(clear) > 100
+    assert got[5000, 0].item_similarity == 1.0 and got[5000, 0].run_words == len(items[0][1].split())
+    assert len(got) < 1.1 * len(planted)
+
+
+def test_short_and_equal_items(spark):
+    same = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    items = [(i, same) for i in range(300)] + [(900, "just seven words stand in this item"), (901, "four words are few"), (None, same)]
+    docs = [(1, "x y " + same + " z"), (2, "here just seven words stand in this item too"), (3, "four words are few"), (4, "")]
+    got = leakage.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == {(1, i) for i in range(300)} | {(2, 900)}
+    assert {x.run_words for x in got if x.doc_id == 1} == {14} and {x.item_similarity for x in got} == {1.0}
 
 
 def test_provenance(spark):
