@@ -103,20 +103,21 @@ def frame_rows(it: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
 
 
 # --------------------------------------------------------------------------
-# Bounded counting sketch: one array of saturating 16-bit counters, filled on
-# the executors, summed in slices. Its size depends on ``bits`` alone.
+# Bounded counting sketch: one array of 32-bit counters, filled on the executors,
+# summed in slices. Its size depends on ``bits`` alone.
 
 SLICES = 64
 MAX_BITS = 25
+MOST = (1 << 32) - 1
 
 
 def sketch_bits(n_rows: int, per_row: int) -> int:
-    """log2 of the number of counters: follows the data up to MAX_BITS (64 MB)."""
+    """log2 of the number of counters: follows the data up to MAX_BITS (32 MB as codes)."""
     return min(MAX_BITS, max(14, math.ceil(math.log2(max(2, n_rows * per_row)))))
 
 
 def counting_sketch(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], bits: int) -> np.ndarray:
-    """Counts (capped at 65535) of all hashes of all rows, by their top ``bits`` bits.
+    """Counts of all hashes of all rows, by their top ``bits`` bits.
 
     ``hashes`` turns the batches of a partition into uint64 arrays. Every row is
     counted. What reaches the driver is 2**bits counters, whatever the input.
@@ -126,13 +127,13 @@ def counting_sketch(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]],
     width = size // slices
 
     def fill(it):
-        counts = np.zeros(size, np.uint16)
+        counts = np.zeros(size, np.uint32)
         shift = np.uint64(64 - bits)
         pend, held = [], 0
 
         def flush():
             idx, c = np.unique(np.concatenate(pend), return_counts=True)
-            counts[idx] = np.minimum(counts[idx].astype(np.int64) + c, 65535).astype(np.uint16)
+            counts[idx] = np.minimum(counts[idx].astype(np.int64) + c, MOST).astype(np.uint32)
 
         for h in hashes(it):
             pend.append((h >> shift).astype(np.uint32))
@@ -153,38 +154,46 @@ def counting_sketch(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]],
         total = np.zeros(width, np.int64)
         for c in table.column("counts"):
             total += _unpack(c.as_py())
-        out = _pack(np.minimum(total, 65535).astype(np.uint16))
+        out = _pack(np.minimum(total, MOST).astype(np.uint32))
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([out], pa.binary())})
 
     schema = "slice int, counts binary"
     summed = df.mapInArrow(fill, schema).groupBy("slice").applyInArrow(add, schema)
-    out = np.zeros(size, np.uint16)
+    out = np.zeros(size, np.uint32)
     for row in summed.toLocalIterator():
         out[row["slice"] * width : (row["slice"] + 1) * width] = _unpack(row["counts"])
     return out
 
 
 def _pack(counts: np.ndarray) -> bytes:
-    """Low bytes, then high bytes (mostly zero), compressed."""
-    return zlib.compress(counts.view(np.uint8).reshape(-1, 2).T.tobytes(), 1)
+    """All lowest bytes, then the next (mostly zero), compressed."""
+    return zlib.compress(counts.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(2, -1).T).view(np.uint16).ravel()
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
-#: Counts that the codes of a compact sketch stand for: exact to 32, then 16 steps to a doubling.
-CODES = np.r_[np.arange(33), np.minimum(np.ceil(32 * 2 ** (np.arange(1, 177) / 16)), 65535)].astype(np.uint16)
+#: Counts that the codes of a compact sketch stand for: exact to 32, then 8 steps to a doubling, to 2**32.
+CODES = np.r_[np.arange(33), np.minimum(np.ceil(32 * 2 ** (np.arange(1, 217) / 8)), MOST)].astype(np.int64)
 
 
 def compact(sketch: np.ndarray) -> np.ndarray:
-    """Codes of one byte, half the size to broadcast."""
-    return (np.searchsorted(CODES, np.arange(65536), side="right") - 1).astype(np.uint8)[sketch]
+    """Codes of one byte, a quarter of the size to broadcast."""
+    out = np.empty(len(sketch), np.uint8)
+    for a in range(0, len(sketch), 1 << 20):
+        out[a : a + (1 << 20)] = np.searchsorted(CODES, sketch[a : a + (1 << 20)], side="right") - 1
+    return out
+
+
+def code_of(codes: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+    """Codes of hashes in a compact sketch; they rise with the counts."""
+    return codes[(h >> np.uint64(64 - bits)).astype(np.int64)]
 
 
 def lookup(codes: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
     """Counts of hashes in a compact sketch (from above 32, rounded down)."""
-    return CODES[codes[(h >> np.uint64(64 - bits)).astype(np.int64)]]
+    return CODES[code_of(codes, bits, h)]
 
 
 def signed(h: np.ndarray) -> np.ndarray:

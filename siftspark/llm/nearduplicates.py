@@ -10,14 +10,16 @@ share a shingle among their first ``n - ceil(t*n) + 1``.
   cannot reach the needed overlap is skipped as a whole, without touching its
   entries.
 * Answer-level skipping. Probing sets are ordered so that highly similar ones
-  (same bottom-k sketch) follow each other. For the second and later sets of
+  (same least hash) follow each other. For the second and later sets of
   such a run the overlap with a partner is derived from the first one's answer:
   ``|S'&B| = |S&B| - |(S-S')&B| + |(S'-S)&B|``; only the small differences are
   looked up.
 
 The global order comes from a counting sketch over all rows. It has a bounded
 size; an inexact count only makes the prefix a little less selective. A shingle is a
-48-bit hash below its 16-bit count, so one sort gives a set and its order. Candidates
+56-bit hash below its 8-bit count code, so one sort gives a set and its order; "exact"
+means up to collisions of such hashes. A list longer than CELL by the sketch is cut into as
+many groups as that takes, and every pair of groups is joined on its own. Candidates
 are first held against the parity bitmaps of their sets, which bound the overlap from
 above (two sets differ in at least as many elements as their bitmaps in bits).
 """
@@ -37,6 +39,8 @@ from siftspark.llm import common as C
 BLOCK = 64
 #: Longest list kept in one cell; longer ones are split into cells of group pairs.
 CELL = 4096
+#: Members of a class that are expanded at once.
+MEMBERS = 2048
 #: Bits of the parity bitmap of a set.
 BITMAP = 256
 
@@ -140,6 +144,17 @@ class SkippingVerifier:
         return got
 
 
+def _slices(weights: np.ndarray, most: int = 2_000_000) -> list[tuple[int, int]]:
+    """Bounds of stretches of at most that weight, or of single rows."""
+    total = np.cumsum(weights)
+    out, a = [], 0
+    while a < len(weights):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, side="right")))
+        out.append((a, b))
+        a = b
+    return out
+
+
 def near_duplicate_classes(
     df: DataFrame, id_col: str, text_col: str, group_col: str | None = None, *, width: int = 5, threshold: float = 0.8, min_words: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -169,14 +184,17 @@ def near_duplicate_classes(
         for batch in it:
             yield C.batch_shingles(batch.column("text").to_pylist(), width, cache, least_words)[1]
 
-    sketch = spark.sparkContext.broadcast(C.compact(C.counting_sketch(base.select("text"), all_hashes, bits)))
+    counts = C.counting_sketch(base.select("text"), all_hashes, bits)
+    floor = int(np.median(counts))  # what chance adds to every counter of a full sketch
+    sketch = spark.sparkContext.broadcast(C.compact(counts))
+    del counts
 
     def keyed(texts, cache):
         """(rows, sorted distinct keys end to end, bounds) of the texts with enough words; key = count and hash."""
         rows, h, bounds = C.batch_shingles(texts, width, cache, least_words)
         if not rows:
             return rows, h, bounds
-        key = (C.lookup(sketch.value, bits, h).astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16))
+        key = (C.code_of(sketch.value, bits, h).astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
         ends = bounds.tolist()
         for a, b in zip(ends, ends[1:]):
             key[a:b].sort()
@@ -203,36 +221,43 @@ def near_duplicate_classes(
             at = np.repeat(np.arange(len(rows)), size)
             pos = np.arange(len(key)) - bounds[at]
             prefix = size - -(-size * num // den) + 1
-            pick = (pos < prefix[at]) & (key >= np.uint64(2 << 48)) & fresh[at]  # what occurs once has no partner
+            pick = (pos < prefix[at]) & (key >= np.uint64(2 << 56)) & fresh[at]  # what occurs once has no partner
             tok, at, pos = key[pick], at[pick], pos[pick]
             cls = np.frombuffer(b"".join(name), np.int64)[at]
             order = (size[at] << 32) | pos
-            count = (tok >> np.uint64(48)).astype(np.int64)
+            count = C.CODES[(tok >> np.uint64(56)).astype(np.int64)] - floor
             part = np.zeros(len(tok), np.int64)
-            cell = np.zeros(len(tok), np.int64)
+            low, high = part, part
             if (count > CELL).any():  # a long list is cut into groups; each pair of groups is a cell
-                groups = np.where(count >= 65535, 64, -(-count // CELL))
+                groups = np.maximum(1, -(-count // CELL))
                 part = (cls.view(np.uint64) % groups.astype(np.uint64)).astype(np.int64)
-                reps = np.repeat(np.arange(len(tok)), groups)
-                other = np.arange(len(reps)) - np.repeat(np.cumsum(groups) - groups, groups)
-                tok, cls, order, part = tok[reps], cls[reps], order[reps], part[reps]
-                cell = np.minimum(part, other) * 64 + np.maximum(part, other)
-                tok = tok + cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # one list per cell
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (C.signed(tok), order, cls, cell * 64 + part)], ["list", "ord", "cls", "cell"])
+                for a, b in _slices(groups):
+                    yield cells(tok[a:b], order[a:b], cls[a:b], part[a:b], groups[a:b])
+                continue
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (C.signed(tok), order, cls, np.zeros(len(tok), np.int8))], ["list", "ord", "cls", "side"])
 
-    entries = base.select("text").mapInArrow(index, "list long, ord long, cls long, cell long")
+    def cells(tok, order, cls, part, groups):
+        """Entries of each of the cells they take part in; ``side`` 1 and 2 where a cell joins two groups."""
+        reps = np.repeat(np.arange(len(tok)), groups)
+        other = np.arange(len(reps)) - np.repeat(np.cumsum(groups) - groups, groups)
+        tok, cls, order, part = tok[reps], cls[reps], order[reps], part[reps]
+        low, high = np.minimum(part, other).astype(np.uint64), np.maximum(part, other).astype(np.uint64)
+        name = np.where(groups[reps] > 1, C.mix64(tok + low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F)), tok)  # one list per cell
+        side = np.where(low == high, 0, 1 + (part.astype(np.uint64) == high))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (C.signed(name), order, cls, side.astype(np.int8))], ["list", "ord", "cls", "side"])
+
+    entries = base.select("text").mapInArrow(index, "list long, ord long, cls long, side byte")
 
     def probe(it):
         """Candidate pairs of the lists; a list may span batches."""
-        names = ["list", "ord", "cls", "cell"]
+        names = ["list", "ord", "cls", "side"]
         held = None
 
-        def pairs(lst, order, cls, cell):
+        def pairs(lst, order, cls, side):
             new = np.r_[True, lst[1:] != lst[:-1]]
             i, j = pairs_in_lists(np.cumsum(new), order >> 32, order & 0xFFFFFFFF, num, den)
-            part, low, high = cell & 63, cell >> 6 & 63, cell >> 12
             a, b = cls[i], cls[j]
-            ok = ((low[i] == high[i]) | (part[i] != part[j])) & (a != b)
+            ok = ((side[i] == 0) | (side[i] != side[j])) & (a != b)
             a, b = a[ok], b[ok]
             pq = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pq[:, 0])), pa.array(np.ascontiguousarray(pq[:, 1]))], ["a", "b"])
@@ -263,7 +288,7 @@ def near_duplicate_classes(
     hot = spark.sparkContext.broadcast(np.packbits(C.counting_sketch(candidates, classes, bits) > 0))
 
     def describe(it):
-        """Class of every record; of candidates also size, relation (bottom-k sketch) and parity bitmap."""
+        """Class of every record; of candidates also size, relation (least hash) and parity bitmap."""
         cache, bitmap = C.WordHashes(), hot.value
         for batch in it:
             ids, grps = batch.column("id").to_pylist(), batch.column("grp").to_pylist()
@@ -278,7 +303,7 @@ def near_duplicate_classes(
                 if not bitmap[at >> 3] >> (7 - (at & 7)) & 1:
                     out.append((*names, None, None, None))
                     continue
-                low = np.partition(s * np.uint64(0x9E3779B97F4A7C15), 3)[:4] if len(s) > 4 else s
+                low = (s * np.uint64(0x9E3779B97F4A7C15)).min(keepdims=True)
                 parity = np.packbits((np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).astype(np.uint8))
                 out.append((*names, len(s), xxhash.xxh3_64_intdigest(np.sort(low)) - (1 << 63), parity.tobytes()))
             types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
@@ -353,37 +378,56 @@ def _cut(df: DataFrame) -> DataFrame:
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, group_col: str, **options) -> DataFrame:
     """Pairs ``<id>_a < <id>_b`` of records of different groups that are near duplicates.
 
-    Links between classes are expanded by their members, and classes by themselves.
+    Links between classes are expanded by their members, and classes by themselves. The
+    members of a class are cut into groups of MEMBERS, and each pair of groups is expanded
+    on its own, so no task holds the pairs of a large class. (``near_duplicate_groups``
+    says the same without expanding copies.)
     """
     members, links = near_duplicate_classes(df, id_col, text_col, group_col, **options)
-    a = members.select(F.col("id").alias("id_a"), F.col("grp").alias("grp_a"), F.col("cls").alias("cls_a"), F.col("chk").alias("chk_a"))
-    b = members.select(F.col("id").alias("id_b"), F.col("grp").alias("grp_b"), F.col("cls").alias("cls_b"), F.col("chk").alias("chk_b"))
-    across = links.join(a, ["cls_a", "chk_a"]).join(b, ["cls_b", "chk_b"])
-    # Only classes of several members can have pairs within.
-    several = members.groupBy("cls", "chk").agg(F.count("*").alias("k")).where("k > 1")
-    own = members.join(several.select("cls", "chk"), ["cls", "chk"], "left_semi")
-    within = own.select(F.col("cls").alias("cls_a"), F.col("chk").alias("chk_a"), F.col("id").alias("id_a"), F.col("grp").alias("grp_a")).join(
-        own.select(F.col("cls").alias("cls_a"), F.col("chk").alias("chk_a"), F.col("id").alias("id_b"), F.col("grp").alias("grp_b")),
-        ["cls_a", "chk_a"],
-    ).where("id_a < id_b")
-    cols = ["id_a", "grp_a", "id_b", "grp_b"]
-    pairs = across.select(*cols).unionByName(within.select(*cols)).where("id_a <> id_b and not (grp_a <=> grp_b)")
+    key = ["cls", "chk"]
+    sizes = _cut(members.groupBy(*key).agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"), (F.count("*") > 1).alias("several")))
+    placed = members.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    side = lambda s: placed.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "grp", *key, "part")])
+    count = lambda s: sizes.select(*[F.col(c).alias(f"{c}_{s}") for c in (*key, "parts")])
+    cells = lambda n: F.sequence(F.lit(0), n - 1)
+    across = links.join(count("a"), ["cls_a", "chk_a"]).join(count("b"), ["cls_b", "chk_b"])
+    across = across.withColumn("part_a", F.explode(cells(F.col("parts_a")))).withColumn("part_b", F.explode(cells(F.col("parts_b")))).drop("parts_a", "parts_b")
+    within = sizes.where("several").withColumn("part_a", F.explode(cells(F.col("parts")))).withColumn("part_b", F.explode(F.sequence("part_a", F.col("parts") - 1)))
+    within = within.select(F.col("cls").alias("cls_a"), F.col("chk").alias("chk_a"), F.col("cls").alias("cls_b"), F.col("chk").alias("chk_b"), "part_a", "part_b")
+    both = across.select(*within.columns).unionByName(within).join(side("a"), ["cls_a", "chk_a", "part_a"]).join(side("b"), ["cls_b", "chk_b", "part_b"])
+    pairs = both.where("id_a <> id_b and not (grp_a <=> grp_b)")
     return pairs.select(F.least("id_a", "id_b").alias(f"{id_col}_a"), F.greatest("id_a", "id_b").alias(f"{id_col}_b")).distinct()
 
 
-def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+def near_duplicate_links(df: DataFrame, id_col: str, text_col: str, group_col: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): pairs of class representatives and who belongs to which class, nothing expanded.
+
+    pairs: ``rep_a < rep_b``, the least ids of two different texts that are near duplicates.
+    members: ``<id>, rep``, one row per record with enough words.
+    """
+    members, links = near_duplicate_classes(df, id_col, text_col, group_col, **options)
+    reps = _cut(members.groupBy("cls", "chk").agg(F.min("id").alias("rep")))
+    side = lambda s: reps.select(*[F.col(c).alias(f"{c}_{s}") for c in reps.columns])
+    pairs = links.join(side("a"), ["cls_a", "chk_a"]).join(side("b"), ["cls_b", "chk_b"])
+    return pairs.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")), members.join(reps, ["cls", "chk"]).select(F.col("id").alias(id_col), "rep").distinct()
+
+
+def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, group_col: str | None = None, **options) -> DataFrame:
     """One row per record: ``<id>, group_id, class_size, n_links``.
 
-    ``group_id`` is the least record id reachable over links (connected component);
-    records without words are their own group with no links. The component search
-    repeats hash-min with pointer jumping over distributed tables until nothing
-    changes.
+    ``group_id`` is the least class representative (least id of an equal text) reachable over links (connected component);
+    ``class_size`` counts the records of the same text, ``n_links`` the other texts it is linked with. With
+    ``group_col``, records of one group are not linked, whatever their texts. Records
+    without words are their own group with no links. The component search repeats
+    hash-min with pointer jumping over distributed tables until nothing changes.
     """
-    members, links = near_duplicate_classes(df, id_col, text_col, None, **options)
-    classes = members.groupBy("cls", "chk").agg(F.min("id").alias("rep"), F.count("*").alias("class_size"))
-    name = lambda s: classes.select(F.col("cls").alias(f"cls_{s}"), F.col("chk").alias(f"chk_{s}"), F.col("rep").alias(f"rep_{s}"))
-    edges = links.join(name("a"), ["cls_a", "chk_a"]).join(name("b"), ["cls_b", "chk_b"]).select("rep_a", "rep_b")
-    both = _cut(edges.union(edges.select("rep_b", "rep_a")).distinct())
+    members, links = near_duplicate_classes(df, id_col, text_col, group_col, **options)
+    classes = _cut(members.groupBy("cls", "chk").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("class_size"), F.min(F.coalesce("grp", F.lit(""))).alias("lo"), F.max(F.coalesce("grp", F.lit(""))).alias("hi")))
+    side = lambda s: classes.select(*[F.col(c).alias(f"{c}_{s}") for c in ("cls", "chk", "rep", "lo", "hi")])
+    edges = links.join(side("a"), ["cls_a", "chk_a"]).join(side("b"), ["cls_b", "chk_b"])
+    if group_col:
+        edges = edges.where("not (lo_a = hi_a and lo_b = hi_b and lo_a = lo_b)")
+    both = _cut(edges.select("rep_a", "rep_b").union(edges.select("rep_b", "rep_a")).distinct())
     labels = _cut(both.groupBy(F.col("rep_a").alias("v")).agg(F.least(F.min("rep_b"), F.first("rep_a")).alias("root")))
     while True:
         heard = both.join(labels.select(F.col("v").alias("rep_b"), "root"), "rep_b").groupBy(F.col("rep_a").alias("v")).agg(F.min("root").alias("near"))
@@ -396,9 +440,9 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, **options)
             break
     degree = both.groupBy(F.col("rep_a").alias("v")).agg(F.count("*").alias("n_links"))
     facts = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").join(degree.withColumnRenamed("v", "rep"), "rep", "left")
-    known = members.join(facts, ["cls", "chk"]).select(
-        "id", F.coalesce("root", "rep").alias("group_id"), "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    tied = F.col("root").isNotNull() if group_col else F.lit(True)
+    own = F.when(tied | (F.col("lo") < F.col("hi")), F.coalesce("root", "rep"))  # equal texts of one group alone are not tied
+    known = members.select("id", "cls", "chk").distinct().join(facts, ["cls", "chk"]).select("id", own.alias("group_id"), "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     ids = df.select(F.col(id_col).cast("string").alias("id")).where("id is not null").distinct()
     return ids.join(known, "id", "left").select(
         F.col("id").alias(id_col), F.coalesce("group_id", "id").alias("group_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links")

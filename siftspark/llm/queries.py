@@ -13,7 +13,7 @@ def p1_found(spark, d):
 
 
 def p1_groups(spark, d):
-    return nearduplicates.near_duplicate_groups(table(spark, d, "documents").withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id", "text")
+    return nearduplicates.near_duplicate_groups(table(spark, d, "chunks"), "chunk_id", "text", "rel_path", width=3, threshold=0.6, min_words=20)
 
 
 def p2_found(spark, d):
@@ -96,8 +96,33 @@ WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 ONE_TEXT = "SELECT chunk_id, any_value(text) AS text FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL GROUP BY chunk_id"
 
 
+#: Classes of chunks by their sets of three-word runs, and links of classes; pairs of one path do not count.
+NEAR = f"""
+    one AS (SELECT DISTINCT chunk_id, rel_path, text FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL),
+    w AS (SELECT chunk_id, rel_path, {WORDS} AS ws FROM one),
+    s AS (SELECT chunk_id, rel_path, list_sort(list_distinct(list_transform(range(1, len(ws) - 1), lambda k: array_to_string(ws[k : k + 2], ' ')))) AS grams FROM w WHERE len(ws) >= 20),
+    m AS (SELECT DISTINCT chunk_id, rel_path, md5(array_to_string(grams, chr(10))) AS cls FROM s),
+    c AS (SELECT md5(array_to_string(grams, chr(10))) AS cls, any_value(grams) AS grams, min(chunk_id) AS rep, count(DISTINCT chunk_id) AS class_size, min(rel_path) AS lo, max(rel_path) AS hi FROM s GROUP BY 1),
+    g AS (SELECT cls, len(grams) AS n, unnest(grams) AS gram FROM c),
+    l AS (SELECT a.cls AS a, b.cls AS b FROM g a JOIN g b ON a.gram = b.gram AND a.cls < b.cls GROUP BY ALL HAVING count(*) * 10 >= 6 * (any_value(a.n) + any_value(b.n) - count(*)))"""
+
+
 def oracle_sql():
     return {
+        "p1_found": f"""
+            WITH {NEAR}, t AS (SELECT a, b FROM l UNION ALL SELECT cls, cls FROM c)
+            SELECT DISTINCT least(x.chunk_id, y.chunk_id) AS chunk_id_a, greatest(x.chunk_id, y.chunk_id) AS chunk_id_b
+            FROM t JOIN m x ON x.cls = t.a JOIN m y ON y.cls = t.b WHERE x.chunk_id <> y.chunk_id AND x.rel_path <> y.rel_path""",
+        "p1_groups": f"""
+            WITH RECURSIVE {NEAR},
+            e AS (SELECT x.rep AS a, y.rep AS b FROM l JOIN c x ON x.cls = l.a JOIN c y ON y.cls = l.b WHERE NOT (x.lo = x.hi AND y.lo = y.hi AND x.lo = y.lo)),
+            d AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+            r AS (SELECT a AS v, a AS met FROM d UNION SELECT r.v, d.b FROM r JOIN d ON d.a = r.met),
+            root AS (SELECT v, min(met) AS root FROM r GROUP BY v), deg AS (SELECT a AS v, count(*) AS n FROM d GROUP BY a),
+            f AS (SELECT DISTINCT m.chunk_id, CASE WHEN root IS NOT NULL OR lo < hi THEN coalesce(root, rep) ELSE chunk_id END AS group_id, class_size, coalesce(n, 0) AS n_links
+                  FROM m JOIN c USING (cls) LEFT JOIN root ON root.v = c.rep LEFT JOIN deg ON deg.v = c.rep)
+            SELECT i.chunk_id, coalesce(group_id, i.chunk_id) AS group_id, coalesce(class_size, 1) AS class_size, coalesce(n_links, 0) AS n_links
+            FROM (SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL) i LEFT JOIN f USING (chunk_id)""",
         "p2_found": """
             WITH h AS (SELECT DISTINCT * FROM hits WHERE query_id IS NOT NULL),
             s AS (SELECT *, rank() OVER (PARTITION BY query_id, score IS NULL ORDER BY score DESC) AS place FROM h)

@@ -83,6 +83,46 @@ def test_a_text_of_many_copies(spark):
     assert {r.group_id for r in got} == {"000"} and {r.class_size for r in got} == {300} and {r.n_links for r in got} == {0}
 
 
+def test_long_lists_and_large_classes_in_cells(spark, monkeypatch):
+    """A shingle in every text, lists far above a cell, and classes of many copies: the same pairs."""
+    monkeypatch.setattr(nd, "CELL", 8)
+    monkeypatch.setattr(nd, "MEMBERS", 4)
+    r = random.Random(21)
+    texts = [" ".join(r.choice("abcd") for _ in range(r.randrange(3, 7))) for _ in range(260)]  # few words: every shingle is common
+    df = spark.createDataFrame([(f"{i:03d}", f"p{i % 5}", t) for i, t in enumerate(texts)], "id string, path string, text string").repartition(4)
+    got = {(int(x.id_a), int(x.id_b)) for x in nd.near_duplicate_pairs(df, "id", "text", "path", width=2, threshold=0.6).collect()}
+    assert got == {(i, j) for i, j in brute(texts, 2, 3, 5, 2) if i % 5 != j % 5} and len(got) > 500
+
+
+def test_representatives_and_members_hold_all_links(spark):
+    texts = corpus(4, 120)
+    texts += texts[:20]
+    df = spark.createDataFrame([(f"{i:03d}", t) for i, t in enumerate(texts)], "id string, text string")
+    pairs, members = nd.near_duplicate_links(df, "id", "text", width=3, threshold=0.6)
+    rep = {x.id: x.rep for x in members.collect()}
+    told = {(x.rep_a, x.rep_b) for x in pairs.collect()}
+    for i, j in brute(texts, 3, 3, 5, 3):
+        a, b = sorted((rep[f"{i:03d}"], rep[f"{j:03d}"]))
+        assert a == b or (a, b) in told
+
+
+def test_groups_across_paths_only(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [("a", "p", text), ("b", "p", text), ("c", "q", text + " more"), ("d", "r", "x " + text[3:]), ("e", "s", " ".join(f"v{i}" for i in range(40))), ("f", "s", " ".join(f"v{i}" for i in range(40)))]
+    df = spark.createDataFrame(rows, "id string, path string, text string")
+    got = {x.id: (x.group_id, x.class_size, x.n_links) for x in nd.near_duplicate_groups(df, "id", "text", "path", width=3, threshold=0.6).collect()}
+    assert got == {"a": ("a", 2, 2), "b": ("a", 2, 2), "c": ("a", 1, 2), "d": ("a", 1, 2), "e": ("e", 2, 0), "f": ("f", 2, 0)}
+
+
+def test_counts_reach_beyond_two_bytes():
+    from siftspark.llm import common as C
+
+    counts = np.array([0, 1, 32, 33, 70_000, 5_000_000, C.MOST], np.uint32)
+    assert (C._unpack(C._pack(counts)) == counts).all()
+    back = C.CODES[C.compact(counts)]
+    assert (back <= counts).all() and (back * 1.1 >= counts).all() and len(C.CODES) <= 256
+
+
 @pytest.mark.parametrize("block", [1, 3, 64])
 def test_block_skipping_loses_no_pair(block):
     r = np.random.default_rng(5)
