@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from siftspark.session import cut_lineage
+
 
 def fuse_ranks(bm25: DataFrame, vector: DataFrame, rrf_k: int = 60, top_n: int | None = None) -> DataFrame:
     """``query_id, chunk_id, score, bm25_rank, vector_rank, position`` of two rankings.
@@ -22,8 +24,20 @@ def fuse_ranks(bm25: DataFrame, vector: DataFrame, rrf_k: int = 60, top_n: int |
     return out if top_n is None else out.where(F.col("position") <= top_n)
 
 
+#: Ids of hits that are broadcast at most; more are joined by a shuffle of the chunks' ids.
+BROADCAST_IDS = 500_000
+
+
 def hydrate(fused: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hits with the fields of their chunks; ids without a chunk are dropped after the cut."""
+    """Hits with the fields of their chunks; ids without a chunk are dropped after the cut.
+
+    The chunks are first cut down to the ids of the hits, which are broadcast after they
+    were counted; texts of other chunks are never moved.
+    """
     fields = ["rel_path", "language", "start_line", "end_line", "text"]
-    one = chunks.where("chunk_id is not null").groupBy("chunk_id").agg(F.max(F.struct(*fields)).alias("_c")).select("chunk_id", "_c.*")
+    fused = cut_lineage(fused)  # k rows a query, read twice below
+    ids = cut_lineage(fused.select("chunk_id").where("chunk_id is not null").distinct())
+    few = ids.count() <= BROADCAST_IDS
+    wanted = chunks.join(F.broadcast(ids) if few else ids, "chunk_id", "left_semi")
+    one = wanted.groupBy("chunk_id").agg(F.max(F.struct(*fields)).alias("_c")).select("chunk_id", "_c.*")
     return fused.join(one, "chunk_id").select("query_id", "position", "chunk_id", *fields, "score", "bm25_rank", "vector_rank")

@@ -7,6 +7,8 @@ such similarity of the shorter with a window of the longer counts, less a tenth.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,9 +68,22 @@ def similarity(a: str, b: str) -> float:
     return max(r, partial_ratio(a, b) * (0.6 if long > 8 * short else 0.9))
 
 
+def pieces(s: str, edits: int) -> list[str] | None:
+    """The word in ``edits + 1`` pieces, as equal as can be; None if it has too few letters."""
+    n = edits + 1
+    if n > len(s):
+        return None
+    at = [len(s) * i // n for i in range(n + 1)]
+    return [s[a:b] for a, b in zip(at, at[1:])]
+
+
 class _Scorer:
     """Terms prepared for many comparisons; prunes pairs that cannot reach the cut.
 
+    Letters left out of the common subsequence, in either word, are at most a share of the
+    lengths (``edits``), and each breaks at most one piece of the shorter word: cut into one
+    piece more, one at least stands unbroken in the longer word. This is tested last, pair by pair.
+
     Words become counts of letters (hashed to 32 kinds, which can only raise the number of
     common ones), and the bounds are tested for whole blocks of words and terms.
     """
@@ -79,6 +94,7 @@ class _Scorer:
         self.terms, self.cut = terms, cut
         self.bags = self._bags(terms)
         self.sizes = np.array([len(t) for t in terms], np.int64)
+        self._pieces = functools.lru_cache(200_000)(pieces)
 
     def _bags(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), self.KINDS), np.uint8)
@@ -104,10 +120,16 @@ class _Scorer:
                 continue
             common = np.minimum(bags[fit], self.bags[i]).sum(1, dtype=np.int64)
             fit = fit[(common >= least[fit] - 1e-9) | (m[fit] > 200) | (n > 200)]
-            for k in fit.tolist():
-                s = similarity(term, words[k])
+            for k, close in zip(fit.tolist(), near[fit].tolist()):
+                word = words[k]
+                a, t = (term, word) if n <= len(word) else (word, term)
+                share = (len(a) + len(t)) * (1 - self.cut / 100) if close else 2 * len(a) * (1 - p / 100)
+                cut = self._pieces(a, int(share + 1e-9))
+                if cut is not None and not any(x in t for x in cut):
+                    continue
+                s = similarity(term, word)
                 if s >= self.cut:
-                    out.append((term, words[k], s))
+                    out.append((term, word, s))
         return out
 
 

@@ -105,14 +105,14 @@ def bm25_topk(spark, d):
 
 
 def fuzzy_expand(spark, d):
-    vocab = bm25.KeywordIndex.build(table(spark, d, "chunks")).vocab
+    vocab = bm25.KeywordIndex.build(table(spark, d, "chunks"), keep_vocabulary=True).vocab
     found = fuzzy.expand(_queries(spark, d), vocab)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
 def fuzzy_search(spark, d):
     """Keyword search of the expanded queries, rankings padded to the pool."""
-    index, asked = bm25.KeywordIndex.build(table(spark, d, "chunks")), _queries(spark, d)
+    index, asked = bm25.KeywordIndex.build(table(spark, d, "chunks"), keep_vocabulary=True), _queries(spark, d)
     ranked = index.search(asked, 20, fuzzy.expand(asked, index.vocab), pad=True)
     return ranked.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
@@ -242,7 +242,33 @@ def _context(name, most):
 
 CONTEXT = f"{RRF}, one AS ({ONE_CHUNK}), {_context('cx', 8)}, {_context('cx20', 20)}"
 
+#: Longest common subsequence of a and w, a row of the table at a time.
+LCS = "list_reduce(string_split(w, ''), lambda r, c: list_transform(range(1, length(a) + 2), lambda j: greatest(r[j], coalesce(list_max(list_transform(list_filter(range(2, j + 1), lambda i: a[i - 1] = c), lambda i: r[i - 1] + 1)), 0))), list_transform(range(0, length(a) + 1), lambda x: 0::BIGINT))[-1]"
+EXPANSION = f"""
+    texts AS ({TEXTS}), vo AS (SELECT DISTINCT unnest({TOKENS}) AS token FROM texts),
+    aq AS (SELECT query_id, max(query_text) AS text FROM queries WHERE query_id IS NOT NULL GROUP BY query_id),
+    said AS (SELECT query_id, unnest(range(0, len(ts)))::INT AS pos, unnest(ts) AS term FROM (SELECT query_id, list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{1,}}'), lambda t: lower(t)) AS ts FROM aq WHERE text IS NOT NULL)),
+    unk AS (SELECT * FROM said WHERE term NOT IN (SELECT token FROM vo)),
+    pr AS (SELECT term, token, CASE WHEN length(term) <= length(token) THEN term ELSE token END AS a, CASE WHEN length(term) <= length(token) THEN token ELSE term END AS t FROM (SELECT DISTINCT term FROM unk), vo WHERE term <> token),
+    sz AS (SELECT *, length(t) < 15e-1 * length(a) AS near, floor(CASE WHEN length(t) < 15e-1 * length(a) THEN 18e-2 * (length(a) + length(t)) ELSE 2 * length(a) * (1 - 82 / 90e0) END + 1e-9)::INT + 1 AS parts FROM pr WHERE length(t) <= 8 * length(a)),
+    fit AS (SELECT * FROM sz WHERE (NOT near OR 200 * length(a) >= 82 * (length(a) + length(t))) AND (parts > length(a) OR len(list_filter(range(0, parts),
+        lambda k: contains(t, substring(a, (length(a) * k // parts + 1)::BIGINT, (length(a) * (k + 1) // parts - length(a) * k // parts)::BIGINT)))) > 0)),
+    win AS (SELECT term, token, a, near, t AS w, 1e0 AS f FROM fit WHERE near OR length(t) * 82 <= length(a) * 118
+            UNION ALL SELECT term, token, a, near, substring(t, (greatest(0, i) + 1)::BIGINT, (least(length(t), i + length(a)) - greatest(0, i))::BIGINT), 9e-1 FROM (SELECT *, unnest(range(1 - length(a), length(t))) AS i FROM fit WHERE NOT near)),
+    sim AS (SELECT term, token AS candidate, max(f * 2e2 * {LCS} / (length(a) + length(w))) AS similarity FROM win GROUP BY ALL),
+    best AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY similarity DESC, candidate) AS rank FROM sim WHERE similarity >= 82),
+    ex AS (SELECT query_id, pos, term, candidate, similarity, rank FROM unk JOIN best USING (term) WHERE rank <= 3)"""
+
 ORACLE = {
+    "fuzzy_expand": f"WITH {EXPANSION} SELECT query_id, pos, term, candidate, round(similarity, 6) AS similarity, rank FROM ex",
+    "fuzzy_search": f"""
+        WITH {EXPANSION}, p AS ({POSTINGS}), l AS ({LENGTHS}), v AS (SELECT token, count(*) AS df FROM p GROUP BY token), c AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS a FROM l),
+        words AS (SELECT query_id, unnest({TOKENS}) AS token FROM aq UNION ALL SELECT query_id, candidate FROM ex),
+        q AS (SELECT query_id, token, count(*) AS qtf FROM words GROUP BY ALL),
+        s AS (SELECT query_id, chunk_id, sum(qtf * ln(1e0 + (n - df + 5e-1) / (df + 5e-1)) * tf / (15e-1 * (25e-2 + 75e-2 * dl / a) + tf)) AS score FROM q JOIN v USING (token) JOIN p USING (token) JOIN l USING (chunk_id), c GROUP BY ALL),
+        every AS (SELECT aq.query_id, texts.chunk_id, coalesce(score, 0e0) AS score FROM aq CROSS JOIN texts LEFT JOIN s ON s.query_id = aq.query_id AND s.chunk_id = texts.chunk_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM every)
+        SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 20""",
     "p7_found": """
         WITH ok AS (SELECT run_id, lag(run_id) OVER (ORDER BY run_id) AS prev FROM (SELECT DISTINCT run_id FROM index_runs WHERE status = 'ok')),
         seen AS (SELECT run_id, rel_path, file_hash FROM (

@@ -131,6 +131,35 @@ def test_hydration_drops_unknown_ids_after_the_cut(spark):
     assert rows(fusion.hydrate(fused, chunks), "position", "chunk_id") == [(2, "c")]
 
 
+def test_lookup_moves_no_texts_of_other_chunks(spark, data):
+    """The scan of the chunks' texts meets the broadcast ids before any exchange."""
+    from siftspark.plans import catalogue
+
+    plan = catalogue.hybrid_search(spark, data)._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    scans = [i for i, line in enumerate(plan) if "FileScan" in line and "text" in line and "chunks.parquet" in line]
+    assert scans
+    for i in scans:
+        above, at = [], depth(plan[i])
+        for line in reversed(plan[:i]):
+            if depth(line) < at:
+                at = depth(line)
+                above.append(line)
+        first = next(line for line in above if "Join" in line or "Exchange" in line)
+        assert "BroadcastHashJoin" in first and "LeftSemi" in first
+
+
+def test_stored_postings_are_sorted_and_pruned(spark, tmp_path):
+    chunks = spark.range(3000).select(F.format_string("c%04d", "id").alias("chunk_id"), F.concat_ws(" ", F.format_string("w%03d", F.pmod("id", F.lit(700))), F.lit("common")).alias("text"))
+    built = bm25.KeywordIndex.build(chunks)
+    built.write(str(tmp_path / "i"))
+    index = bm25.KeywordIndex.read(spark, str(tmp_path / "i"))
+    asked = spark.createDataFrame([(1, "w123 w124"), (2, "common nothing")], "query_id long, query_text string")
+    assert sorted(map(tuple, index.search(asked, 5).collect())) == sorted(map(tuple, built.search(asked, 5).collect()))
+    plan = index.search(asked.where("query_id = 1"), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(token,w123), LessThanOrEqual(token,w124)" in plan
+
+
 def test_context_stops_at_the_first_block_that_does_not_fit(spark):
     s = "query_id long, position int, rel_path string, start_line int, end_line int, language string, text string"
     hits = spark.createDataFrame([(1, 1, "a", 1, 2, "text", "x"), (1, 2, "b", 1, 2, "go", "y" * 100), (1, 3, "c", 1, 2, "text", "z")], s)
