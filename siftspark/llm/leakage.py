@@ -111,7 +111,7 @@ class Windows:
             near = _near_values(self.block(self.fp, b), self.radius // BLOCKS)
             order = np.argsort(near.ravel(), kind="stable")
             count = np.bincount(near.ravel(), minlength=1 << BLOCK_BITS)
-            self.tables.append(((order // near.shape[1]).astype(np.int32), np.r_[0, np.cumsum(count)[:-1]], count))
+            self.tables.append(((order // near.shape[1]).astype(np.int32), np.r_[0, np.cumsum(count)[:-1]].astype(np.int32), count.astype(np.int32)))
 
     @staticmethod
     def block(fp: np.ndarray, b: int) -> np.ndarray:

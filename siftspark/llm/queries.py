@@ -17,8 +17,7 @@ def p1_groups(spark, d):
 
 
 def p2_found(spark, d):
-    ranked = rankmix.fuse_scores(table(spark, d, "hits"))
-    return ranked.where("bm25_rank <= 5 and vector_rank <= 5 and place_score <= 5").select("query_id", "chunk_id")
+    return rankmix.best_of_all(table(spark, d, "hits"), 5).select("query_id", "chunk_id")
 
 
 def p2_ranking(spark, d):
@@ -127,6 +126,18 @@ def oracle_sql():
             WITH h AS (SELECT DISTINCT * FROM hits WHERE query_id IS NOT NULL),
             s AS (SELECT *, rank() OVER (PARTITION BY query_id, score IS NULL ORDER BY score DESC) AS place FROM h)
             SELECT query_id, chunk_id FROM s WHERE bm25_rank <= 5 AND vector_rank <= 5 AND score IS NOT NULL AND place <= 5""",
+        "p2_ranking": """
+            WITH h AS (SELECT DISTINCT * FROM hits WHERE query_id IS NOT NULL),
+            x AS (SELECT *, -bm25_rank::DOUBLE AS vb, -vector_rank::DOUBLE AS vv, CASE WHEN NOT isnan(score) THEN score END AS vs FROM h),
+            m AS (SELECT query_id, median(vb) AS mb, median(vv) AS mv, median(vs) AS ms FROM x GROUP BY query_id),
+            y AS (SELECT x.*, vb - mb AS db, vv - mv AS dv, vs - ms AS ds FROM x JOIN m USING (query_id)),
+            k AS (SELECT query_id, 14826e-4 * median(abs(db)) AS kb, 14826e-4 * median(abs(dv)) AS kv, 14826e-4 * median(abs(ds)) AS ks FROM y GROUP BY query_id),
+            z AS (SELECT y.*, db / CASE WHEN kb > 0 THEN kb ELSE 1 END AS zb, dv / CASE WHEN kv > 0 THEN kv ELSE 1 END AS zv, ds / CASE WHEN ks > 0 THEN ks ELSE 1 END AS zs FROM y JOIN k USING (query_id)),
+            u AS (SELECT *, exp((ln(coalesce(1 / (1 + exp(-greatest(-30, least(30, zb)))), 5e-2)) + ln(coalesce(1 / (1 + exp(-greatest(-30, least(30, zv)))), 5e-2)) + ln(coalesce(1 / (1 + exp(-greatest(-30, least(30, zs)))), 5e-2))) / 3) AS fused FROM z)
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 12) DESC, chunk_id NULLS LAST) AS position, chunk_id, round(fused, 9) AS fused,
+              CASE WHEN vb IS NOT NULL THEN rank() OVER (PARTITION BY query_id ORDER BY vb DESC NULLS LAST) END AS place_bm25,
+              CASE WHEN vv IS NOT NULL THEN rank() OVER (PARTITION BY query_id ORDER BY vv DESC NULLS LAST) END AS place_vector,
+              CASE WHEN vs IS NOT NULL THEN rank() OVER (PARTITION BY query_id ORDER BY vs DESC NULLS LAST) END AS place_score FROM u""",
         "p5_found": f"""
             WITH d AS ({ONE_TEXT}),
             p AS (SELECT chunk_id, unnest({WORDS}) AS term FROM d),

@@ -3,41 +3,50 @@
 Each signal is standardised within its query by median and median absolute
 deviation, squashed by a logistic into (0, 1), and the bounded values are combined
 by a weighted geometric mean, so no signal's range or outliers dominate.
+
+Medians, places and positions are exact at every size. They come from running counts over
+a global sort, whose ranges are cut without regard to queries or ties: no task holds a
+hot query or a large group of equal values. Medians and places are counted over distinct values.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siftspark.session import cut_lineage
 
-#: percentile_approx keeps a sketch of at most a few times this many values per group.
-ACCURACY = 20_000
-#: Rows of a query per rank bucket; larger queries are ranked in several buckets.
-BUCKET_ROWS = 200_000
 #: Scales a median absolute deviation to a standard deviation of normal data.
 MAD_SCALE = 1.4826
+DEFAULT = {"bm25": ("bm25_rank", -1.0), "vector": ("vector_rank", -1.0), "score": ("score", 1.0)}
 
 
-def _median(c):
-    return F.percentile_approx(c, F.lit(0.5), F.lit(ACCURACY))
-
+def running(df: DataFrame, group: list[str], order: list, weight: str | None = None) -> DataFrame:
+    """Adds ``_before``: the summed weight (default: number) of the rows of the group before this one in ``order``.
 
-#: Bucket of a missing value.
-_NONE = 1 << 20
-
-
-def _cuts(value: str):
-    """Where a large group is cut: up to 255 of its quantiles; null for groups of up to BUCKET_ROWS rows."""
-    return F.when(F.count("*") > BUCKET_ROWS, F.percentile_approx(value, F.array(*[F.lit(i / 256) for i in range(1, 256)]), F.lit(1000)))
+    The rows are sorted in ranges over group and order together. A row's sum is that of the rows of its group
+    before it in its range, plus those of the ranges before.
+    """
+    w = F.col(weight) if weight else F.lit(1)
+    keys = [F.col(c) for c in group]
+    placed = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id())
+    placed = cut_lineage(placed).withColumn("_range", F.shiftright("_at", 33))
+    own = F.sum(w).over(W.partitionBy(*group, "_range").orderBy("_at").rowsBetween(W.unboundedPreceding, -1))
+    parts = placed.groupBy(*group, "_range").agg(F.sum(w).alias("_n"))
+    earlier = F.sum("_n").over(W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))  # a row per range
+    parts = parts.select(*group, "_range", F.coalesce(earlier, F.lit(0)).alias("_earlier"))
+    return placed.withColumn("_own", F.coalesce(own, F.lit(0))).join(parts, [*group, "_range"]).withColumn("_before", F.col("_own") + F.col("_earlier")).drop("_at", "_range", "_own", "_earlier")
 
 
-def _bucket(value: str, cuts: str):
-    """Rises with falling value; equal values share one bucket."""
-    placed = F.when(F.col(cuts).isNull(), F.lit(0)).otherwise(256 - F.size(F.filter(cuts, lambda c: c <= F.col(value))))
-    return F.when(F.col(value).isNull(), F.lit(_NONE)).otherwise(placed)
+def _middle(counted: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
+    """``group, name``: the median, from rows with ``_before`` and ``n`` (mean of the two middle values of an even number)."""
+    total = counted.groupBy(*group).agg(F.sum("n").alias("_total"))
+    at = lambda place: F.max(F.when((F.col("_before") < place) & (F.col("_before") + F.col("n") >= place), F.col(value)))
+    low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
+    return counted.join(total, group).groupBy(*group).agg(((at(low) + at(high)) / 2).alias(name))
 
 
 def fuse_scores(
@@ -55,56 +64,58 @@ def fuse_scores(
     better) and score. A missing signal counts as ``missing``; if the median absolute
     deviation of a signal is 0 in a query, its scale is 1. ``place_s`` is 1 plus the
     number of rows of the query that are strictly better. ``position`` is a total order:
-    fused, then item, then the other columns. Rows with a null query are left out;
+    fused (twelve digits), then item, then a hash of the whole row. Rows with a null query are left out;
     null items keep their place. Extra columns stay; one named like a result gets the
     suffix ``_given``. An empty table gives an empty result.
     """
-    signals = signals or {"bm25": ("bm25_rank", -1.0), "vector": ("vector_rank", -1.0), "score": ("score", 1.0)}
-    made = {"fused", "position", *(f"{p}_{s}" for p in ("z", "u", "place", "_v", "_m", "_d", "_b", "_c") for s in [*signals, "fused"]), "_sizes"}
+    signals = signals or DEFAULT
+    made = {"fused", "position", *(f"{p}_{s}" for p in ("z", "u", "place", "_v", "_m", "_d") for s in signals), "_id", "_before"}
     used = {query_col, item_col, *(c for c, _ in signals.values())}
     df = df.withColumnsRenamed({c: f"{c}_given" for c in df.columns if c in made and c not in used})
     base = df.where(F.col(query_col).isNotNull()).distinct()
     for s, (c, w) in signals.items():
         v = F.col(c).cast("double") * (1.0 if w > 0 else -1.0)
         base = base.withColumn(f"_v_{s}", F.when(F.isnan(v), None).otherwise(v))
-    base = cut_lineage(base)
-    middle = base.groupBy(query_col).agg(*[_median(F.col(f"_v_{s}")).alias(f"_m_{s}") for s in signals])
-    spread = base.join(middle, query_col).groupBy(query_col).agg(
-        *[F.first(f"_m_{s}").alias(f"_m_{s}") for s in signals], *[_median(F.abs(F.col(f"_v_{s}") - F.col(f"_m_{s}"))).alias(f"_d_{s}") for s in signals]
-    )
-    base = base.join(spread, query_col)
+    base = cut_lineage(base.withColumn("_id", F.monotonically_increasing_id()))
+
+    # Signals one below the other, without the other columns.
+    long = base.select(F.col(query_col).alias("q"), "_id", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.col(f"_v_{s}").alias("v")) for s in signals])).alias("x")).select("q", "_id", "x.s", "x.v").where("v is not null")
+    counted = cut_lineage(running(long.groupBy("q", "s", "v").agg(F.count("*").alias("n")), ["q", "s"], [F.desc("v")], "n"))
+    middle = cut_lineage(_middle(counted, ["q", "s"], "v", "m"))
+    away = counted.join(middle, ["q", "s"]).groupBy("q", "s", F.abs(F.col("v") - F.col("m")).alias("d")).agg(F.sum("n").alias("n"))
+    spread = _middle(running(away, ["q", "s"], [F.col("d")], "n"), ["q", "s"], "d", "d")
+    of = lambda c, s: F.max(F.when(F.col("s") == s, F.col(c)))
+    facts = middle.join(spread, ["q", "s"]).groupBy("q").agg(*[of("m", s).alias(f"_m_{s}") for s in signals], *[of("d", s).alias(f"_d_{s}") for s in signals])
+    places = long.join(counted.select("q", "s", "v", "_before"), ["q", "s", "v"]).groupBy("_id").agg(*[(of("_before", s) + 1).alias(f"place_{s}") for s in signals])
+
+    rows = base.join(facts.withColumnRenamed("q", query_col), query_col, "left")
     total = sum(abs(w) for _, w in signals.values())
-    log_mean = F.lit(0.0)
+    parts = []
     for s, (_, w) in signals.items():
         d = F.col(f"_d_{s}") * MAD_SCALE
-        base = base.withColumn(f"z_{s}", (F.col(f"_v_{s}") - F.col(f"_m_{s}")) / F.when(d > 0, d).otherwise(1.0))
+        rows = rows.withColumn(f"z_{s}", (F.col(f"_v_{s}") - F.col(f"_m_{s}")) / F.when(d > 0, d).otherwise(1.0))
         u = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col(f"z_{s}")))))
-        base = base.withColumn(f"u_{s}", F.coalesce(u, F.lit(missing)))
-        log_mean = log_mean + F.lit(abs(w) / total) * F.log(F.col(f"u_{s}"))
-    base = cut_lineage(base.withColumn("fused", F.exp(log_mean)).drop(*[f"_{p}_{s}" for p in "md" for s in signals]))
-
-    # Places in buckets, so that no task sorts the whole of a hot query: the place is the
-    # rank in the bucket plus the sizes of the buckets before it.
-    ranked = {**{s: f"_v_{s}" for s in signals}, "fused": "fused"}
-    facts = base.groupBy(query_col).agg(*[_cuts(v).alias(f"_c_{s}") for s, v in ranked.items()])
-    base = base.join(facts, query_col)
-    for s, v in ranked.items():
-        base = base.withColumn(f"_b_{s}", _bucket(v, f"_c_{s}"))
-    base = base.drop(*[f"_c_{s}" for s in ranked])
-    sizes = (
-        base.select(query_col, F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.col(f"_b_{s}").alias("b")) for s in ranked])).alias("x"))
-        .groupBy(query_col, "x").count()
-        .groupBy(query_col).agg(F.collect_list(F.struct(F.col("x.s").alias("s"), F.col("x.b").alias("b"), F.col("count").alias("n"))).alias("_sizes"))  # at most 257 per signal
-    )
-    base = base.join(sizes, query_col)
-    rest = [c for c in df.columns if c not in (query_col, item_col)]
-    for s, v in ranked.items():
-        before = F.aggregate("_sizes", F.lit(0).cast("long"), lambda acc, e: acc + F.when((e["s"] == s) & (e["b"] < F.col(f"_b_{s}")), e["n"]).otherwise(0))
-        window = W.partitionBy(query_col, f"_b_{s}")
-        if s == "fused":
-            r = F.row_number().over(window.orderBy(F.desc(v), F.asc_nulls_last(item_col), *[F.asc_nulls_last(c) for c in rest]))
-            base = base.withColumn("position", (r + before).cast("long"))
-        else:
-            r = F.rank().over(window.orderBy(F.desc(v)))
-            base = base.withColumn(f"place_{s}", F.when(F.col(v).isNotNull(), r + before))
-    return base.drop("_sizes", *[f"_b_{s}" for s in ranked], *[f"_v_{s}" for s in signals])
+        rows = rows.withColumn(f"u_{s}", F.coalesce(u, F.lit(missing)))
+        parts.append(F.lit(abs(w) / total) * F.log(F.col(f"u_{s}")))
+    rows = cut_lineage(rows.withColumn("fused", F.exp(reduce(lambda a, b: a + b, parts))).drop(*[f"_{p}_{s}" for p in "mdv" for s in signals]))
+    slim = rows.select("_id", F.col(query_col).alias("q"), F.round("fused", 12).alias("f"), F.col(item_col).alias("item"), F.xxhash64(*df.columns).alias("h"))
+    order = running(slim, ["q"], [F.desc("f"), F.asc_nulls_last("item"), F.col("h")]).select("_id", (F.col("_before") + 1).alias("position"))
+    return rows.join(places, "_id", "left").join(order, "_id").drop("_id")
+
+
+def best_of_all(df: DataFrame, best: int = 5, query_col: str = "query_id", item_col: str = "chunk_id", signals: dict[str, tuple[str, float]] | None = None) -> DataFrame:
+    """Rows of ``fuse_scores`` that every signal places among the query's best ``best``.
+
+    Signals that are ranks (negative weight) place a row by their own value, others by
+    ``place_s``. Such a row's bounded values are each at least the worst among the signal's best, so
+    its fused value is at least their geometric mean: rows below that bar are no candidates,
+    and the places are checked for the rest. A row with a missing signal is never among them.
+    """
+    signals = signals or DEFAULT
+    ranked = cut_lineage(fuse_scores(df, query_col, item_col, signals))
+    among = {s: F.coalesce(F.col(c if w < 0 else f"place_{s}") <= best, F.lit(False)) & F.col(c).isNotNull() for s, (c, w) in signals.items()}
+    total = sum(abs(w) for _, w in signals.values())
+    worst = reduce(lambda a, b: a + b, [F.lit(abs(w) / total) * F.log(F.min(F.when(among[s], F.col(f"u_{s}")))) for s, (_, w) in signals.items()])
+    bar = ranked.groupBy(query_col).agg(F.exp(worst).alias("_bar_all"))
+    near = ranked.join(bar, query_col).where(F.col("fused") >= F.col("_bar_all") * (1 - 1e-9)).drop("_bar_all")
+    return near.where(reduce(lambda a, b: a & b, among.values()))

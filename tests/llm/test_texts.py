@@ -112,23 +112,41 @@ def test_no_signal_dominates(spark):
     assert all(0 < got[c].u_score < 1 for c in got) and got["c1"].fused_given == "x"
 
 
-def test_places_and_ties(spark, monkeypatch):
+def test_places_medians_and_ties(spark):
+    import statistics
+
     r = random.Random(5)
-    rows = [(q, f"c{i}", r.choice([None, *range(1, 9)]), r.choice([None, *range(1, 9)]), r.choice([None, 0.1, 0.2, 0.5, float("nan"), 3.0])) for q in (1, 2) for i in range(60)] + [(3, None, None, None, None)]
-    df = spark.createDataFrame(rows, "query_id long, chunk_id string, bm25_rank int, vector_rank int, score double")
-    plain = {(x.query_id, x.chunk_id): x for x in rankmix.fuse_scores(df).collect()}
-    monkeypatch.setattr(rankmix, "BUCKET_ROWS", 10)  # hot queries in buckets: the same places
-    split = {(x.query_id, x.chunk_id): x for x in rankmix.fuse_scores(df).collect()}
-    for (q, c), x in plain.items():
-        y = split[q, c]
-        assert (x.position, x.place_bm25, x.place_vector, x.place_score) == (y.position, y.place_bm25, y.place_vector, y.place_score)
-        vals = [v[4] for v in rows if v[0] == q and v[4] is not None and v[4] == v[4]]
-        mine = next(v[4] for v in rows if v[0] == q and v[1] == c)
-        assert x.place_score == (1 + sum(v > mine for v in vals) if mine is not None and mine == mine else None)
-    assert sorted(x.position for (q, _), x in plain.items() if q == 1) == list(range(1, 61))
+    rows = [(q, f"c{i}", r.choice([None, *range(1, 9)]), r.choice([None, *range(1, 9)]), r.choice([None, 0.1, 0.2, 0.5, float("nan"), 3.0])) for q in (1, 2) for i in range(61 - q)] + [(3, None, None, None, None)]
+    rows += [(4, f"t{i:04d}", None, None, 1.0) for i in range(3000)]  # one hot query of nothing but ties
+    df = spark.createDataFrame(rows, "query_id long, chunk_id string, bm25_rank int, vector_rank int, score double").repartition(5)
+    got = {(x.query_id, x.chunk_id): x for x in rankmix.fuse_scores(df).collect()}
+    assert len(got) == len(rows)
+    for q in (1, 2):
+        mine = [v for v in rows if v[0] == q]
+        for name, at, sign in (("bm25", 2, -1), ("vector", 3, -1), ("score", 4, 1)):
+            vals = [sign * v[at] for v in mine if v[at] is not None and v[at] == v[at]]
+            m = statistics.median(vals)
+            d = 1.4826 * statistics.median(abs(v - m) for v in vals) or 1.0
+            for v in mine:
+                x, known = got[q, v[1]], v[at] is not None and v[at] == v[at]
+                assert x[f"place_{name}"] == (1 + sum(o > sign * v[at] for o in vals) if known else None)
+                assert x[f"z_{name}"] == (pytest.approx((sign * v[at] - m) / d) if known else None)
+        order = sorted((x for k, x in got.items() if k[0] == q), key=lambda x: (-round(x.fused, 12), x.chunk_id))
+        assert [x.position for x in order] == list(range(1, len(mine) + 1))
+    assert all(got[4, f"t{i:04d}"].position == i + 1 for i in range(3000))
     assert rankmix.fuse_scores(df.limit(0)).count() == 0
 
 
+def test_rows_that_all_signals_place_first(spark):
+    r = random.Random(6)
+    rows = [(q, f"c{i}", r.choice([None, *range(1, 30)]), r.choice([None, *range(1, 30)]), r.choice([None, r.random(), 0.9, 0.95])) for q in range(40) for i in range(30)]
+    df = spark.createDataFrame(rows, "query_id long, chunk_id string, bm25_rank int, vector_rank int, score double").withColumn("_bar", F.lit("clash"))
+    got = {(x.query_id, x.chunk_id) for x in rankmix.best_of_all(df, 12).collect()}
+    above = lambda v: sum(o[0] == v[0] and o[4] is not None and o[4] > v[4] for o in rows)
+    assert got == {(v[0], v[1]) for v in rows if None not in v and v[2] <= 12 and v[3] <= 12 and above(v) < 12} and len(got) > 20
+    assert rankmix.best_of_all(df.limit(0)).count() == 0
+
+
 def test_mixture_reaches_its_shares(spark):
     r = random.Random(6)
     docs = [(i, r.choice(["big", "BIG ", "small_one", "small-one", "none", None]) if i % 4 else "big", "word " * r.randrange(1, 60)) for i in range(3000)] + [(5000, "big", None), (5001, "big", ""), (None, "big", "x"), (0, "big", docs0)] if (docs0 := "word ") else []
