@@ -59,6 +59,17 @@ def p6_pieces(spark, d):
     return splitting.split_oversized(table(spark, d, "chunks"))
 
 
+def p6_tiles(spark, d):
+    """What the pieces of a chunk make together: its text, within the limit, with lines that fit."""
+    pieces = splitting.split_oversized(table(spark, d, "chunks"))
+    core = F.substr("text", F.col("core_start") - F.col("start_char") + 1)
+    own = F.collect_list(F.struct("piece", core.alias("core")))
+    return pieces.groupBy("chunk_id").agg(
+        F.md5(F.array_join(F.transform(F.sort_array(own), lambda x: x["core"]), "")).alias("text_hash"), F.max(F.length("text")).alias("longest"), F.max(F.col("core_start") - F.col("start_char")).alias("overlap"),
+        F.min("start_line").alias("start_line"), (F.max("end_line") - F.min("start_line") + 1).alias("n_lines"),
+    ).select("chunk_id", "text_hash", (F.col("longest") <= 800).alias("within"), (F.col("overlap") <= 120).alias("overlapping"), "start_line", "n_lines")
+
+
 def p8_found(spark, d):
     hits = leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return hits.where("run_words >= 12").select("doc_id", "item_id")
@@ -159,5 +170,8 @@ def oracle_sql():
             dg AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(ws) - 10), lambda k: array_to_string(ws[k : k + 11], ' '))) AS gram FROM d),
             ig AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(ws) - 10), lambda k: array_to_string(ws[k : k + 11], ' '))) AS gram FROM i)
             SELECT DISTINCT dg.id AS doc_id, ig.id AS item_id FROM dg JOIN ig USING (gram)""",
+        "p6_tiles": """
+            SELECT DISTINCT chunk_id, md5(text) AS text_hash, TRUE AS within, TRUE AS overlapping, coalesce(start_line, 1)::BIGINT AS start_line,
+              (length(text) - length(replace(text, chr(10), '')) + CASE WHEN suffix(text, chr(10)) THEN 0 ELSE 1 END)::BIGINT AS n_lines FROM chunks WHERE length(text) > 800""",
         "p6_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 800",
     }

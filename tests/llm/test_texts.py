@@ -66,6 +66,31 @@ def test_weights_equal_the_formula(spark):
     assert distinctive.distinctive_terms(df.limit(0), "id", "text").count() == 0
 
 
+def cores(text, language=None, limit=200):
+    return [text[a:b] for a, b in splitting.pack(text, limit, language)]
+
+
+def test_a_finished_node_does_not_join_its_sibling():
+    a1, b = "## A1\n" + "word " * 50 + "\n", "## B\nshort\n"
+    text = "# A\n" + a1 + "# C\n" + b
+    pieces = cores(text)
+    assert not any("word" in p and ("# C" in p or "## B" in p) for p in pieces)
+    assert "# C\n## B\nshort\n" in pieces
+    siblings = "".join(f"## S{i}\n{'x ' * 20}\n" for i in range(9))
+    assert all(p.startswith("## S") and p.count("## S") == 4 for p in cores(siblings)[:-1])
+
+
+def test_fences_comments_and_elements():
+    fenced = "intro text\n\n```\n# not a heading\n\ncode\n```\n\n# Real\n" + "body " * 30
+    assert any(p.startswith("```") or "```\n# not a heading\n\ncode\n```" in p for p in cores(fenced, "markdown", 160))
+    assert any(p.startswith("# Real") for p in cores(fenced, "markdown", 160))
+    code = "def f():\n" + "    x = 1\n" * 8 + "# a comment\n" + "    y = 2\n" * 8 + "def g():\n" + "    z = 3\n" * 12
+    assert any(p.startswith("def g") for p in cores(code, "python")) and not any(p.startswith("# a comment") and "def g" in p for p in cores(code, "python"))
+    page = "<html><body>" + "".join(f"<div><h2>T{i}</h2><p>{'word ' * 12}<br>{'more ' * 8}</p></div>" for i in range(6)) + "</body></html>"
+    pieces = cores(page, "html")
+    assert sum(p.startswith("<div>") for p in pieces) >= 5 and all(p.count("<div>") <= 1 for p in pieces) and "".join(pieces) == page
+
+
 def texts_to_split():
     r = random.Random(2)
     yield "x" * 5000
@@ -79,11 +104,15 @@ def texts_to_split():
 
 @pytest.mark.parametrize("text", texts_to_split())
 def test_pieces_tile_the_text(text):
-    pieces = splitting.split_text(text, 800, 120)
+    for language in (None, "python", "html"):
+        check_tiling(text, splitting.split_text(text, 800, 120, language))
+
+
+def check_tiling(text, pieces):
     assert "".join(text[c:b] for _, c, b in pieces) == text
     for k, (a, c, b) in enumerate(pieces):
         assert 0 < b - a <= 800 and c - a <= 120 and (k == 0) == (a == c == 0 and k == 0)
-    assert len(pieces) <= len(text) / 300 + 2
+    assert len(pieces) <= len(text) / 200 + 2
 
 
 def test_cuts_fall_on_boundaries():
