@@ -11,6 +11,7 @@ reported but not restored.
 
 from __future__ import annotations
 
+import math
 import re
 
 import pyarrow as pa
@@ -170,10 +171,11 @@ def _fix_cyrillic(line: str, few: bool = False) -> str | None:
     """A line of one Cyrillic code page read in another; ``few``: also one of a few letters."""
     letters = sum(c in _CYRILLIC for c in line)
     box = bool(_BOX_AS_LETTERS.search(line))
-    # frequencies of few letters say little, unless their case is upside down
-    if not few and letters < (6 if re.search("[а-яё][А-ЯЁ]", line) else 14) and not box:
+    if letters < 3 and not box:
         return None
-    best, top = None, _mean_rank(line) - 2.5
+    # frequencies of few letters say little: the fewer they are, the more must be won, less if their case is upside down
+    margin = 2.5 if few else 2.5 * max(1.0, math.sqrt((6 if re.search("[а-яё][А-ЯЁ]", line) else 14) / max(1, letters)))
+    best, top = None, _mean_rank(line) - margin
     for wrong in ("cp1251", "koi8_r", "cp866", "mac_cyrillic", "iso8859_5"):
         for right in ("koi8_r", "cp1251", "cp866", "iso8859_5", "mac_cyrillic"):
             if wrong == right:
@@ -185,6 +187,8 @@ def _fix_cyrillic(line: str, few: bool = False) -> str | None:
             if box and "──" in text:
                 return text
             r = _mean_rank(text)
+            if margin > 2.5 and sum(map(str.isupper, text)) > sum(map(str.isupper, line)):
+                continue  # a lower-case word is hardly one in capitals
             if r < top and sum(c in _CYRILLIC for c in text) >= 0.9 * letters:
                 best, top = text, r
     return best
@@ -222,6 +226,10 @@ def _fix_single(line: str) -> str | None:
     return best
 
 
+#: A replacement character, but not one that stands alone in quotes, as code writes it on purpose.
+_LOST = re.compile("(?<![\"'`])�|�(?![\"'`])")
+
+
 def repair_line(line: str) -> tuple[str, str | None]:
     """(restored line, kind); kind None means the line is fine.
 
@@ -242,7 +250,7 @@ def repair_line(line: str) -> tuple[str, str | None]:
         if not won or fixed == out:
             break
         out, kind = fixed, "multibyte"
-    if "�" in line or "�" in out:
+    if _LOST.search(line) or _LOST.search(out):
         return out, "lost"
     if _LATIN_RUN.search(out) or _MIXED.search(out) or _INSIDE.search(out) or _CONTROL.search(out):
         fixed = _fix_single(out)

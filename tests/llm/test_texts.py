@@ -39,6 +39,8 @@ def test_other_damage():
     assert mojibake.repair_text((FINE[5] + "\nпустой.").encode("koi8_r").decode("cp1251")) == (FINE[5] + "\nпустой.", [1, 2], ["single", "single"])
     assert mojibake.repair_line("├── a.py".encode().decode("cp1251", "replace"))[1] is not None
     assert mojibake.repair_line("M�glich")[1] == "lost"
+    assert mojibake.repair_line("if c == '�': skip")[1] is None and mojibake.repair_line("'�' and l�ss")[1] == "lost"
+    assert mojibake.repair_line("ссылка".encode("koi8_r").decode("cp1251")) == ("ссылка", "single")
     assert mojibake.repair_text("plain\ntext") == ("plain\ntext", [], [])
 
 
