@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from siftspark import models
 from siftspark.config import IGNORED_DIRS, IGNORED_FILES, LANGUAGE_BY_SUFFIX, SPECIAL_LANGUAGE, SPECIAL_NAMES, SUPPORTED_SUFFIXES
 from siftspark.functions import text as T
 from siftspark.operators import bm25, chunking, fusion, fuzzy, incremental, lifecycle, rag, vectors
+from siftspark.plans import trees
 from siftspark.session import table
 
 FIELDS = ["query_id", "chunk_id", "rel_path", "language", "start_line", "end_line", "text"]
@@ -189,9 +191,40 @@ def prompt_messages(spark, d):
     return said.select("query_id", "m.role", F.length("m.content").alias("n_chars"), F.sha1("m.content").alias("content_hash"))
 
 
+def query_terms(spark, d):
+    return _queries(spark, d).where("query_text is not null").select("query_id", F.posexplode(T.query_terms(F.col("query_text"))).alias("pos", "term"))
+
+
+def embedded(spark, d):
+    """Length and size of every chunk's vector, blank texts too."""
+    made = vectors.embed(bm25.one_text(table(spark, d, "chunks")), "text")
+    return made.select("chunk_id", F.size("vector").alias("dim"), F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"))
+
+
+#: Letters that the stub embedder counts.
+LETTERS = "aeinorst"
+
+
+def letter_embedder(texts):
+    """An embedder that SQL can say too: how often each of a few letters stands in a text, at unit length."""
+    counts = np.array([[t.count(c) for c in LETTERS] for t in texts], np.float64) + 1e-3
+    return counts / np.linalg.norm(counts, axis=1, keepdims=True)
+
+
+def hybrid_letters(spark, d):
+    """From texts to hits: keyword ranking and nearest vectors of a stub embedder, fused and looked up."""
+    chunks, asked = table(spark, d, "chunks"), _queries(spark, d).where("query_text is not null")
+    by_words = bm25.KeywordIndex.build(chunks).search(asked, 32)
+    rows = vectors.embed(bm25.one_text(chunks), "text", letter_embedder)
+    by_vector = vectors.nearest(vectors.embed(asked, "query_text", letter_embedder), rows, 32)
+    found = fusion.hydrate(fusion.fuse_ranks(by_words, by_vector, top_n=8), chunks)
+    return found.withColumn("score", F.round("score", 9)).withColumn("text", T.snippet(F.col("text"), 320))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        query_terms, embedded, hybrid_letters, trees.scan_tree, trees.project_size, trees.index_builds, trees.index_contents,
         p7_found, content_hash, duplicate_content, path_filter, language_detect, loc_count, tier_recommendation, line_chunks, incremental_diff, index_stats,
         purge_chunks, upsert_files, keyword_tokens, vocabulary, corpus_stats, bm25_topk, fuzzy_expand, fuzzy_search, l2_normalize, vector_topk, rrf_merge,
         hybrid_search, hybrid_text_search, snippet, hit_labels, context_budget, sources_line, chat_memory, prompt_messages,
@@ -242,6 +275,25 @@ def _context(name, most):
 
 CONTEXT = f"{RRF}, one AS ({ONE_CHUNK}), {_context('cx', 8)}, {_context('cx20', 20)}"
 
+#: Chunks of src (id, text): greedy packing of lines over prefix sums.
+CHUNKED = r"""
+    lines AS (SELECT id, text, regexp_extract_all(text, '[^\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]*(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}])|[^\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]+\z') AS ls FROM src WHERE length(text) > 0),
+    sums AS (SELECT *, list_transform(range(0, len(ls) + 1), lambda k: coalesce(list_sum(list_transform(ls[:k], lambda x: length(x))), 0)::BIGINT) AS ps FROM lines),
+    walk AS (
+        SELECT id, 0::BIGINT AS i, greatest(1, len(list_filter(ps, lambda p: p <= 800)) - 1)::BIGINT AS j FROM sums
+        UNION ALL
+        SELECT id, i2, greatest(i2 + 1, len(list_filter(ps, lambda p: p <= ps[i2 + 1] + 800)) - 1)::BIGINT FROM (
+            SELECT w.id, s.ps, greatest(w.i + 1, len(list_filter(s.ps, lambda p: p <= s.ps[w.j + 1] - 120)) - 1)::BIGINT AS i2 FROM walk w JOIN sums s ON s.id = w.id WHERE w.j < len(s.ls))),
+    parts AS (SELECT w.id, i, j, sha1(s.text) AS h, trim(list_aggregate(s.ls[i + 1 : j], 'string_agg', ''), chr(10)) AS body FROM walk w JOIN sums s ON s.id = w.id),
+    cut AS (SELECT id, h, h || ':' || (row_number() OVER (PARTITION BY id ORDER BY i) - 1) AS chunk_id, (i + 1)::INT AS start_line, j::INT AS end_line, length(body)::INT AS n_chars FROM parts WHERE regexp_matches(body, '\S'))"""
+#: The documents as files of a tree, and as they are at the second build.
+TREE = """
+    tree AS (SELECT doc_id, text, CASE doc_id % 5 WHEN 0 THEN '_d/' || doc_id || '.md' WHEN 1 THEN '_d/' || doc_id || '.py' WHEN 2 THEN '_d/' || doc_id || '.txt' WHEN 3 THEN '_d/' || doc_id || '.YAML' ELSE 'm' || doc_id || '/Makefile' END AS rel_path,
+             CASE doc_id % 5 WHEN 0 THEN 'markdown' WHEN 1 THEN 'python' WHEN 2 THEN 'text' WHEN 3 THEN 'yaml' ELSE 'makefile' END AS language
+             FROM (SELECT doc_id, max(text) AS text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY doc_id)),
+    later AS (SELECT rel_path, language, CASE WHEN doc_id % 10 = 2 THEN text || chr(10) || 'last line' ELSE text END AS text FROM tree WHERE doc_id % 10 <> 1
+              UNION ALL SELECT 'new/' || doc_id || '.txt', 'text', text FROM tree WHERE doc_id % 10 = 3)"""
+
 #: Longest common subsequence of a and w, a row of the table at a time.
 LCS = "list_reduce(string_split(w, ''), lambda r, c: list_transform(range(1, length(a) + 2), lambda j: greatest(r[j], coalesce(list_max(list_transform(list_filter(range(2, j + 1), lambda i: a[i - 1] = c), lambda i: r[i - 1] + 1)), 0))), list_transform(range(0, length(a) + 1), lambda x: 0::BIGINT))[-1]"
 EXPANSION = f"""
@@ -260,6 +312,38 @@ EXPANSION = f"""
     ex AS (SELECT query_id, pos, term, candidate, similarity, rank FROM unk JOIN best USING (term) WHERE rank <= 3)"""
 
 ORACLE = {
+    "query_terms": "SELECT query_id, unnest(range(0, len(ts)))::INT AS pos, unnest(ts) AS term FROM (SELECT query_id, list_transform(regexp_extract_all(max(query_text), '[A-Za-z_][A-Za-z0-9_]{1,}'), lambda t: lower(t)) AS ts FROM queries WHERE query_id IS NOT NULL GROUP BY query_id)",
+    "embedded": f"WITH texts AS ({TEXTS}) SELECT chunk_id, 384 AS dim, CASE WHEN regexp_matches(text, '[\\p{{L}}\\p{{N}}_]') THEN 1e0 ELSE 0e0 END AS norm FROM texts",
+    "hybrid_letters": f"""
+        WITH texts AS ({TEXTS}), p AS ({POSTINGS}), l AS ({LENGTHS}), v AS (SELECT token, count(*) AS df FROM p GROUP BY token), c AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS a FROM l),
+        aq AS (SELECT query_id, max(query_text) AS text FROM queries WHERE query_id IS NOT NULL GROUP BY query_id HAVING max(query_text) IS NOT NULL),
+        q AS (SELECT query_id, token, count(*) AS qtf FROM (SELECT query_id, unnest({TOKENS}) AS token FROM aq) GROUP BY ALL),
+        s AS (SELECT query_id, chunk_id, sum(qtf * ln(1e0 + (n - df + 5e-1) / (df + 5e-1)) * tf / (15e-1 * (25e-2 + 75e-2 * dl / a) + tf)) AS score FROM q JOIN v USING (token) JOIN p USING (token) JOIN l USING (chunk_id), c GROUP BY ALL),
+        wr AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s),
+        raw AS (SELECT 'c' AS kind, chunk_id AS id, text FROM texts UNION ALL SELECT 'q', query_id::VARCHAR, text FROM aq),
+        lc AS (SELECT kind, id, list_transform(string_split('{LETTERS}', ''), lambda k: length(CASE WHEN text = '' THEN ' ' ELSE text END) - length(replace(CASE WHEN text = '' THEN ' ' ELSE text END, k, '')) + 1e-3) AS e FROM raw),
+        un AS (SELECT kind, id, list_transform(e, lambda x: (x / sqrt(list_sum(list_transform(e, lambda y: y * y))))::FLOAT::DOUBLE) AS e FROM lc),
+        di AS (SELECT a.id::BIGINT AS query_id, b.id AS chunk_id, round(list_distance(a.e, b.e), 6) AS d FROM un a, un b WHERE a.kind = 'q' AND b.kind = 'c'),
+        vr AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS rank FROM di),
+        rk AS (SELECT query_id, chunk_id, min(CASE WHEN w = 0 THEN rank END) AS bm25_rank, min(CASE WHEN w = 1 THEN rank END) AS vector_rank FROM (SELECT *, 0 AS w FROM wr WHERE rank <= 32 UNION ALL SELECT *, 1 FROM vr WHERE rank <= 32) GROUP BY ALL),
+        sc AS (SELECT *, coalesce(1e0 / (60e0 + bm25_rank), 0) + coalesce(1e0 / (60e0 + vector_rank), 0) AS score FROM rk),
+        po AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bm25_rank NULLS LAST, vector_rank NULLS LAST, chunk_id) AS position FROM sc), one AS ({ONE_CHUNK})
+        SELECT query_id, position, chunk_id, rel_path, language, start_line, end_line, round(score, 9) AS score, bm25_rank, vector_rank,
+          CASE WHEN length(regexp_replace(text, '{END}', '')) <= 320 THEN regexp_replace(text, '{END}', '') ELSE regexp_replace(left(regexp_replace(text, '{END}', ''), 320), '{END}', '') || chr(10) || '...' END AS text
+        FROM po JOIN one USING (chunk_id) WHERE position <= 8""",
+    "scan_tree": f"WITH {TREE} SELECT rel_path, octet_length(encode(text))::BIGINT AS size, sha1(text) AS file_hash, language, sha1(text) AS text_hash FROM tree",
+    "project_size": f"""WITH {TREE}, s AS (SELECT count(*) AS file_count, sum({LOC})::BIGINT AS total_loc FROM tree)
+        SELECT *, CASE WHEN file_count <= 200 AND total_loc <= 50000 THEN 'tiny' WHEN file_count <= 1500 AND total_loc <= 500000 THEN 'small' ELSE 'deep' END AS tier FROM s""",
+    "index_builds": f"""
+        WITH RECURSIVE {TREE}, src AS (SELECT '1' || rel_path AS id, text FROM tree UNION ALL SELECT '2' || rel_path, text FROM later), {CHUNKED},
+        n AS (SELECT left(id, 1) AS b, substring(id, 2) AS rel_path, count(*) AS k FROM cut GROUP BY ALL),
+        f AS (SELECT a.rel_path AS old, z.rel_path AS now, a.text = z.text AS same FROM tree a FULL JOIN later z ON a.rel_path = z.rel_path)
+        SELECT 1::BIGINT AS build, (SELECT count(*) FROM tree) AS scanned_files, (SELECT count(*) FROM tree) AS new_files, 0::BIGINT AS changed_files, 0::BIGINT AS unchanged_files, 0::BIGINT AS removed_files,
+          (SELECT sum(k) FROM n WHERE b = '1')::BIGINT AS total_chunks, (SELECT sum(k) FROM n WHERE b = '1')::BIGINT AS embedded_chunks
+        UNION ALL SELECT 2, (SELECT count(*) FROM tree), 0, 0, (SELECT count(*) FROM tree), 0, (SELECT sum(k) FROM n WHERE b = '1'), 0
+        UNION ALL SELECT 3, count(now), count(*) FILTER (old IS NULL), count(*) FILTER (NOT same), count(*) FILTER (same), count(*) FILTER (now IS NULL),
+          (SELECT sum(k) FROM n WHERE b = '2'), coalesce((SELECT sum(k) FROM n JOIN f g ON g.now = n.rel_path WHERE b = '2' AND (g.old IS NULL OR NOT g.same)), 0) FROM f""",
+    "index_contents": f"WITH RECURSIVE {TREE}, src AS (SELECT rel_path AS id, text FROM later), {CHUNKED} SELECT chunk_id, id AS rel_path, language, start_line, end_line, n_chars, 8 AS dim FROM cut JOIN later ON later.rel_path = cut.id",
     "fuzzy_expand": f"WITH {EXPANSION} SELECT query_id, pos, term, candidate, round(similarity, 6) AS similarity, rank FROM ex",
     "fuzzy_search": f"""
         WITH {EXPANSION}, p AS ({POSTINGS}), l AS ({LENGTHS}), v AS (SELECT token, count(*) AS df FROM p GROUP BY token), c AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS a FROM l),
@@ -287,17 +371,7 @@ ORACLE = {
     "loc_count": f"SELECT source, count(*) AS file_count, sum({LOC})::BIGINT AS total_loc FROM documents GROUP BY source",
     "tier_recommendation": f"""SELECT *, CASE WHEN file_count <= 200 AND total_loc <= 50000 THEN 'tiny' WHEN file_count <= 1500 AND total_loc <= 500000 THEN 'small' ELSE 'deep' END AS tier
         FROM (SELECT source, count(*) AS file_count, sum({LOC})::BIGINT AS total_loc FROM documents GROUP BY source)""",
-    "line_chunks": r"""
-        WITH RECURSIVE lines AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]*(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}])|[^\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]+\z') AS ls FROM documents WHERE length(text) > 0),
-        sums AS (SELECT *, list_transform(range(0, len(ls) + 1), lambda k: coalesce(list_sum(list_transform(ls[:k], lambda x: length(x))), 0)::BIGINT) AS ps FROM lines),
-        walk AS (
-            SELECT doc_id, 0::BIGINT AS i, greatest(1, len(list_filter(ps, lambda p: p <= 800)) - 1)::BIGINT AS j FROM sums
-            UNION ALL
-            SELECT doc_id, i2, greatest(i2 + 1, len(list_filter(ps, lambda p: p <= ps[i2 + 1] + 800)) - 1)::BIGINT FROM (
-                SELECT w.doc_id, s.ps, greatest(w.i + 1, len(list_filter(s.ps, lambda p: p <= s.ps[w.j + 1] - 120)) - 1)::BIGINT AS i2 FROM walk w JOIN sums s ON s.doc_id = w.doc_id WHERE w.j < len(s.ls))),
-        cut AS (SELECT w.doc_id, i, j, sha1(s.text) AS h, trim(list_aggregate(s.ls[i + 1 : j], 'string_agg', ''), chr(10)) AS body FROM walk w JOIN sums s ON s.doc_id = w.doc_id)
-        SELECT doc_id, h || ':' || (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1) AS chunk_id, (i + 1)::INT AS start_line, j::INT AS end_line, length(body)::INT AS n_chars
-        FROM cut WHERE regexp_matches(body, '\S')""",
+    "line_chunks": f"WITH RECURSIVE src AS (SELECT doc_id AS id, text FROM documents), {CHUNKED} SELECT id AS doc_id, chunk_id, start_line, end_line, n_chars FROM cut",
     "incremental_diff": f"WITH {LISTING} SELECT * FROM changes",
     "index_stats": f"""WITH {LISTING} SELECT count(*) FILTER (change <> 'removed') AS scanned_files, count(*) FILTER (change = 'new') AS new_files, count(*) FILTER (change = 'changed') AS changed_files,
         count(*) FILTER (change = 'unchanged') AS unchanged_files, count(*) FILTER (change = 'removed') AS removed_files, (SELECT count(DISTINCT chunk_id) FROM chunks) AS total_chunks,
