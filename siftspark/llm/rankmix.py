@@ -15,8 +15,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from siftspark.llm.common import running
 from siftspark.session import cut_lineage
 
 #: Scales a median absolute deviation to a standard deviation of normal data.
@@ -24,23 +24,6 @@ MAD_SCALE = 1.4826
 DEFAULT = {"bm25": ("bm25_rank", -1.0), "vector": ("vector_rank", -1.0), "score": ("score", 1.0)}
 
 
-def running(df: DataFrame, group: list[str], order: list, weight: str | None = None) -> DataFrame:
-    """Adds ``_before``: the summed weight (default: number) of the rows of the group before this one in ``order``.
-
-    The rows are sorted in ranges over group and order together. A row's sum is that of the rows of its group
-    before it in its range, plus those of the ranges before.
-    """
-    w = F.col(weight) if weight else F.lit(1)
-    keys = [F.col(c) for c in group]
-    placed = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id())
-    placed = cut_lineage(placed).withColumn("_range", F.shiftright("_at", 33))
-    own = F.sum(w).over(W.partitionBy(*group, "_range").orderBy("_at").rowsBetween(W.unboundedPreceding, -1))
-    parts = placed.groupBy(*group, "_range").agg(F.sum(w).alias("_n"))
-    earlier = F.sum("_n").over(W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))  # a row per range
-    parts = parts.select(*group, "_range", F.coalesce(earlier, F.lit(0)).alias("_earlier"))
-    return placed.withColumn("_own", F.coalesce(own, F.lit(0))).join(parts, [*group, "_range"]).withColumn("_before", F.col("_own") + F.col("_earlier")).drop("_at", "_range", "_own", "_earlier")
-
-
 def _middle(counted: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
     """``group, name``: the median, from rows with ``_before`` and ``n`` (mean of the two middle values of an even number)."""
     total = counted.groupBy(*group).agg(F.sum("n").alias("_total"))
@@ -69,14 +52,14 @@ def fuse_scores(
     suffix ``_given``. An empty table gives an empty result.
     """
     signals = signals or DEFAULT
-    made = {"fused", "position", *(f"{p}_{s}" for p in ("z", "u", "place", "_v", "_m", "_d") for s in signals), "_id", "_before"}
+    made = {"fused", "position", *(f"{p}_{s}" for p in ("z", "u", "place", "_v", "_m", "_d") for s in signals), "_id", "_hash", "_f", "_before"}
     used = {query_col, item_col, *(c for c, _ in signals.values())}
     df = df.withColumnsRenamed({c: f"{c}_given" for c in df.columns if c in made and c not in used})
     base = df.where(F.col(query_col).isNotNull()).distinct()
     for s, (c, w) in signals.items():
         v = F.col(c).cast("double") * (1.0 if w > 0 else -1.0)
         base = base.withColumn(f"_v_{s}", F.when(F.isnan(v), None).otherwise(v))
-    base = cut_lineage(base.withColumn("_id", F.monotonically_increasing_id()))
+    base = cut_lineage(base.withColumns({"_id": F.monotonically_increasing_id(), "_hash": F.xxhash64(*df.columns)}))
 
     # Signals one below the other, without the other columns.
     long = base.select(F.col(query_col).alias("q"), "_id", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.col(f"_v_{s}").alias("v")) for s in signals])).alias("x")).select("q", "_id", "x.s", "x.v").where("v is not null")
@@ -88,7 +71,7 @@ def fuse_scores(
     facts = middle.join(spread, ["q", "s"]).groupBy("q").agg(*[of("m", s).alias(f"_m_{s}") for s in signals], *[of("d", s).alias(f"_d_{s}") for s in signals])
     places = long.join(counted.select("q", "s", "v", "_before"), ["q", "s", "v"]).groupBy("_id").agg(*[(of("_before", s) + 1).alias(f"place_{s}") for s in signals])
 
-    rows = base.join(facts.withColumnRenamed("q", query_col), query_col, "left")
+    rows = base.select("_id", "_hash", F.col(query_col).alias("q"), F.col(item_col).alias("item"), *[f"_v_{s}" for s in signals]).join(facts, "q", "left")
     total = sum(abs(w) for _, w in signals.values())
     parts = []
     for s, (_, w) in signals.items():
@@ -97,10 +80,11 @@ def fuse_scores(
         u = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col(f"z_{s}")))))
         rows = rows.withColumn(f"u_{s}", F.coalesce(u, F.lit(missing)))
         parts.append(F.lit(abs(w) / total) * F.log(F.col(f"u_{s}")))
-    rows = cut_lineage(rows.withColumn("fused", F.exp(reduce(lambda a, b: a + b, parts))).drop(*[f"_{p}_{s}" for p in "mdv" for s in signals]))
-    slim = rows.select("_id", F.col(query_col).alias("q"), F.round("fused", 12).alias("f"), F.col(item_col).alias("item"), F.xxhash64(*df.columns).alias("h"))
-    order = running(slim, ["q"], [F.desc("f"), F.asc_nulls_last("item"), F.col("h")]).select("_id", (F.col("_before") + 1).alias("position"))
-    return rows.join(places, "_id", "left").join(order, "_id").drop("_id")
+    rows = rows.withColumn("fused", F.exp(reduce(lambda a, b: a + b, parts))).drop(*[f"_{p}_{s}" for p in "mdv" for s in signals])
+    # the other columns are joined last, once
+    ordered = running(rows.withColumn("_f", F.round("fused", 12)), ["q"], [F.desc("_f"), F.asc_nulls_last("item"), F.col("_hash")]).withColumn("position", F.col("_before") + 1)
+    found = ordered.drop("q", "item", "_f", "_hash", "_before").join(places, "_id", "left")
+    return base.drop("_hash", *[f"_v_{s}" for s in signals]).join(found, "_id").drop("_id")
 
 
 def best_of_all(df: DataFrame, best: int = 5, query_col: str = "query_id", item_col: str = "chunk_id", signals: dict[str, tuple[str, float]] | None = None) -> DataFrame:
@@ -112,7 +96,7 @@ def best_of_all(df: DataFrame, best: int = 5, query_col: str = "query_id", item_
     and the places are checked for the rest. A row with a missing signal is never among them.
     """
     signals = signals or DEFAULT
-    ranked = cut_lineage(fuse_scores(df, query_col, item_col, signals))
+    ranked = fuse_scores(df, query_col, item_col, signals)
     among = {s: F.coalesce(F.col(c if w < 0 else f"place_{s}") <= best, F.lit(False)) & F.col(c).isNotNull() for s, (c, w) in signals.items()}
     total = sum(abs(w) for _, w in signals.values())
     worst = reduce(lambda a, b: a + b, [F.lit(abs(w) / total) * F.log(F.min(F.when(among[s], F.col(f"u_{s}")))) for s, (_, w) in signals.items()])
