@@ -12,35 +12,43 @@ import base64
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from siftspark.llm import common as C
 from siftspark.session import cut_lineage
 
+#: Where a vocabulary of a public tokenizer is expected unless another path is given; only the driver reads it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public pre-tokenisation pattern of byte-level BPE vocabularies (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
-_ENCODERS: dict[str, object] = {}
+_ENCODERS: dict[int, object] = {}
 
 
-def _encoder(path: str):
-    if path not in _ENCODERS:
+def _encoder(raw: bytes):
+    """The tokenizer of a vocabulary file's bytes, built once per worker."""
+    key = hash(raw)
+    if key not in _ENCODERS:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[path]
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines())}
+        _ENCODERS[key] = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODERS[key]
 
 
 def with_tokens(df: DataFrame, id_col: str, text_col: str, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
-    """``<id>, *keep, tokens``: the number of tokens of each text (null: 0), texts left out."""
+    """``<id>, *keep, tokens``: the number of tokens of each text (null: 0), texts left out.
+
+    ``vocabulary`` is read on the driver and broadcast (under 1 MB).
+    """
     kept = [F.col(c) for c in keep]
     base = df.select(F.col(id_col), *kept, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     out = base.drop("_text").schema.add("tokens", "long")
+    with open(vocabulary, "rb") as f:
+        shared = df.sparkSession.sparkContext.broadcast(f.read())
 
     def count(it):
-        encode = _encoder(vocabulary)
+        encode = _encoder(shared.value)
         for batch in it:
             n = [len(encode.encode_ordinary(t)) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [id_col, *keep]), pa.array(n, pa.int64())], [id_col, *keep, "tokens"])
@@ -53,9 +61,9 @@ def mixture_rates(tokens: DataFrame, targets: DataFrame, total_tokens: int | Non
 
     ``tokens`` has ``source, tokens`` (sources already in one spelling). Shares are taken
     over the sources that have tokens. Without ``total_tokens`` the mixture is the
-    largest one in which each of them reaches its share within ``max_repeats``; a
-    larger total given by the caller meets caps, and the shares of capped sources
-    fall short by what the caps take.
+    largest one in which each of them reaches its share within ``max_repeats``. With a
+    larger total, sources at their cap give all they may, and the others make up for
+    them in proportion to their shares, up to their own caps.
     """
     have = tokens.groupBy("source").agg(F.sum("tokens").alias("available_tokens"))
     wanted = targets.select(C.normalise_key("source").alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("double").alias("max_repeats")).where(
@@ -63,14 +71,21 @@ def mixture_rates(tokens: DataFrame, targets: DataFrame, total_tokens: int | Non
     ).groupBy("source").agg(F.sum("target_share").alias("target_share"), F.coalesce(F.max("max_repeats"), F.lit(1.0)).alias("max_repeats"))
     rows = wanted.join(have, "source", "left").withColumn("available_tokens", F.coalesce("available_tokens", F.lit(0)))
     live = F.col("available_tokens") > 0
-    sums = rows.agg(
-        F.sum(F.when(live, F.col("target_share"))).alias("_live"),
-        F.min(F.when(live & (F.col("max_repeats") > 0), F.col("max_repeats") * F.col("available_tokens") / F.col("target_share"))).alias("_room"),
-    )
-    total = F.col("_room") * F.col("_live") if total_tokens is None else F.lit(float(total_tokens))
-    rate = F.least(F.col("max_repeats"), F.col("target_share") / F.col("_live") * total / F.col("available_tokens"))
-    return rows.crossJoin(F.broadcast(sums)).select(  # one row
-        "source", "target_share", "max_repeats", "available_tokens", F.when(live, rate).otherwise(0.0).alias("rate")
+    room = F.col("max_repeats") * F.col("available_tokens")
+    full = F.when(live, room / F.col("target_share"))  # level at which a source is at its cap
+    by_level = Window.orderBy(F.asc_nulls_last("_full"), "source")  # a row per target source
+    rows = rows.withColumns({"_full": full, "_room": F.when(live, room), "_share": F.when(live, F.col("target_share"))})
+    taken = F.coalesce(F.sum("_room").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum("_share").over(by_level.rowsBetween(0, Window.unboundedFollowing))
+    if total_tokens is None:
+        level = rows.agg(F.min(F.when(F.col("max_repeats") > 0, F.col("_full"))).alias("_level"))
+    else:
+        # the level at which all sources together give the total: with those before a source at their caps, if it is not
+        at = rows.withColumn("_at", (F.lit(float(total_tokens)) - taken) / rest)
+        level = at.agg(F.min(F.when(F.col("_at") <= F.col("_full"), F.struct("_full", "_at"))).alias("_x"), F.max("_full").alias("_most")).select(F.coalesce("_x._at", "_most").alias("_level"))
+    rate = F.least(F.col("max_repeats"), F.col("target_share") * F.col("_level") / F.col("available_tokens"))
+    return rows.crossJoin(F.broadcast(level)).select(  # one row
+        "source", "target_share", "max_repeats", "available_tokens", F.when(live, F.coalesce(rate, F.lit(0.0))).otherwise(0.0).alias("rate")
     )
 
 

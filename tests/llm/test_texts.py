@@ -198,6 +198,17 @@ def test_mixture_reaches_its_shares(spark):
     assert empty.count() == 0 and none.count() == 3
 
 
+def test_sources_below_their_caps_make_up_for_the_others(spark):
+    tokens = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 1000), ("a", 0)], "source string, tokens long")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.25, 3), ("c", 0.25, 1), ("gone", 0.5, 9)], "source string, target_share double, max_repeats int")
+    given = lambda n: {x.source: x.rate * x.available_tokens for x in mixture.mixture_rates(tokens, targets, n).collect()}
+    assert given(None) == {"a": 200, "b": 100, "c": 100, "gone": 0}
+    assert given(1200) == pytest.approx({"a": 200, "b": 500, "c": 500, "gone": 0})
+    assert given(3200) == pytest.approx({"a": 200, "b": 2000, "c": 1000, "gone": 0})
+    assert given(100) == pytest.approx({"a": 50, "b": 25, "c": 25, "gone": 0})
+    assert given(10**6) == pytest.approx({"a": 200, "b": 3000, "c": 1000, "gone": 0})
+
+
 NAMES = {"given": ["Anna", "Bruno", "Clara", "David", "Elena", "Felix", "Greta", "Hugo"], "family": ["Vossler", "Marenko", "Lindqvist", "Tavares", "Okonski", "Breland", "Duval", "Santori"]}
 
 
