@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
-from itertools import takewhile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,24 +63,31 @@ class Manifest:
         self.log = CommitLog(self.folder)
 
     def batches(self) -> list[int]:
-        return list(self.log.entries())
+        return self.log.numbers()
 
     def _schema(self) -> T.StructType:
         return T.StructType().add(self.path, "string").add(self.checksum, "string").add(self.size, "long")
 
     def current(self) -> DataFrame | None:
         """``path, checksum, size`` of the files that are processed, or None before the first batch."""
-        done = self.log.entries()
-        if not done:
+        used = self._used()
+        if not used:
             return None
-        base = max((n for n, said in done.items() if said["whole"]), default=None)
-        used = [n for n in done if base is None or n >= base]
-        read = self.spark.read.schema(self._schema().add("batch", "long")).parquet(f"{self.root}/files").where(F.col("batch").isin(used))
+        read = self.spark.read.schema(self._schema().add("batch", "long")).option("basePath", f"{self.root}/files").parquet(*[f"{self.root}/files/batch={n}" for n in used])
         if len(used) == 1:
             return read.drop("batch")
         last = F.max_by(F.struct(self.checksum, self.size), F.struct("batch", self.checksum))
         return read.groupBy(self.path).agg(last.alias("_l")).select(self.path, "_l.*")
 
+    def _used(self) -> list[int]:
+        """The batches whose files make up the manifest: the last whole one and the parts after it."""
+        used: list[int] = []
+        for n in reversed(self.log.numbers()):
+            used.append(n)
+            if self.log.read(n)["whole"]:
+                break
+        return used
+
     def _seen(self, listing: DataFrame) -> DataFrame:
         return listing.where(F.col(self.checksum).isNotNull() & F.col(self.path).isNotNull())
 
@@ -98,14 +104,13 @@ class Manifest:
 
     def commit(self, batch: int, listing: DataFrame, output: DataFrame | None = None, whole: bool = True) -> None:
         """Write a batch's output and what it settled, then its commit file (the commit point)."""
-        done = self.log.entries()
-        if batch in done:
+        if batch in self.log.numbers():
             return  # this batch has been taken up: running it again changes nothing
         if output is not None:
             output.write.mode("overwrite").parquet(f"{self.root}/data/batch={batch}")
         size = F.col(self.size).cast("long") if self.size in listing.columns else F.lit(None).cast("long")
         settled = self._seen(listing).select(F.col(self.path).cast("string"), F.col(self.checksum).cast("string"), size.alias(self.size)).groupBy(self.path, self.checksum).agg(F.max(self.size).alias(self.size))
-        if not whole and done and sum(1 for _ in takewhile(lambda said: not said["whole"], reversed(done.values()))) + 1 >= self.COMPACT:
+        if not whole and len(self._used()) >= self.COMPACT:
             settled, whole = settled.unionByName(self.current().join(settled.select(self.path), self.path, "left_anti")), True
         settled.write.mode("overwrite").parquet(f"{self.root}/files/batch={batch}")
         self.log.add(batch, {"whole": whole, "output": None if output is None else json.loads(output.schema.json())})
@@ -117,7 +122,8 @@ class Manifest:
 
     def output(self) -> DataFrame | None:
         """Output of all committed batches with ``batch``, in one read; columns that a batch lacks are null."""
-        made = {n: T.StructType.fromJson(said["output"]) for n, said in self.log.entries().items() if said["output"]}
+        said = {n: self.log.read(n)["output"] for n in self.log.numbers()}
+        made = {n: T.StructType.fromJson(x) for n, x in said.items() if x}
         if not made:
             return None
         columns = {f.name: f.dataType for schema in made.values() for f in schema}

@@ -38,8 +38,8 @@ class Engine:
     # ------------------------------------------------------------ state
     def state(self) -> dict:
         """What the last commit says, with its ``generation``; empty without one."""
-        said = self.log.entries()
-        return {**said[max(said)], "generation": max(said)} if said else {}
+        done = self.log.numbers()
+        return {**self.log.read(done[-1]), "generation": done[-1]} if done else {}
 
     def exists(self) -> bool:
         return bool(self.state())
@@ -111,7 +111,7 @@ class Engine:
         for name in self.folder.names():
             if name.startswith("gen=") and name != f"gen={generation}":
                 self.folder.remove(name)
-        for n in self.log.entries():
+        for n in self.log.numbers():
             if n < generation:
                 self.folder.remove(f"commits/{n}.json")
         return counters

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -38,33 +39,28 @@ class Folder:
             stream.close()
 
     def create(self, name: str, text: str) -> None:
-        """A new file; an error if there is one of that name."""
-        out = self._fs.create(self._at(name), False)
+        """A file that is there whole or not at all: written under another name, then renamed. An error if there is one."""
+        draft = f"{name}.{uuid.uuid4().hex}.tmp"
+        out = self._fs.create(self._at(draft), False)
         out.write(bytearray(text, "utf-8"))
         out.close()
+        if self.exists(name) or not self._fs.rename(self._at(draft), self._at(name)):
+            self.remove(draft)
+            raise FileExistsError(self.path(name))
 
 
 class CommitLog:
-    """``commits/N.json``: number N counts from the moment its file is there, whole.
-
-    A file that a dying writer left empty or cut off does not count and is written anew.
-    """
+    """``commits/N.json``: number N counts from the moment its file is there."""
 
     def __init__(self, folder: Folder) -> None:
         self.folder = folder
 
-    def entries(self) -> dict[int, dict]:
-        found = {}
-        for name in self.folder.names("commits"):
-            if name.endswith(".json") and name[:-5].isdigit():
-                try:
-                    found[int(name[:-5])] = json.loads(self.folder.read(f"commits/{name}"))
-                except ValueError:
-                    continue
-        return dict(sorted(found.items()))
+    def numbers(self) -> list[int]:
+        """Committed numbers in order, from the listing alone."""
+        return sorted(int(n[:-5]) for n in self.folder.names("commits") if n.endswith(".json") and n[:-5].isdigit())
+
+    def read(self, number: int) -> dict:
+        return json.loads(self.folder.read(f"commits/{number}.json"))
 
     def add(self, number: int, said: dict) -> None:
-        name = f"commits/{number}.json"
-        if self.folder.exists(name):
-            self.folder.remove(name)  # cut off: a whole one is never written again
-        self.folder.create(name, json.dumps(said))
+        self.folder.create(f"commits/{number}.json", json.dumps(said))
