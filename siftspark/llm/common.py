@@ -163,7 +163,7 @@ def counting_sketch(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]],
     schema = "slice int, counts binary"
     summed = df.mapInArrow(fill, schema).groupBy("slice").applyInArrow(add, schema)
     out = np.zeros(size, np.uint32)
-    for row in summed.toLocalIterator():
+    for row in summed.collect():  # SLICES rows, together 2**bits counters, packed
         out[row["slice"] * width : (row["slice"] + 1) * width] = _unpack(row["counts"])
     return out
 
