@@ -104,7 +104,7 @@ def texts_to_split():
         yield "".join(r.choice("abc .\n#-\t;é") for _ in range(r.randrange(801, 4000)))
 
 
-@pytest.mark.parametrize("text", texts_to_split())
+@pytest.mark.parametrize("text", list(texts_to_split()))
 def test_pieces_tile_the_text(text):
     for language in (None, "python", "html"):
         check_tiling(text, splitting.split_text(text, 800, 120, language))
