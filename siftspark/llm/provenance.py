@@ -66,7 +66,10 @@ PART_LINES = 16_384
 SHINGLE, BINS, ROWS = 5, 64, 4
 SIMILAR, CONTAINED = 0.8, 0.8
 #: Members of a bucket that are compared at once; larger buckets are cut into such cells. 64-bit words of a parity bitmap.
-CELL, PARITY = 1024, 8
+CELL, PARITY = 32_768, 8
+#: Nearest candidates of a file that are verified in the first round of its family, and how many times more in each further one.
+#: Candidates that a task holds at once; cells are smaller in rounds of many candidates a file.
+NEAREST, WIDER, HELD = 4, 16, 1 << 22
 
 _STRING = re.compile(rb"\"[^\"\n]*\"|'[^'\n]*'")
 #: Byte classes: a letter or underscore, 0 digit, 0 byte blank, line feed and signs themselves.
@@ -315,6 +318,7 @@ def _facts(chunks: DataFrame) -> DataFrame:
 
 def _compare(pairs: DataFrame, sets: DataFrame, column: str, contained: bool, least: float, others: DataFrame | None = None) -> DataFrame:
     """Pairs ``a, b`` whose sets are similar enough (or a contained in b, one of ``others``), verified exactly."""
+    kind = dict(pairs.dtypes)["a"]
     left = sets.select(F.col("rel_path").alias("a"), F.col(column).alias("set_a"))
     right = (others or sets).select(F.col("rel_path").alias("b"), F.col(column).alias("set_b"))
 
@@ -327,7 +331,7 @@ def _compare(pairs: DataFrame, sets: DataFrame, column: str, contained: bool, le
                 ok.append(n >= least * (len(x) if contained else len(x) + len(y) - n) and n > 0)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(verify, "a string, b string, ok boolean").where("ok").select("a", "b")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(verify, f"a {kind}, b {kind}, ok boolean").where("ok").select("a", "b")
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -336,70 +340,82 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(at, minlength=64 * PARITY).astype(np.uint8) & 1).view(np.uint64)
 
 
-def _may_be_similar(n: np.ndarray, bits: np.ndarray, split: int):
-    """Index arrays of the pairs that sizes and bitmaps allow: all pairs if ``split`` is 0, else those across it. Sizes ascend on either side."""
+def _may_be_similar(n: np.ndarray, bits: np.ndarray, split: int, label: np.ndarray):
+    """(i, j, distance) of the pairs of unlike labels that sizes and bitmaps allow: of all pairs if ``split`` is 0, else of those across it. Sizes ascend on either side."""
     right = np.arange(split, len(n))
     for at in range(0, split or len(n), 64):
         left = np.arange(at, min(at + 64, split or len(n)))
         cols = right[np.searchsorted(n[right], SIMILAR * n[left[0]] - 1e-6) : np.searchsorted(n[right], n[left[-1]] / SIMILAR + 1e-6, side="right")]
         if not split:
             cols = cols[cols > at]
+        most = ((1 - SIMILAR) * (n[left][:, None] + n[cols][None, :]) + 1e-6) / (1 + SIMILAR)
         apart = np.zeros((len(left), len(cols)), np.uint16)
-        for w in range(PARITY):
+        for w in range(PARITY // 2):
             apart += np.bitwise_count(bits[left, w][:, None] ^ bits[cols, w][None, :])
-        x, y = n[left][:, None], n[cols][None, :]
-        ok = ((1 + SIMILAR) * apart <= (1 - SIMILAR) * (x + y) + 1e-6) & (np.minimum(x, y) >= SIMILAR * np.maximum(x, y) - 1e-6)
+        i, j = np.nonzero(apart <= most)  # the other half of the bitmap only for these
+        most, apart, i, j = most[i, j], apart[i, j], left[i], cols[j]
+        for w in range(PARITY // 2, PARITY):
+            apart += np.bitwise_count(bits[i, w] ^ bits[j, w])
+        x, y = n[i], n[j]
+        ok = (apart <= most) & (np.minimum(x, y) >= SIMILAR * np.maximum(x, y) - 1e-6) & (label[i] != label[j])
         if not split:
-            ok &= left[:, None] < cols[None, :]
-        i, j = np.nonzero(ok)
-        yield left[i], cols[j]
+            ok &= i < j
+        yield i[ok], j[ok], (apart[ok].astype(np.int64) << 16) // (x[ok] + y[ok])
 
 
-def _bucket_pairs(sets: DataFrame) -> DataFrame:
-    """Distinct pairs ``a, b`` of one bucket at least that may be similar; none that is gets lost.
+def _nearest(files: DataFrame, most: int) -> DataFrame:
+    """``id, others, more``: the up to ``most`` nearest files of another label that may be similar and share a bucket, and whether there are more.
 
     Buckets of more than CELL members are sorted by size and cut, and pairs of cells
     whose sizes allow a similar pair are compared each on its own.
     """
-
-    def describe(it):
-        for batch in it:
-            n, bits, bands = [], [], []
-            for s in batch.column("masked").to_pylist():
-                s = np.frombuffer(s, np.uint32)
-                n.append(len(s))
-                bits.append(parity(s).tobytes())
-                bands.append(band_keys(s, 1) if len(s) >= 8 else [])
-            yield pa.RecordBatch.from_arrays([batch.column("rel_path"), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["rel_path", "n", "bits", "bands"])
-
-    rows = sets.select("rel_path", "masked").mapInArrow(describe, "rel_path string, n int, bits binary, bands array<long>").select("rel_path", "n", "bits", F.explode("bands").alias("band"))
-    rows = cut_lineage(rows)
-    sizes = cut_lineage(rows.groupBy("band").agg(F.count("*").alias("k")).where("k > 1"))
-    columns = ["band", "i", "j", "cell", "n", "rel_path", "bits"]
-    shared = rows.join(sizes.where(F.col("k") <= CELL).select("band"), "band", "left_semi").select("band", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("cell"), "n", "rel_path", "bits")
-    hot = sizes.where(F.col("k") > CELL).select("band")
+    cell = min(CELL, max(64, HELD // most))
+    rows = files.select("id", "n", "bits", "label", F.explode("bands").alias("band"))
+    columns = ["band", "i", "j", "cell", "n", "id", "label", "bits"]
+    one = lambda df: df.select("band", *[F.lit(0).alias(c) for c in ("i", "j", "cell")], "n", "id", "label", "bits")
+    hot = cut_lineage(files.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("k")).where(F.col("k") > cell).select("band"))
     if hot.limit(1).count():
-        placed = C.running(rows.join(hot, "band", "left_semi"), ["band"], [F.col("n"), F.col("rel_path")])
-        placed = cut_lineage(placed.withColumn("cell", F.floor(F.col("_before") / CELL).cast("int")).drop("_before"))
+        placed = C.running(rows.join(hot, "band", "left_semi"), ["band"], [F.col("n"), F.col("id")])
+        placed = cut_lineage(placed.withColumn("cell", F.floor(F.col("_before") / cell).cast("int")).drop("_before"))
         cells = placed.groupBy("band", "cell").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
         first = cells.select("band", F.col("cell").alias("i"), F.col("hi").alias("most"))
         blocks = first.join(cells.select("band", F.col("cell").alias("j"), "lo"), "band").where((F.col("i") <= F.col("j")) & (F.col("lo") * SIMILAR <= F.col("most") + 1e-6))
         shares = blocks.select("band", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("cell"))
-        shared = shared.union(placed.join(shares, ["band", "cell"]).select(*columns))
-
-    def pairs(it):
+        shared = one(rows.join(hot, "band", "left_anti")).union(placed.join(shares, ["band", "cell"]).select(*columns))
+    else:
+        shared = one(rows)
+
+    def best(owner, other, d, ids):
+        """The first ``most`` and one more of each owner."""
+        order = np.lexsort((ids[other], d, owner))
+        owner, other, d = owner[order], other[order], d[order]
+        start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        keep = np.arange(len(owner)) - np.repeat(start, np.diff(np.r_[start, len(owner)])) <= most
+        return owner[keep], other[keep], d[keep]
+
+    def near(it):
         for group in _groups(it, ("band", "i", "j")):
+            label = group.column("label").to_numpy()
+            if (label == label[0]).all():
+                continue
             n, cell = group.column("n").to_numpy().astype(np.int64), group.column("cell").to_numpy()
             order = np.lexsort((n, cell))
-            n, cell = n[order], cell[order]
+            n, cell, label, ids = n[order], cell[order], label[order], group.column("id").to_numpy()[order]
             bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(-1, PARITY)[order]
-            paths = group.column("rel_path").take(pa.array(order)).to_pylist()
-            for x, y in _may_be_similar(n, bits, int(np.searchsorted(cell, cell[-1])) if cell[0] != cell[-1] else 0):
+            pend, held = [], 0
+            for x, y, d in _may_be_similar(n, bits, int(np.searchsorted(cell, cell[-1])) if cell[0] != cell[-1] else 0, label):
                 if len(x):
-                    both = [(paths[i], paths[j]) if paths[i] < paths[j] else (paths[j], paths[i]) for i, j in zip(x, y)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*both)], ["a", "b"])
+                    pend.append((np.r_[x, y], np.r_[y, x], np.r_[d, d]))
+                    held += 2 * len(x)
+                    if held > HELD:
+                        pend, held = [best(*map(np.concatenate, zip(*pend)), ids)], 0
+            if pend:
+                owner, other, d = best(*map(np.concatenate, zip(*pend)), ids)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(ids[other]), pa.array(d)], ["id", "other", "d"])
 
-    return shared.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(pairs, "a string, b string").distinct()
+    found = shared.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(near, "id long, other long, d long")
+    lists = found.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("d", "other"))).alias("near"))
+    return lists.select("id", F.transform(F.slice("near", 1, most), lambda x: x["other"]).alias("others"), (F.size("near") > most).alias("more"))
 
 
 def _groups(it, keys: tuple[str, ...]):
@@ -438,13 +454,38 @@ def _components(edges: DataFrame) -> DataFrame:
 def _families(facts: DataFrame) -> DataFrame:
     """``rel_path, family``: files tied by similar masked sets, directly or over others.
 
-    Equal sets are compared once, which also ties files of too few shingles for bands.
+    Equal sets are compared once, which also ties files of too few shingles for bands. Of the
+    pairs that share a bucket and may be similar, a first round verifies the nearest few of each
+    file; files with more are taken on, with more pairs each round, but only pairs that are
+    not tied yet. A pair that is never verified thus lies within one family: the families
+    are those of all pairs, while the pairs follow the number of files.
     """
     named = facts.where(F.length("masked") > 0).select("rel_path", F.md5("masked").alias("set"))
     same = cut_lineage(named.join(named.groupBy("set").agg(F.min("rel_path").alias("rep")), "set").select("rel_path", "rep"))
-    sets = facts.select("rel_path", "masked").join(same.where("rel_path = rep").select("rel_path"), "rel_path", "left_semi")
-    roots = _components(_compare(_bucket_pairs(sets), sets, "masked", False, SIMILAR))
-    return same.join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("rel_path", F.coalesce("root", "rep").alias("family"))
+    sets = facts.select("rel_path", "masked").where(F.length("masked") >= 32).join(same.where("rel_path = rep").select("rel_path"), "rel_path", "left_semi")
+
+    def describe(it):
+        for batch in it:
+            held = [np.frombuffer(s, np.uint32) for s in batch.column("masked").to_pylist()]
+            made = [pa.array([len(s) for s in held], pa.int32()), pa.array([parity(s).tobytes() for s in held], pa.binary()), pa.array([band_keys(s, 1) for s in held], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("rel_path"), batch.column("masked"), *made], ["rel_path", "masked", "n", "bits", "bands"])
+
+    files = sets.mapInArrow(describe, "rel_path string, masked binary, n int, bits binary, bands array<long>").withColumn("id", F.monotonically_increasing_id())
+    files = cut_lineage(files)
+    rest, labels, most = files.withColumn("label", F.col("id")), None, NEAREST
+    while True:
+        near = cut_lineage(_nearest(rest, most))
+        pairs = near.select("id", F.explode("others").alias("other")).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        ties = _compare(pairs, rest.select(F.col("id").alias("rel_path"), "masked"), "masked", False, SIMILAR)
+        labels = _components(ties if labels is None else ties.union(labels.where("v <> root").select("v", "root")))
+        more = near.where("more").select("id")
+        if not more.limit(1).count():
+            break
+        rest = cut_lineage(rest.drop("label").join(more, "id", "left_semi").join(labels.withColumnRenamed("v", "id"), "id", "left").select("id", "masked", "n", "bits", "bands", F.coalesce("root", "id").alias("label")))
+        most *= WIDER
+    tied = files.select("id", "rel_path").join(labels.withColumnRenamed("v", "id"), "id")
+    roots = tied.join(tied.groupBy("root").agg(F.min("rel_path").alias("family")), "root").select(F.col("rel_path").alias("rep"), "family")
+    return same.join(roots, "rep", "left").select("rel_path", F.coalesce("family", "rep").alias("family"))
 
 
 def _copies(plain: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -282,6 +282,22 @@ def test_families_are_whole_components(spark, monkeypatch, cell):
     assert {x.rel_path: x.family for x in provenance._families(df).collect()} == _whole_families(sets)
 
 
+@pytest.mark.parametrize("first", [4, 1])
+def test_verified_pairs_follow_the_files(spark, monkeypatch, first):
+    """Of a large family only a few pairs of each file are verified; near misses are all held against it."""
+    monkeypatch.setattr(provenance, "NEAREST", first)
+    monkeypatch.setattr(provenance, "WIDER", 4)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**32, 300, dtype=np.uint32)
+    draw = lambda k: {int(x) for x in np.r_[base[rng.permutation(300)[: 300 - k]], rng.integers(0, 2**32, k, dtype=np.uint32)]}
+    sets = {f"r{i % 3}/{i:03d}.py": draw(k) for k, many in ((10, 120), (33, 40)) for i in range(k * 1000, k * 1000 + many)}
+    seen, compare = [], provenance._compare
+    monkeypatch.setattr(provenance, "_compare", lambda pairs, *rest: seen.append(pairs.count()) or compare(pairs, *rest))
+    df = spark.createDataFrame([(p, np.array(sorted(s), np.uint32).tobytes()) for p, s in sets.items()], "rel_path string, masked binary").repartition(3)
+    assert {x.rel_path: x.family for x in provenance._families(df).collect()} == _whole_families(sets)
+    assert sum(seen) <= 12 * len(sets)
+
+
 def test_family_sizes_do_not_hang_on_the_head(spark):
     line = lambda k: f"x{k} = " + " ".join("+-*/%&|^<>"[int(c)] + " y" for c in f"{k * 7919 % 100000:05d}")
     text = lambda a, b: "\n".join(line(k) for k in range(a, b))
