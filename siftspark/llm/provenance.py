@@ -8,7 +8,8 @@ of five of them are MinHashed, banded and verified, at two levels:
   is made of literals;
 * files. Families are the connected components of similar files. One of templated files
   within a repository is a generator's output and takes its members along; a file that is
-  part of a cluster with a known third-party file is a copy of it.
+  in a cluster across repositories with a known third-party file, and much like that, or
+  that is contained in one, is a copy of it.
 
 A file that belongs to no such cluster can still show its origin by its layout (one
 endless line), by how its tool or library signed it, or by its path. ``evidence`` says
@@ -65,6 +66,8 @@ LONG_STATEMENT, STRETCH = 64, 16
 PART_LINES = 16_384
 SHINGLE, BINS, ROWS = 5, 64, 4
 SIMILAR, CONTAINED = 0.8, 0.8
+#: Similarity of masked sets to that of a third-party file of another repository, and the least size of such a set: names say nothing here.
+ALIKE, LEAST_MASKED = 0.9, 40
 #: Members of a bucket that are compared at once; larger buckets are cut into such cells. 64-bit words of a parity bitmap.
 CELL, PARITY = 32_768, 8
 #: Nearest candidates of a file that are verified in the first round of its family, and how many times more in each further one.
@@ -340,15 +343,15 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(at, minlength=64 * PARITY).astype(np.uint8) & 1).view(np.uint64)
 
 
-def _may_be_similar(n: np.ndarray, bits: np.ndarray, split: int, label: np.ndarray):
+def _may_be_similar(n: np.ndarray, bits: np.ndarray, split: int, label: np.ndarray, least: float):
     """(i, j, distance) of the pairs of unlike labels that sizes and bitmaps allow: of all pairs if ``split`` is 0, else of those across it. Sizes ascend on either side."""
     right = np.arange(split, len(n))
     for at in range(0, split or len(n), 64):
         left = np.arange(at, min(at + 64, split or len(n)))
-        cols = right[np.searchsorted(n[right], SIMILAR * n[left[0]] - 1e-6) : np.searchsorted(n[right], n[left[-1]] / SIMILAR + 1e-6, side="right")]
+        cols = right[np.searchsorted(n[right], least * n[left[0]] - 1e-6) : np.searchsorted(n[right], n[left[-1]] / least + 1e-6, side="right")]
         if not split:
             cols = cols[cols > at]
-        most = ((1 - SIMILAR) * (n[left][:, None] + n[cols][None, :]) + 1e-6) / (1 + SIMILAR)
+        most = ((1 - least) * (n[left][:, None] + n[cols][None, :]) + 1e-6) / (1 + least)
         apart = np.zeros((len(left), len(cols)), np.uint16)
         for w in range(PARITY // 2):
             apart += np.bitwise_count(bits[left, w][:, None] ^ bits[cols, w][None, :])
@@ -357,13 +360,13 @@ def _may_be_similar(n: np.ndarray, bits: np.ndarray, split: int, label: np.ndarr
         for w in range(PARITY // 2, PARITY):
             apart += np.bitwise_count(bits[i, w] ^ bits[j, w])
         x, y = n[i], n[j]
-        ok = (apart <= most) & (np.minimum(x, y) >= SIMILAR * np.maximum(x, y) - 1e-6) & (label[i] != label[j])
+        ok = (apart <= most) & (np.minimum(x, y) >= least * np.maximum(x, y) - 1e-6) & (label[i] != label[j])
         if not split:
             ok &= i < j
         yield i[ok], j[ok], (apart[ok].astype(np.int64) << 16) // (x[ok] + y[ok])
 
 
-def _nearest(files: DataFrame, most: int) -> DataFrame:
+def _nearest(files: DataFrame, most: int, least: float) -> DataFrame:
     """``id, others, more``: the up to ``most`` nearest files of another label that may be similar and share a bucket, and whether there are more.
 
     Buckets of more than CELL members are sorted by size and cut, and pairs of cells
@@ -379,7 +382,7 @@ def _nearest(files: DataFrame, most: int) -> DataFrame:
         placed = cut_lineage(placed.withColumn("cell", F.floor(F.col("_before") / cell).cast("int")).drop("_before"))
         cells = placed.groupBy("band", "cell").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
         first = cells.select("band", F.col("cell").alias("i"), F.col("hi").alias("most"))
-        blocks = first.join(cells.select("band", F.col("cell").alias("j"), "lo"), "band").where((F.col("i") <= F.col("j")) & (F.col("lo") * SIMILAR <= F.col("most") + 1e-6))
+        blocks = first.join(cells.select("band", F.col("cell").alias("j"), "lo"), "band").where((F.col("i") <= F.col("j")) & (F.col("lo") * least <= F.col("most") + 1e-6))
         shares = blocks.select("band", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("cell"))
         shared = one(rows.join(hot, "band", "left_anti")).union(placed.join(shares, ["band", "cell"]).select(*columns))
     else:
@@ -403,7 +406,7 @@ def _nearest(files: DataFrame, most: int) -> DataFrame:
             n, cell, label, ids = n[order], cell[order], label[order], group.column("id").to_numpy()[order]
             bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(-1, PARITY)[order]
             pend, held = [], 0
-            for x, y, d in _may_be_similar(n, bits, int(np.searchsorted(cell, cell[-1])) if cell[0] != cell[-1] else 0, label):
+            for x, y, d in _may_be_similar(n, bits, int(np.searchsorted(cell, cell[-1])) if cell[0] != cell[-1] else 0, label, least):
                 if len(x):
                     pend.append((np.r_[x, y], np.r_[y, x], np.r_[d, d]))
                     held += 2 * len(x)
@@ -451,6 +454,19 @@ def _components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _described(sets: DataFrame) -> DataFrame:
+    """``rel_path, masked`` with an ``id``, the number of shingles, their bitmap and bands."""
+
+    def describe(it):
+        for batch in it:
+            held = [np.frombuffer(s, np.uint32) for s in batch.column("masked").to_pylist()]
+            made = [pa.array([len(s) for s in held], pa.int32()), pa.array([parity(s).tobytes() for s in held], pa.binary()), pa.array([band_keys(s, 1) for s in held], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("rel_path"), batch.column("masked"), *made], ["rel_path", "masked", "n", "bits", "bands"])
+
+    made = sets.select("rel_path", "masked").mapInArrow(describe, "rel_path string, masked binary, n int, bits binary, bands array<long>")
+    return cut_lineage(made.withColumn("id", F.monotonically_increasing_id()))
+
+
 def _families(facts: DataFrame) -> DataFrame:
     """``rel_path, family``: files tied by similar masked sets, directly or over others.
 
@@ -464,17 +480,10 @@ def _families(facts: DataFrame) -> DataFrame:
     same = cut_lineage(named.join(named.groupBy("set").agg(F.min("rel_path").alias("rep")), "set").select("rel_path", "rep"))
     sets = facts.select("rel_path", "masked").where(F.length("masked") >= 32).join(same.where("rel_path = rep").select("rel_path"), "rel_path", "left_semi")
 
-    def describe(it):
-        for batch in it:
-            held = [np.frombuffer(s, np.uint32) for s in batch.column("masked").to_pylist()]
-            made = [pa.array([len(s) for s in held], pa.int32()), pa.array([parity(s).tobytes() for s in held], pa.binary()), pa.array([band_keys(s, 1) for s in held], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("rel_path"), batch.column("masked"), *made], ["rel_path", "masked", "n", "bits", "bands"])
-
-    files = sets.mapInArrow(describe, "rel_path string, masked binary, n int, bits binary, bands array<long>").withColumn("id", F.monotonically_increasing_id())
-    files = cut_lineage(files)
+    files = _described(sets)
     rest, labels, most = files.withColumn("label", F.col("id")), None, NEAREST
     while True:
-        near = cut_lineage(_nearest(rest, most))
+        near = cut_lineage(_nearest(rest, most, SIMILAR))
         pairs = near.select("id", F.explode("others").alias("other")).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         ties = _compare(pairs, rest.select(F.col("id").alias("rel_path"), "masked"), "masked", False, SIMILAR)
         labels = _components(ties if labels is None else ties.union(labels.where("v <> root").select("v", "root")))
@@ -488,6 +497,32 @@ def _families(facts: DataFrame) -> DataFrame:
     return same.join(roots, "rep", "left").select("rel_path", F.coalesce("family", "rep").alias("family"))
 
 
+def _across(sets: DataFrame, families: DataFrame, seeds: DataFrame, asked: DataFrame) -> DataFrame:
+    """``rel_path`` of the files of ``asked`` whose masked set is to ALIKE that of a seed of another repository, whatever its names.
+
+    Such files are in one family, so each is compared within its family, with its nearest seeds
+    first and, until one is enough, with more of them each round.
+    """
+    tied = families.join(seeds.select("rel_path", F.lit(1).alias("label")).union(asked.join(seeds, "rel_path", "left_anti").select("rel_path", F.lit(0))), "rel_path")
+    mixed = tied.groupBy("family").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("family")
+    tied = cut_lineage(tied.join(mixed, "family", "left_semi").select("rel_path", "label", F.xxhash64("family").alias("family"), F.regexp_extract("rel_path", r"^([^/]+)/", 1).alias("repo")))
+    wide = sets.where(F.length("masked") >= 4 * LEAST_MASKED).join(tied.select("rel_path"), "rel_path", "left_semi")
+    rest, most, found = _described(wide).drop("bands").join(tied, "rel_path").withColumn("bands", F.array("family")), NEAREST, None
+    rest = cut_lineage(rest)
+    while True:
+        near = cut_lineage(_nearest(rest, most, ALIKE).join(rest.where("label = 0").select("id", "repo"), "id"))
+        of = rest.where("label = 1").select(F.col("id").alias("b"), F.col("repo").alias("repo_b"))
+        pairs = near.select(F.col("id").alias("a"), "repo", F.explode("others").alias("b")).join(of, "b").where("repo <> repo_b").select("a", "b")
+        ids = _compare(pairs, rest.select(F.col("id").alias("rel_path"), "masked"), "masked", False, ALIKE).select(F.col("a").alias("id")).distinct()
+        ids = cut_lineage(rest.join(ids, "id", "left_semi").select("id", "rel_path"))
+        found = ids if found is None else found.union(ids)
+        more = cut_lineage(near.where("more").select("id").join(ids, "id", "left_anti"))
+        if not more.limit(1).count():
+            return found.select("rel_path")
+        rest = cut_lineage(rest.where("label = 0").join(more, "id", "left_semi").unionByName(rest.where("label = 1")))
+        most *= WIDER
+
+
 def _copies(plain: DataFrame, seeds: DataFrame) -> DataFrame:
     """``rel_path`` of the files of ``plain`` contained in a seed other than themselves, whichever it is.
 
@@ -579,15 +614,19 @@ def not_hand_written(files: DataFrame, chunks: DataFrame, signatures: bool = Tru
         told(slash.rlike(GENERATED_PATH)).alias("gen_path"), told(slash.rlike(VENDORED_PATH)).alias("ven_path"), told(slash.rlike(MINIFIED_PATH) | F.coalesce("mapped", F.lit(False))).alias("min_path"),
         told(F.col("gen_head")).alias("gen_head"), told(F.col("ven_head")).alias("ven_head"),
     )
-    family = cut_lineage(known.join(_families(parts), "rel_path", "left").withColumn("family", F.coalesce("family", "rel_path")))
+    families = cut_lineage(_families(parts))
+    family = cut_lineage(known.join(families, "rel_path", "left").withColumn("family", F.coalesce("family", "rel_path")))
     machine = (F.col("templated") | F.col("gen_path") | F.col("gen_head")).cast("int")
     in_repo = family.groupBy("family", "repo").agg(F.count("*").alias("family_size"), F.avg(machine).alias("machine_share"), F.avg(F.col("literal_only").cast("int")).alias("literal_share"), F.max(F.col("templated").cast("int")).alias("any_templated"))
 
     # Clusters with a known third-party file: copies of it, and itself if it has a copy.
     third = family.where("ven_path or ven_head").select(F.col("rel_path").alias("file"))
-    plain = parts.select("rel_path", "file", "plain")
-    seeds = plain.join(third, "file", "left_semi").drop("file")
-    of = _copies(plain.drop("file"), seeds).join(parts.select("rel_path", "file", "chars"), "rel_path").groupBy("file").agg(F.sum("chars").alias("copied_chars"))
+    sets = parts.select("rel_path", "file", "masked", "plain")
+    seeds = cut_lineage(sets.select("rel_path", "file").join(third, "file", "left_semi").select("rel_path"))
+    held = cut_lineage(_copies(sets.select("rel_path", "plain"), sets.select("rel_path", "plain").join(seeds, "rel_path", "left_semi")).distinct())
+    asked = sets.select("rel_path", "file").join(family.where("not (literal_only or dense or templated)").select(F.col("rel_path").alias("file")), "file", "left_semi").select("rel_path").join(held, "rel_path", "left_anti")
+    held = held.union(_across(sets, families, seeds, asked)).distinct()
+    of = held.join(parts.select("rel_path", "file", "chars"), "rel_path").groupBy("file").agg(F.sum("chars").alias("copied_chars"))
     copies = of.join(whole.select(F.col("rel_path").alias("file"), "chars"), "file").where(F.col("copied_chars") >= CONTAINED * F.col("chars")).select(F.col("file").alias("rel_path"), F.lit(True).alias("copied"))
 
     judged = family.join(in_repo, ["family", "repo"]).join(copies, "rel_path", "left")

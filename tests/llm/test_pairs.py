@@ -331,6 +331,20 @@ def test_a_small_copy_of_a_large_library_is_vendored(spark):
     assert {x.rel_path: x.kind for x in provenance.not_hand_written(fdf, cdf).collect()} == dict.fromkeys(files, "vendored")
 
 
+def test_a_cluster_across_repositories_tells_renamed_copies(spark, monkeypatch):
+    """A library whose names were all changed is vendored elsewhere; copies of a file that is no third party's are not."""
+    monkeypatch.setattr(provenance, "NEAREST", 1)
+    r = random.Random(21)
+    shape = lambda: ["{a} = " + " ".join("{" + r.choice("ab") + "} " + r.choice("+-*/%&|^<>@~") for _ in range(r.randrange(4, 9))) + " {n}" for _ in range(60)]
+    named = lambda lines, tag: "\n".join(x.format(a=f"{tag}{r.randrange(999)}", b=f"{tag}_{r.randrange(999)}", n=r.randrange(99)) for x in lines)
+    lib, own = shape(), shape()
+    files = {f"one/third_party/lib{i}.py": named(lib, f"p{i}") for i in range(3)} | {"two/src/core.py": named(lib, "q"), "one/src/near.py": named(lib, "s"), "two/src/own.py": named(own, "t"), "three/src/own.py": named(own, "u"), "four/x/other.py": named(shape(), "v")}
+    fdf = spark.createDataFrame([(p, len(t), None) for p, t in files.items()], "rel_path string, size long, language string")
+    cdf = spark.createDataFrame([(p, 1, t, None) for p, t in files.items()], "rel_path string, start_line int, text string, language string")
+    got = {x.rel_path: (x.kind, x.evidence) for x in provenance.not_hand_written(fdf, cdf).collect()}
+    assert got == {"two/src/core.py": ("vendored", "family")} | {f"one/third_party/lib{i}.py": ("vendored", "path") for i in range(3)}
+
+
 def test_files_of_few_shingles(spark):
     few = lambda *v: np.array(v, np.uint32).tobytes()
     rows = [("a/1.py", few(1, 2, 3)), ("a/2.py", few(1, 2, 3)), ("a/3.py", few(1, 2)), ("a/4.py", b""), ("a/5.py", b"")]
