@@ -190,6 +190,33 @@ def test_search_moves_no_pairs_of_query_and_chunk_and_is_exact(spark, tmp_path,
     assert plain(bm25.KeywordIndex.read(spark, str(tmp_path / "i")).search(asked, 7)) == sorted(want)
 
 
+def test_fuzzy_search_moves_no_postings(spark, data, monkeypatch):
+    """Neither for the vocabulary nor for the scores are rows moved by chunk and word, or by query and chunk, before the cut."""
+    from siftspark.plans import catalogue
+
+    plans, cut = [], bm25.cut_lineage
+    monkeypatch.setattr(bm25, "cut_lineage", lambda df, *by: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df, *by))
+    assert catalogue.fuzzy_search(spark, data).groupBy("query_id").count().where("count <> 20").count() == 0
+    assert any("posexplode" not in p and "explode(array_distinct(tokens" in p for p in plans)
+    assert not any(re.search(r"hashpartitioning\((chunk_id#\d+, token|query_id#\d+L, chunk_id)#", p) for p in plans)
+
+
+def test_terms_find_their_words_by_pieces(monkeypatch):
+    """Equal to all pairs, whole or cut to the best of each term; few pairs are compared letter by letter."""
+    r = random.Random(5)
+    part = lambda: "".join(r.choices("abcdefgh", k=r.randint(2, 6)))
+    words = sorted({"_".join(part() for _ in range(r.randint(1, 3))) for _ in range(700)} | {"x" * 40 + part() for _ in range(5)})
+    terms = [w[:i] + r.choice("abc") + w[i + 1 :] for w in words[::12] for i in [r.randrange(len(w))]]
+    want = sorted((t, w, s) for t in terms for w in words if max(len(t), len(w)) <= 8 * min(len(t), len(w)) and (s := fuzzy.similarity(t, w)) >= 82)
+    calls, lcs = [], fuzzy.lcs
+    monkeypatch.setattr(fuzzy, "lcs", lambda *a: calls.append(1) or lcs(*a))
+    assert sorted(fuzzy._Scorer(terms, 82).block(words)) == sorted(want)
+    assert len(calls) < 0.1 * len(terms) * len(words)
+    best = lambda found, t: sorted((-s, w) for x, w, s in found if x == t and w != t)[:3]
+    kept = fuzzy._Scorer(terms, 82, 3).block(words)
+    assert len(kept) < len(want) and all(best(kept, t) == best(want, t) for t in set(terms))
+
+
 def test_context_stops_at_the_first_block_that_does_not_fit(spark):
     s = "query_id long, position int, rel_path string, start_line int, end_line int, language string, text string"
     hits = spark.createDataFrame([(1, 1, "a", 1, 2, "text", "x"), (1, 2, "b", 1, 2, "go", "y" * 100), (1, 3, "c", 1, 2, "text", "z")], s)
