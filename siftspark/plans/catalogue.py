@@ -10,7 +10,7 @@ from siftspark.config import IGNORED_DIRS, IGNORED_FILES, LANGUAGE_BY_SUFFIX, SP
 from siftspark.functions import text as T
 from siftspark.operators import bm25, chunking, fusion, fuzzy, incremental, lifecycle, rag, vectors
 from siftspark.plans import trees
-from siftspark.session import table
+from siftspark.session import cut_lineage, release, table
 
 FIELDS = ["query_id", "chunk_id", "rel_path", "language", "start_line", "end_line", "text"]
 
@@ -148,13 +148,20 @@ def hybrid_search(spark, d):
     return fusion.hydrate(fused, table(spark, d, "chunks")).withColumn("score", F.round("score", 9))
 
 
+def _kept(ranked):
+    """A ranking written once, the files it was moved by released."""
+    made = cut_lineage(ranked)
+    release(ranked.sparkSession)
+    return made
+
+
 def hybrid_text_search(spark, d):
     """Words and hashed embeddings of the texts themselves, fused."""
     chunks, asked = table(spark, d, "chunks"), _queries(spark, d).where("query_text is not null")
-    by_words = bm25.KeywordIndex.build(chunks).search(asked, 32)
-    rows = vectors.embed(bm25.one_text(chunks), "text")
-    by_vector = vectors.nearest(vectors.embed(asked, "query_text"), rows, 32)
-    return fusion.hydrate(fusion.fuse_ranks(by_words, by_vector, top_n=8), chunks).drop("text").withColumn("score", F.round("score", 9))
+    by_words = _kept(bm25.KeywordIndex.build(chunks).search(asked, 32).select("query_id", "chunk_id", "rank"))
+    rows = vectors.embed(bm25.sorted_texts(chunks), "text")
+    by_vector = vectors.nearest(vectors.embed(asked, "query_text"), rows, 32, "query_id", "chunk_id", True)
+    return fusion.hydrate(fusion.fuse_ranks(by_words, _kept(by_vector.select("query_id", "chunk_id", "rank")), top_n=8), chunks).drop("text").withColumn("score", F.round("score", 9))
 
 
 def snippet(spark, d):
@@ -214,10 +221,10 @@ def letter_embedder(texts):
 def hybrid_letters(spark, d):
     """From texts to hits: keyword ranking and nearest vectors of a stub embedder, fused and looked up."""
     chunks, asked = table(spark, d, "chunks"), _queries(spark, d).where("query_text is not null")
-    by_words = bm25.KeywordIndex.build(chunks).search(asked, 32)
-    rows = vectors.embed(bm25.one_text(chunks), "text", letter_embedder)
-    by_vector = vectors.nearest(vectors.embed(asked, "query_text", letter_embedder), rows, 32)
-    found = fusion.hydrate(fusion.fuse_ranks(by_words, by_vector, top_n=8), chunks)
+    by_words = _kept(bm25.KeywordIndex.build(chunks).search(asked, 32).select("query_id", "chunk_id", "rank"))
+    rows = vectors.embed(bm25.sorted_texts(chunks), "text", letter_embedder)
+    by_vector = vectors.nearest(vectors.embed(asked, "query_text", letter_embedder), rows, 32, "query_id", "chunk_id", True)
+    found = fusion.hydrate(fusion.fuse_ranks(by_words, _kept(by_vector.select("query_id", "chunk_id", "rank")), top_n=8), chunks)
     return found.withColumn("score", F.round("score", 9)).withColumn("text", T.snippet(F.col("text"), 320))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -74,6 +75,12 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
+def release(spark: SparkSession) -> None:
+    """Have shuffle files deleted whose plans are no longer held; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut_lineage(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write a frame as a table into the shared folder and read it from there.
 

@@ -238,6 +238,32 @@ def test_nearest_is_exact(spark):
         assert got[q] == sorted(range(300), key=lambda i: (d[i], i))[:10]
 
 
+def test_nearest_sends_few_rows_and_reads_rows_once(spark, monkeypatch):
+    """Many partitions and queries, equal queries, rows of several blocks, many equal distances: one pass, k rows a query from two tasks a core."""
+    sent, scan = spark.sparkContext.accumulator(0), vectors._scan
+
+    def counting(held, k):
+        inner = scan(held, k)
+        return lambda it: (sent.add(b.num_rows) or b for b in inner(it))
+
+    monkeypatch.setattr(vectors, "_scan", counting)
+    r = np.random.default_rng(1)
+    x = np.concatenate([r.integers(0, 9, (30_000, 3)), r.integers(0, 2, (1000, 3))]).astype(float)
+    df = spark.createDataFrame([(f"r{i:05d}", [float(v) for v in row]) for i, row in enumerate(x)], "chunk_id string, vector array<double>").repartition(60)
+    q = np.concatenate([r.integers(0, 9, (2500, 3)), np.zeros((3, 3))]) + 0.25
+    asked = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(q)], "query_id long, vector array<float>")
+    near = vectors.nearest(asked, df, 5)
+    assert near._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {}
+    for z in near.orderBy("query_id", "rank").collect():
+        got.setdefault(z.query_id, []).append((int(z.chunk_id[1:]), round(z.distance, 6)))
+    assert sent.value <= 5 * len(q) * 2 * spark.sparkContext.defaultParallelism
+    assert len(got) == len(q)
+    for i in [*range(0, 2500, 25), 2500, 2501, 2502]:
+        d = np.round(np.sqrt(((x - q[i]) ** 2).sum(1)), 6)
+        assert got[i] == [(j, d[j]) for j in np.lexsort((np.arange(len(x)), d))[:5]]
+
+
 def test_embedding_is_unit_and_stable(spark):
     df = spark.createDataFrame([("alpha beta",), ("",), (None,)], "t string")
     got = [np.array(r.vector) for r in vectors.embed(df, "t", dim=32).collect()]
