@@ -127,7 +127,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "que
     order of their ids (else they are sorted), in few partitions, since each sends k rows per query.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(row_id).alias("rid"), F.col("vector")).where("rid is not null and vector is not null")
+    rows = vectors.select(F.col(row_id).alias("rid"), F.col("vector")).where("rid is not null")  # null vectors are left out by the scan: a filter would embed texts twice
     if not ordered:
         rows = rows.coalesce(2 * spark.sparkContext.defaultParallelism).sortWithinPartitions("rid")
     id_type = rows.schema["rid"].dataType.simpleString()
@@ -159,7 +159,7 @@ def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows in their order, in blocks of ROWS."""
     parts, n = [], 0
     for batch in it:
-        at = 0
+        batch, at = batch.filter(batch.column("vector").is_valid()), 0
         while at < batch.num_rows:
             part = batch.slice(at, ROWS - n)
             parts.append(part)

@@ -264,6 +264,15 @@ def test_nearest_sends_few_rows_and_reads_rows_once(spark, monkeypatch):
         assert got[i] == [(j, d[j]) for j in np.lexsort((np.arange(len(x)), d))[:5]]
 
 
+def test_nearest_embeds_each_row_once(spark):
+    texts = spark.createDataFrame([("a", "alpha beta"), ("b", "beta"), ("c", None)], "chunk_id string, text string")
+    asked = spark.createDataFrame([(1, [1.0] + [0.0] * 7)], "query_id long, vector array<float>")
+    near = vectors.nearest(asked, vectors.embed(texts, "text", dim=8), 2)
+    assert near._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    some = spark.createDataFrame([("a", None), ("b", [0.0] * 8)], "chunk_id string, vector array<float>")
+    assert [r.chunk_id for r in vectors.nearest(asked, some, 2).collect()] == ["b"]
+
+
 def test_embedding_is_unit_and_stable(spark):
     df = spark.createDataFrame([("alpha beta",), ("",), (None,)], "t string")
     got = [np.array(r.vector) for r in vectors.embed(df, "t", dim=32).collect()]
